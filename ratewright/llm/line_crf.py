@@ -117,23 +117,29 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE_TEXTS) ->
     return LineCrf.fit([np.array(r.x).reshape(-1, len(S.FEATURES)) for r in rows], [r.label for r in rows])
 
 
+def judged(s: K.Slice, crf: LineCrf, share: float) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Base counts, base failures, verdicts and content words of a slice's texts."""
+    base = S.base_counts(s)
+    x, lines, words = S.line_features(s)
+    cut = lines.bounds(s.n)
+    content = np.zeros(s.n, np.int64)
+    for i in range(s.n):
+        a, b = cut[i], cut[i + 1]
+        if a < b:
+            content[i] = words[a:b][crf.decode(x[a:b])].sum()
+    n = base["n_words"]
+    failed = (n < MIN_WORDS) | (100 * base["n_repeat_words"] > MAX_REPEATED * n)
+    return base, failed, ~failed & (content >= share * n), content
+
+
 def _rule(crf: LineCrf, share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in K.slices(batch.column(1)):
-                base = S.base_counts(s)
-                x, lines, words = S.line_features(s)
-                cut = lines.bounds(s.n)
-                content = np.zeros(s.n, np.int64)
-                for i in range(s.n):
-                    a, b = cut[i], cut[i + 1]
-                    if a < b:
-                        content[i] = words[a:b][crf.decode(x[a:b])].sum()
-                n = base["n_words"]
-                failed = (n < MIN_WORDS) | (100 * base["n_repeat_words"] > MAX_REPEATED * n)
-                columns = [pa.array(v.astype(np.int64)) for v in (n, base["word_chars"], base["n_symbols"], base["n_dup_lines"], base["n_repeat_words"])]
+                base, failed, kept, content = judged(s, crf, share)
+                columns = [pa.array(v.astype(np.int64)) for v in (base["n_words"], base["word_chars"], base["n_symbols"], base["n_dup_lines"], base["n_repeat_words"])]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(s.first, s.n), *columns, pa.array(failed), pa.array(~failed & (content >= share * n)), pa.array(content)],
+                    [batch.column(0).slice(s.first, s.n), *columns, pa.array(failed), pa.array(kept), pa.array(content)],
                     names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_words"],
                 )
 
@@ -151,3 +157,16 @@ def quality_rules(documents: DataFrame, labels: DataFrame, share: float = CONTEN
     texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_words long"
     return texts.mapInArrow(_rule(crf, share), schema)
+
+
+def keep_content(documents: DataFrame, labels: DataFrame, share: float = CONTENT_SHARE, text_col: str = "text", crf: LineCrf | None = None) -> DataFrame:
+    """The rows of ``documents`` that the rules keep, with all their columns; a filter without a shuffle."""
+    crf = crf or fit(documents, labels)
+    at = documents.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in K.slices(batch.column(at)):
+                yield batch.slice(s.first, s.n).filter(pa.array(judged(s, crf, share)[2]))
+
+    return documents.mapInArrow(run, documents.schema)

@@ -35,7 +35,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -304,6 +304,14 @@ class NgramJaccardJoin:
         discard(texts.sparkSession, described)
         return out
 
+    def representatives(self, documents: DataFrame) -> DataFrame:
+        """The rows of ``documents`` with one document of each component, the one of the smallest id.
+
+        Rows without an id and texts without words stay; rows that share an id are one document.
+        """
+        dropped = self.components(documents).filter(F.col(self.id_col) != F.col("component_id")).select(self.id_col).distinct()
+        return documents.join(dropped, self.id_col, "left_anti").select(documents.columns)
+
     def _links(self, texts: DataFrame, described: DataFrame, members: DataFrame) -> DataFrame:
         """Links between class representatives that make up the components, written table by table."""
         spark = texts.sparkSession
@@ -369,8 +377,3 @@ class NgramJaccardJoin:
         pivots = met.join(central, "x").groupBy("cell").agg(F.max(F.struct("central", (-F.col("x")).alias("first"))).alias("top"))
         pivots = pivots.select("cell", (-F.col("top.first")).alias("p"))
         return met.join(pivots, "cell").select(F.col("cell").alias("region"), "p", "x")
-
-
-def ngram_components(spark: SparkSession, sf_dir: str, n: int = 3, threshold: float = 0.9) -> DataFrame:
-    """Components of the whole ``documents`` table."""
-    return NgramJaccardJoin(n=n, threshold=threshold).components(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -98,7 +98,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str
     known = reputations(pages, outcomes)
     method = F.when(F.col("upper") < least_good, F.lit("block")).otherwise(F.lit("allow"))
     joined = urls.join(known, "host", "left")
-    return joined.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", method).alias("verdict"), "n", F.round("mean", 6).alias("good_mean"), F.round("upper", 6).alias("good_upper"))
+    return joined.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", method).alias("verdict"), F.coalesce("n", F.lit(0)).alias("n"), F.round("mean", 6).alias("good_mean"), F.round("upper", 6).alias("good_upper"))
 
 
 def outcomes_by_link(pages: DataFrame, labels: DataFrame) -> DataFrame:
