@@ -43,7 +43,7 @@ from .components import connected_components
 from .storage import discard, materialize
 
 #: Sets of a region that are still joined directly.
-LEAF = 48
+LEAF = 256
 #: Ids whose list may be broadcast (8 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 1 << 20
 #: Members of a region that one task compares with its pivot at a time.
@@ -296,12 +296,11 @@ class NgramJaccardJoin:
         keys = described.select("id", "n", "f1", "f2")
         classes = keys.filter("n > 0").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"))
         members = materialize(keys.join(classes, ["f1", "f2", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")), "members")
-        links = self._links(texts, described.select("id", "cells"), members)
+        links = self._links(texts, described, members)
         found = connected_components(links)
         out = members.join(found, members.rep == found.node, "left").select(
             F.col("id").alias(self.id_col), F.col("n").alias("n_shingles"), F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id")
         )
-        discard(texts.sparkSession, described)
         return out
 
     def representatives(self, documents: DataFrame) -> DataFrame:
@@ -320,6 +319,7 @@ class NgramJaccardJoin:
         met = whole.withColumn("several", several).filter("several").select("cell", "id")
         met = met.join(members.select("id", "rep"), "id").select("cell", F.col("rep").alias("x")).distinct()
         met = materialize(met, "cells")
+        discard(spark, described)
         crowd = met.groupBy("cell").agg(F.count("*").alias("size")).filter("size > 1")
         regions = materialize(self._by_pivot(met.join(crowd, "cell")), "regions")
         ids = regions.select(F.col("x").alias("id")).distinct()
@@ -332,8 +332,9 @@ class NgramJaccardJoin:
         while True:
             crowd = regions.groupBy("region").agg(F.count("*").alias("size"))
             sized = regions.join(crowd.filter("size > 1"), "region")
-            small = sized.filter(F.col("size") <= self.leaf).join(sets, F.col("x") == sets.id).select("region", "x", "items")
-            found = small.groupBy("region").applyInArrow(_leaf(self.reach), "u long, v long")
+            small = materialize(sized.filter(F.col("size") <= self.leaf).select("region", "x"), "small")
+            found = self._with_items(small, sets)
+            found = found.groupBy("region").applyInArrow(_leaf(self.reach), "u long, v long")
             large = materialize(sized.filter(F.col("size") > self.leaf), "large")
             if large.isEmpty():
                 return materialize(links.unionByName(found).distinct(), "links")
@@ -345,6 +346,12 @@ class NgramJaccardJoin:
             if regions.isEmpty():
                 return links
 
+    @staticmethod
+    def _with_items(members: DataFrame, sets: DataFrame) -> DataFrame:
+        """``(region, x, items)``: short member lists travel to the sets, long ones meet them in a shuffle."""
+        known = F.broadcast(members) if members.count() <= BROADCAST_IDS else members
+        return sets.join(known, F.col("x") == sets.id).select("region", "x", "items")
+
     @staticmethod
     def _by_pivot(met: DataFrame) -> DataFrame:
         """Each cell's most central set becomes its pivot; cells of one pivot are one region."""

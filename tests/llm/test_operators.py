@@ -94,10 +94,10 @@ def edited(rng, n_groups, copies, length, edits):
 
 def test_join_on_odd_texts(spark, documents):
     for n, t in ((3, 0.9), (5, 0.8)):
-        assert joined(documents, n, t, 48) == components_by_force(TEXTS, n, t)
+        assert joined(documents, n, t, 256) == components_by_force(TEXTS, n, t)
 
 
-@pytest.mark.parametrize("leaf", [2, 48])
+@pytest.mark.parametrize("leaf", [2, 256])
 def test_join_recursion_is_exact(spark, leaf):
     """A large group of copies with few and many edits, and short texts whose reach is almost nothing."""
     rng = np.random.default_rng(5)
@@ -107,7 +107,7 @@ def test_join_recursion_is_exact(spark, leaf):
 
 
 def test_join_of_nothing(spark):
-    assert joined(table(spark, []), 3, 0.9, 48) == {}
+    assert joined(table(spark, []), 3, 0.9, 256) == {}
 
 
 def test_representatives_keep_rows_without_id(spark):
