@@ -2,5 +2,30 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-FLAGSHIP = None
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+
+Build = Callable[[SparkSession, str], DataFrame]
+
+
+@dataclass(frozen=True)
+class Query:
+    build: Build
+    sql: str | None
+
+
+QUERIES: dict[str, Query] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Build], Build]:
+    """Register a plan under ``name``, with the SQL that gives the same rows where SQL can."""
+
+    def add(build: Build) -> Build:
+        if name in QUERIES:
+            raise ValueError(f"query {name} is registered twice")
+        QUERIES[name] = Query(build, sql)
+        return build
+
+    return add
