@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="ratewright-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="ratewright-"))
+        found = context.getCheckpointDir()
     return found.rstrip("/")
 
 
