@@ -12,8 +12,13 @@ Texts become sets of n-gram hashes. Sets carry the symmetric-difference metric
    projection value is a pivot whose Voronoi cell holds the sets at distance 0;
    sets near the border of a size class are replicated into the next one.
 2. *Document pivots.* In a cell of several sets the one that shares most cells
-   becomes the pivot; cells of one pivot form its region. Distances to the pivot
-   are exact; whoever lies within reach of it is linked to it.
+   becomes the pivot; cells of one pivot form its region. Before whole sets travel
+   to a region, its sets are compared in a contraction of the metric: the parities
+   of a set's elements in a power of two of buckets, whose Hamming distance never
+   exceeds ``|x ^ y|``. Sets beyond reach of all others there leave the region; the
+   others fall into groups, and groups with a set in common are one region, so that
+   each whole set travels to one region only. Distances to the pivot are exact;
+   whoever lies within reach of it is linked to it.
 3. *Windows.* In a region the metric does not change when the pivot is taken as
    the origin: ``|x ^ y| = |dx ^ dy|`` with ``dx = x ^ pivot``. Sets are put into
    rings by distance from the pivot; by the triangle inequality only rings within
@@ -44,6 +49,8 @@ from .storage import discard, materialize
 
 #: Sets of a region that are still joined directly.
 LEAF = 256
+#: Sets of a region whose sketches one task compares; larger regions fall back to their cells, larger cells to the recursion.
+SKETCHED = 2048
 #: Ids whose list may be broadcast (8 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 1 << 20
 #: Members of a region that one task compares with its pivot at a time.
@@ -117,18 +124,76 @@ def cells(x: np.ndarray, reach: Reach) -> np.ndarray:
     return np.concatenate(named) if named else x[:0]
 
 
+def sketch(x: np.ndarray) -> bytes:
+    """Parities of a set's elements in a power of two of buckets, two of them an element at least."""
+    buckets = max(64, 1 << (2 * len(x) - 1).bit_length())
+    odd = np.bincount((x & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def fold(b: bytes, size: int) -> np.ndarray:
+    """A sketch in ``size`` bytes' buckets: buckets that fall together add their parities."""
+    parts = np.frombuffer(b, np.uint8).reshape(-1, size)
+    return np.bitwise_xor.reduce(parts, axis=0).view(np.uint64)
+
+
+def within_reach(sizes: np.ndarray, sketches: list[bytes], reach: Reach) -> tuple[np.ndarray, np.ndarray]:
+    """For sets in order of size: the group of each by sketch distances within reach, and how many it reaches."""
+    k = len(sizes)
+    width = np.array([len(b) for b in sketches])
+    group, degree = np.arange(k), np.zeros(k, np.int64)
+    last = np.searchsorted(sizes, reach.largest_partner(sizes), side="right")
+    for w in np.unique(width):
+        mine = np.flatnonzero(width == w)
+        first, end = mine[0], int(last[mine].max())
+        folded = np.stack([fold(b, int(w)) for b in sketches[first:end]])
+        for i in mine:
+            near = np.arange(i + 1, last[i])
+            far = np.bitwise_count(folded[near - first] ^ folded[i - first]).sum(axis=1, dtype=np.int64)
+            near = near[far <= reach.of(sizes[i] + sizes[near])]
+            if len(near):
+                degree[near] += 1
+                degree[i] += len(near)
+                joined = np.unique(group[np.append(near, i)])
+                if len(joined) > 1:
+                    group[np.isin(group, joined)] = joined[0]
+    return group, degree
+
+
+def _prune(reach: Reach):
+    """Groups of a region's sets by sketch distance, each as its most central set and the others."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, sizes = table.column("x").to_numpy(), table.column("n").to_numpy()
+        order = np.lexsort([ids, sizes])
+        ids, sizes = ids[order], sizes[order]
+        held = table.column("sketch")
+        group, degree = within_reach(sizes, [held[int(i)].as_py() for i in order], reach)
+        count = np.bincount(group, minlength=len(group))
+        u, v = [], []
+        for g in np.flatnonzero(count > 1):
+            at = np.flatnonzero(group == g)
+            top = int(ids[at[np.argmax(degree[at])]])
+            u += [top] * (len(at) - 1)
+            v += [y for y in ids[at].tolist() if y != top]
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return run
+
+
 def _describe(n: int, reach: Reach):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[tuple[int, int]] = set()
         for batch in batches:
             for s in K.slices(batch.column(1)):
-                sizes, f1, f2, flat = [], [], [], []
+                sizes, f1, f2, flat, sketches = [], [], [], [], []
                 for x in shingle_sets(s, n):
                     mark = int(np.bitwise_xor.reduce(K.mix(x))) if len(x) else 0, int(np.add.reduce(K.mix(x ^ np.uint64(0xA5A5A5A5)))) if len(x) else 0
                     sizes.append(len(x))
                     f1.append(mark[0])
                     f2.append(mark[1])
                     flat.append(cells(x, reach) if mark not in met else x[:0])
+                    sketches.append(sketch(x) if len(x) else None)
                     if len(met) < REMEMBERED:
                         met.add(mark)
                 bounds = np.concatenate([[0], np.cumsum([len(x) for x in flat])])
@@ -139,8 +204,9 @@ def _describe(n: int, reach: Reach):
                         pa.array(np.array(f1, np.uint64).view(np.int64)),
                         pa.array(np.array(f2, np.uint64).view(np.int64)),
                         K.list_array(pa.array(np.concatenate(flat).view(np.int64)), bounds),
+                        pa.array(sketches, pa.binary()),
                     ],
-                    names=["id", "n", "f1", "f2", "cells"],
+                    names=["id", "n", "f1", "f2", "cells", "sketch"],
                 )
 
     return run
@@ -292,7 +358,7 @@ class NgramJaccardJoin:
     def components(self, documents: DataFrame) -> DataFrame:
         """``(doc_id, n_shingles, class_id, component_id)`` for each document."""
         texts = self._texts(documents)
-        described = materialize(texts.mapInArrow(_describe(self.n, self.reach), "id long, n long, f1 long, f2 long, cells array<long>"), "described")
+        described = materialize(texts.mapInArrow(_describe(self.n, self.reach), "id long, n long, f1 long, f2 long, cells array<long>, sketch binary"), "described")
         keys = described.select("id", "n", "f1", "f2")
         classes = keys.filter("n > 0").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"))
         members = materialize(keys.join(classes, ["f1", "f2", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")), "members")
@@ -319,9 +385,9 @@ class NgramJaccardJoin:
         met = whole.withColumn("several", several).filter("several").select("cell", "id")
         met = met.join(members.select("id", "rep"), "id").select("cell", F.col("rep").alias("x")).distinct()
         met = materialize(met, "cells")
-        discard(spark, described)
         crowd = met.groupBy("cell").agg(F.count("*").alias("size")).filter("size > 1")
-        regions = materialize(self._by_pivot(met.join(crowd, "cell")), "regions")
+        regions = self._pruned(materialize(self._by_pivot(met.join(crowd, "cell")), "regions"), described)
+        discard(spark, described)
         ids = regions.select(F.col("x").alias("id")).distinct()
         count = ids.count()
         links = spark.range(0).select(F.col("id").alias("u"), F.col("id").alias("v"))
@@ -354,11 +420,32 @@ class NgramJaccardJoin:
 
     @staticmethod
     def _by_pivot(met: DataFrame) -> DataFrame:
-        """Each cell's most central set becomes its pivot; cells of one pivot are one region."""
+        """Each cell's most central set becomes its pivot; cells of one pivot are one region, if its sketches fit one task."""
         central = met.groupBy("x").agg(F.sum("size").alias("central"))
         pivots = met.join(central, "x").groupBy("cell").agg(F.max(F.struct("central", (-F.col("x")).alias("first"))).alias("top"))
         pivots = pivots.select("cell", (-F.col("top.first")).alias("p"))
-        return met.join(pivots, "cell").select(F.col("p").alias("region"), "p", "x").distinct()
+        placed = met.join(pivots, "cell").groupBy("p", "x").agg(F.collect_set(F.struct("cell", "size")).alias("cells"))
+        wide = placed.groupBy("p").agg(F.count("*").alias("members"))
+        placed = placed.join(wide, "p")
+        whole = placed.filter(F.col("members") <= SKETCHED).select(F.col("p").alias("region"), "p", "x")
+        parts = placed.filter(F.col("members") > SKETCHED).select("p", "x", F.inline("cells"))
+        region = F.when(F.col("size") <= SKETCHED, F.col("cell")).otherwise(F.col("p"))
+        return whole.unionByName(parts.select(region.alias("region"), "p", "x").distinct())
+
+    def _pruned(self, regions: DataFrame, described: DataFrame) -> DataFrame:
+        """Regions of up to SKETCHED sets by groups that may hold links; larger ones as they are."""
+        crowd = regions.groupBy("region").agg(F.count("*").alias("size")).filter("size > 1")
+        sized = regions.join(crowd, "region")
+        tight = sized.filter(F.col("size") <= SKETCHED).select("region", "x")
+        known = F.broadcast(tight) if regions.count() <= BROADCAST_IDS else tight
+        near = described.join(known, F.col("x") == F.col("id")).select("region", "x", "n", "sketch")
+        stars = materialize(near.groupBy("region").applyInArrow(_prune(self.reach), "u long, v long").groupBy("u", "v").agg(F.count("*").alias("times")), "stars")
+        central = stars.groupBy("u").agg(F.sum("times").alias("central"))
+        group = connected_components(stars.select("u", "v")).join(central, F.col("node") == F.col("u"), "left")
+        first = F.struct(F.coalesce("central", F.lit(0)), (-F.col("node")).alias("first"))
+        pivots = group.groupBy("component").agg(F.max(first).alias("top")).select("component", (-F.col("top.first")).alias("p"))
+        groups = group.join(pivots, "component").select(F.xxhash64(F.lit("group"), "component").alias("region"), "p", F.col("node").alias("x"))
+        return materialize(groups.unionByName(sized.filter(F.col("size") > SKETCHED).select("region", "p", "x")), "groups")
 
     def _around(self, large: DataFrame, sets: DataFrame) -> DataFrame:
         """Exact distances from the pivot of each large region, in chunks of its members."""

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ratewright.llm import decontaminate, kernels, license_scan, line_crf, packing, pairwise_quality, pii, queries, text_stats, token_attribution, toxicity, url_reputation
+from ratewright.llm import decontaminate, kernels, license_scan, line_crf, ngram_join, packing, pairwise_quality, pii, queries, text_stats, token_attribution, toxicity, url_reputation
 from ratewright.llm.components import connected_components
 from ratewright.llm.ngram_join import NgramJaccardJoin
 
@@ -97,9 +97,25 @@ def test_join_on_odd_texts(spark, documents):
         assert joined(documents, n, t, 256) == components_by_force(TEXTS, n, t)
 
 
-@pytest.mark.parametrize("leaf", [2, 256])
-def test_join_recursion_is_exact(spark, leaf):
+def test_sketches_never_exceed_the_distance():
+    rng = np.random.default_rng(3)
+    sets = sorted((np.unique(rng.integers(0, 600, k).astype(np.uint64)) for k in rng.integers(1, 400, 60)), key=len)
+    marks = [ngram_join.sketch(x) for x in sets]
+    reach = ngram_join.Reach(0.5)
+    sizes = np.array([len(x) for x in sets])
+    group, _ = ngram_join.within_reach(sizes, marks, reach)
+    for i, x in enumerate(sets):
+        for j in range(i):
+            size = min(len(marks[i]), len(marks[j]))
+            apart = int(np.bitwise_count(ngram_join.fold(marks[i], size) ^ ngram_join.fold(marks[j], size)).sum())
+            assert apart <= len(np.setxor1d(x, sets[j]))
+            assert group[i] == group[j] or len(np.setxor1d(x, sets[j])) > reach.of(len(x) + len(sets[j]))
+
+
+@pytest.mark.parametrize("leaf, sketched", [(2, 8), (2, 2048), (256, 2048)])
+def test_join_recursion_is_exact(spark, monkeypatch, leaf, sketched):
     """A large group of copies with few and many edits, and short texts whose reach is almost nothing."""
+    monkeypatch.setattr(ngram_join, "SKETCHED", sketched)
     rng = np.random.default_rng(5)
     texts = edited(rng, 1, 90, 120, 3) + edited(rng, 6, 8, 60, 2) + edited(rng, 5, 6, 12, 1) + ["a b c", "a b c d", "b c d", "a b"]
     assert joined(table(spark, texts), 3, 0.9, leaf) == components_by_force(texts, 3, 0.9)
