@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then local alignment.
+"""Benchmark decontamination: n-gram seeds, then local alignment.
 
-Every n-gram of the benchmark is looked for in every text. Its document frequency
-over all texts is its rarity; along each item the rarest n-gram of every few
-neighbours is a seed, so any undamaged stretch holds one however often the passage
-was copied. Seeds join texts to items; Smith-Waterman alignment of words scores the
-stretch around them, so edited copies count as well.
+Every n-gram of the benchmark is looked for in every text, and each one found is a
+seed: none is thinned out, as the one left out may be all that an edited copy kept.
+Seeds join texts to items; Smith-Waterman alignment of words scores the stretch around
+them, so edited copies count as well. Stretches that hold too few of an item's words to
+reach the least score are not aligned.
 """
 
 from __future__ import annotations
@@ -14,20 +14,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
 from .storage import materialize
 
-#: Words of a seed, and neighbouring n-grams of which the rarest is one.
-SEED_WORDS, NEIGHBOURS = 3, 5
+#: Words of a seed.
+SEED_WORDS = 3
 #: Alignment scores for equal words, different words and skipped words.
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least share of an item's own score.
 SIMILARITY = 0.5
 #: Distinct benchmark n-grams that may be broadcast (8 bytes each); beyond it all n-grams of the texts are joined.
 BROADCAST_NGRAMS = 1 << 21
+#: Rows of item n-grams that may be broadcast; beyond it they are dealt out so many times, as a frequent one meets many texts.
+BROADCAST_SEEDS, SALTS = 1 << 18, 16
 #: Text ids whose list may be broadcast.
 BROADCAST_IDS = 1 << 20
 
@@ -109,6 +111,8 @@ def _score(similarity: float):
                         item = np.array(found["item_words"], np.int64)
                         best = (0, 0)
                         for lo, hi in stretches(found["places"], len(item), len(text)):
+                            if np.isin(item, text[lo:hi]).sum() / len(item) < similarity:
+                                continue  # not even with all its words in order
                             score, end = align(item, text[lo:hi])
                             best = max(best, (score, lo + end))
                         share = best[0] / (MATCH * len(item))
@@ -122,7 +126,7 @@ def _score(similarity: float):
 
 
 def contaminated(
-    documents: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, n: int = SEED_WORDS, neighbours: int = NEIGHBOURS, id_col: str = "doc_id", text_col: str = "text"
+    documents: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, n: int = SEED_WORDS, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``(doc_id, item_id, score, similarity, start_word, end_word)`` per text and benchmark item that it holds a copy of.
 
@@ -141,14 +145,16 @@ def contaminated(
         only = np.unique(distinct.toArrow().column("gram").to_numpy().astype(np.int64).view(np.uint64))
     hits = texts.mapInArrow(_ngram_rows(n, only), "doc_id long, at long, gram long")
     hits = hits if only is not None else hits.join(distinct, "gram", "left_semi").select("doc_id", "at", "gram")
-    hits = materialize(hits, "hits")  # read by the frequency count and by the join
-    often = hits.select("gram", "doc_id").distinct().groupBy("gram").agg(F.count("*").alias("df"))
-    ranked = grams.join(often, "gram").select("item_id", "at", "gram", F.struct("df", "gram").alias("rarity"))
-    ahead = Window.partitionBy("item_id").orderBy("at").rangeBetween(0, neighbours - 1)
-    seeds = ranked.select("item_id", F.min("rarity").over(ahead).alias("seed")).select("item_id", F.col("seed.gram").alias("gram")).distinct()
-    pairs = hits.join(seeds, "gram").groupBy("doc_id", "item_id").agg(F.collect_list("at").alias("places"))
+    hits = materialize(hits, "hits")  # read by the join and by the choice of texts
+    seeds = grams.select("item_id", "gram").distinct()
+    if seeds.count() <= BROADCAST_SEEDS:
+        met = hits.join(F.broadcast(seeds), "gram")
+    else:
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        met = hits.withColumn("salt", F.pmod(F.xxhash64("doc_id", "at"), F.lit(SALTS)).cast("int")).join(seeds.withColumn("salt", salts), ["gram", "salt"])
+    pairs = met.groupBy("doc_id", "item_id").agg(F.collect_list("at").alias("places"))
     listed = pairs.join(item_words, "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "item_words", "places")).alias("items"))
-    ids = hits.join(seeds, "gram", "left_semi").select("doc_id").distinct()
+    ids = hits.select("doc_id").distinct()
     size = ids.count()
     wanted = texts.join(F.broadcast(ids) if size <= BROADCAST_IDS else ids, "doc_id", "left_semi")
     schema = "doc_id long, item_id long, score long, similarity double, start_word long, end_word long"

@@ -329,6 +329,17 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(table(spark, texts), items.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("seeds", [decontaminate.BROADCAST_SEEDS, 0])
+@pytest.mark.parametrize("every", [4, 5, 6, 7])
+def test_edited_copies_beside_verbatim_ones(spark, monkeypatch, every, seeds):
+    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", seeds)
+    words = ITEM.split()
+    edited = [f"changed{i}" if i % every == every - 1 or i == len(words) - 1 else w for i, w in enumerate(words)]
+    texts = [ITEM, " ".join(edited), f"before {ITEM} after", "the quick brown fox and no more of it"]
+    items = spark.createDataFrame([(7, ITEM)], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontaminate.contaminated(table(spark, texts), items).collect()) == [0, 1, 2]
+
+
 def test_alignment_is_smith_waterman():
     rng = np.random.default_rng(2)
     for _ in range(40):
