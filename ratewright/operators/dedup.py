@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ratewright.checkpoints import cut_lineage
 from ratewright.functions.dates import effective_status
 from ratewright.functions.money import within_tolerance
 from ratewright.functions.text import lcs_ratio
 
 #: Least share of a common subsequence for names that count as the same.
 SIMILAR = 0.70
+#: Rows that agree in these are equals; any of them answers for any other.
+EQUAL = ["account", "merchant", "date", "cents"]
 
 
 def _band_join(candidates: DataFrame, stored: DataFrame, keys: list[str], days: int, share: float) -> DataFrame:
@@ -25,6 +30,36 @@ def _band_join(candidates: DataFrame, stored: DataFrame, keys: list[str], days:
     return spread.join(there, [*keys, "s_date"]).filter(within_tolerance(F.col("cents"), F.col("s_cents"), share))
 
 
+def _equals(rows: DataFrame, number: str) -> DataFrame:
+    """Rows with the ``first`` of their equals, how many (``n``) these are, and the place ``k`` among them."""
+    equal = Window.partitionBy(*EQUAL)
+    k = F.row_number().over(equal.orderBy(number)) - 1
+    return cut_lineage(rows.withColumn("k", k).withColumn("first", F.min(number).over(equal)).withColumn("n", F.count("*").over(equal)))
+
+
+def _pairing(pairs: DataFrame) -> DataFrame:
+    """Pairs of groups of equals, nearest first, as far as both still have rows: ``(c_first, s_first, pass, c_from, s_from, take)``.
+
+    A round takes the pairs that are the nearest one to both sides; each uses up one
+    side, what the other has left goes on to the next round. Rounds end with the pairs.
+    """
+    left = pairs.withColumn("c_from", F.lit(0).cast("bigint")).withColumn("s_from", F.lit(0).cast("bigint"))
+    taken = []
+    while True:
+        of_c, of_s = Window.partitionBy("c_first"), Window.partitionBy("s_first")
+        order = ("pass", "distance", "s_first", "c_first")
+        both = left.withColumn("__c", F.row_number().over(of_c.orderBy(*order))).withColumn("__s", F.row_number().over(of_s.orderBy(*order)))
+        both = both.withColumn("take", F.when((F.col("__c") == 1) & (F.col("__s") == 1), F.least("n", "m"))).drop("__c", "__s")
+        both = both.withColumn("s_lost", F.coalesce(F.sum("take").over(of_s), F.lit(0))).withColumn("c_lost", F.coalesce(F.sum("take").over(of_c), F.lit(0)))
+        both = cut_lineage(both)
+        taken.append(both.filter("take is not null").select("c_first", "s_first", "pass", "c_from", "s_from", "take"))
+        left = both.filter("n > c_lost and m > s_lost").select(
+            "c_first", "s_first", "pass", "distance", *((F.col(a) - F.col(b)).alias(a) for a, b in (("n", "c_lost"), ("m", "s_lost"))), *((F.col(a) + F.col(b)).alias(a) for a, b in (("c_from", "c_lost"), ("s_from", "s_lost")))
+        )
+        if left.isEmpty():
+            return functools.reduce(DataFrame.unionByName, taken)
+
+
 def classify(candidates: DataFrame, stored: DataFrame, days: int = 3, share: float = 0.005, settlement_window: int = 14) -> DataFrame:
     """``(row, pass, stored_id, action)`` for each candidate: insert, skip or supersede.
 
@@ -32,26 +67,39 @@ def classify(candidates: DataFrame, stored: DataFrame, days: int = 3, share: flo
     numbered by ``row``, stored rows by ``id`` with their ``settlement_status``. The
     first pass that hits decides: equal imported id; beyond the stored dates; equal
     merchant in the band; similar merchant in the band; none. A stored row answers one
-    candidate only, the nearest one, and a candidate takes its nearest row.
+    candidate only. Pairs are taken by pass, then by distance; whoever loses a row to
+    another takes the nearest one still free, and equal rows meet one to one.
     """
-    exact = candidates.filter("imported_id is not null").join(
-        stored.select("account", "imported_id", F.col("id").alias("s_id"), F.col("date").alias("s_date"), F.col("cents").alias("s_cents"), F.col("settlement_status").alias("s_status")),
-        ["account", "imported_id"],
-    )
+    same_id = Window.partitionBy("account", "imported_id")
+    known = stored.filter("imported_id is not null").select("account", "imported_id", F.col("id").alias("s_id"), F.col("date").alias("s_date"), F.col("settlement_status").alias("s_status"))
+    known = known.withColumn("k", F.row_number().over(same_id.orderBy("s_id")))
+    exact = candidates.filter("imported_id is not null").withColumn("k", F.row_number().over(same_id.orderBy("row"))).join(known, ["account", "imported_id", "k"])
+    exact = cut_lineage(exact.select("row", F.lit(1).alias("pass"), "s_id", "s_date", "s_status"))
     by_account = stored.groupBy("account").agg(F.max("date").alias("boundary"))
     dated = candidates.join(by_account, "account", "left")
-    inside = dated.filter(F.col("date") <= F.date_add("boundary", days)).drop("boundary")
-    same = _band_join(inside, stored, ["account", "merchant"], days, share)
-    near = _band_join(inside, stored, ["account"], days, share).filter(F.col("merchant") != F.col("s_merchant"))
+    inside = dated.filter(F.col("date") <= F.date_add("boundary", days)).join(exact, "row", "left_anti")
+    mine = _equals(inside.select(*EQUAL, "row"), "row")
+    theirs = _equals(stored.join(exact.select(F.col("s_id").alias("id")), "id", "left_anti").select(*EQUAL, "id", "settlement_status"), "id")
+    groups, there = mine.filter("k = 0"), theirs.filter("k = 0")
+    same = _band_join(groups, there, ["account", "merchant"], days, share)
+    near = _band_join(groups, there, ["account"], days, share).filter(F.col("merchant") != F.col("s_merchant"))
     near = near.filter(lcs_ratio(F.lower("merchant"), F.lower("s_merchant")) >= SIMILAR)
 
     def tagged(rows: DataFrame, number: int) -> DataFrame:
         distance = F.abs(F.date_diff("date", "s_date")) * F.lit(1 << 40) + F.abs(F.col("cents") - F.col("s_cents"))
-        return rows.select("row", F.lit(number).alias("pass"), "s_id", "s_date", "s_status", distance.alias("distance"))
+        return rows.select(F.col("first").alias("c_first"), F.col("s_id").alias("s_first"), F.lit(number).alias("pass"), distance.alias("distance"), "n")
+
+    sizes = there.select(F.col("first").alias("s_first"), F.col("n").alias("m"))
+    taken = _pairing(tagged(same, 3).unionByName(tagged(near, 4)).join(sizes, "s_first"))
+
+    def slots(rows: DataFrame, side: str, *columns: Column) -> DataFrame:
+        slot = F.col("k") - F.col(f"{side}_from")
+        of = rows.withColumnRenamed("first", f"{side}_first").join(taken, f"{side}_first").withColumn("slot", slot)
+        return of.filter("slot >= 0 and slot < take").select("c_first", "s_first", "slot", *columns)
 
-    hits = tagged(exact, 1).unionByName(tagged(same, 3)).unionByName(tagged(near, 4))
-    best = hits.withColumn("__c", F.row_number().over(Window.partitionBy("row").orderBy("pass", "distance", "s_id"))).filter("__c = 1")
-    best = best.withColumn("__s", F.row_number().over(Window.partitionBy("s_id").orderBy("pass", "distance", "row"))).filter("__s = 1")
+    stored_slots = slots(theirs, "s", F.col("id").alias("s_id"), F.col("date").alias("s_date"), F.col("settlement_status").alias("s_status"))
+    met = slots(mine, "c", F.col("row"), F.col("pass")).join(stored_slots, ["c_first", "s_first", "slot"])
+    best = exact.unionByName(met.select("row", "pass", "s_id", "s_date", "s_status"))
     latest = candidates.agg(F.max("date").alias("anchor"))  # one row
     best = best.crossJoin(F.broadcast(latest))
     age = effective_status(F.col("s_status"), F.col("s_date"), F.col("anchor"), F.lit(settlement_window))

@@ -1,6 +1,7 @@
 """Column functions and operators on small literals, and registered queries against their SQL."""
 
 import datetime as dt
+import random
 
 import duckdb
 import pytest
@@ -152,6 +153,34 @@ def test_reimport_brings_nothing_new(spark):
         mapping.resolve(["Date", "Amount"])
 
 
+def test_equal_purchases_pair_one_to_one(spark):
+    kind = "{} long, account long, date date, cents long, merchant string, imported_id string"
+    rows = lambda number, given: spark.createDataFrame([(i, 1, d(x), c, m, k) for i, (x, c, m, k) in enumerate(given)], kind.format(number))
+    coffee, later = ("2025-01-02", -350, "Coffee", None), ("2025-01-03", -350, "Coffee", None)
+    settled = lambda given: rows("id", given).withColumn("settlement_status", F.lit("settled"))
+    for n, m in ((3, 3), (3, 2), (2, 4)):
+        actions = dedup.classify(rows("row", [coffee] * n), settled([coffee] * m)).collect()
+        assert sorted(r.action for r in actions) == ["insert"] * max(0, n - m) + ["skip"] * min(n, m)
+        assert len({r.stored_id for r in actions if r.action == "skip"}) == min(n, m)
+    assert {r.action for r in dedup.classify(rows("row", [("2025-01-02", -350, "Coffee", "a")] * 2), settled([("2025-01-02", -350, "Coffee", "a")] * 2)).collect()} == {"skip"}
+    # a candidate that loses its nearest row takes the next one
+    assert {r.row: r.stored_id for r in dedup.classify(rows("row", [coffee, coffee, later]), settled([coffee, later, ("2025-01-04", -350, "Coffee", None)])).collect()} == {0: 0, 1: 2, 2: 1}
+    # against pairs taken one by one
+    rng = random.Random(5)
+    some = lambda n: [(f"2025-01-{rng.randint(1, 9):02}", rng.choice([-1000, -1003, -990]), rng.choice(["Coffee", "Coffees", "Rent"]), None) for _ in range(n)]
+    mine, theirs = some(60), some(40)
+    near = lambda a, b: abs((d(a[0]) - d(b[0])).days) <= 3 and abs(a[1] - b[1]) <= abs(a[1]) * 5 // 1000 and (a[2] == b[2] or "Rent" not in (a[2], b[2]))
+    first = lambda rows_, x: rows_.index(x)
+    pairs = sorted(((3 if a[2] == b[2] else 4), abs((d(a[0]) - d(b[0])).days), abs(a[1] - b[1]), first(theirs, b), first(mine, a), i, j) for i, a in enumerate(mine) for j, b in enumerate(theirs) if near(a, b))
+    want, used = {}, set()
+    for number, *_, i, j in pairs:
+        if i not in want and j not in used:
+            want[i] = (number, j)
+            used.add(j)
+    got = dedup.classify(rows("row", mine), settled(theirs)).collect()
+    assert len(got) == 60 and {r.row: (r["pass"], r.stored_id) for r in got if r.stored_id is not None} == want
+
+
 def test_lifecycle(spark):
     edges = lambda *e: spark.createDataFrame(e, "label string, input string")
     assert lifecycle.label_cycles(edges(("A", "B"), ("B", "A")), spark) and lifecycle.label_cycles(edges(("A", "A")), spark)
