@@ -1,7 +1,7 @@
 """Licence recognition by sentence rules (DataFrame functions only).
 
-Texts are cut into sentences and normalised; sentences that are known licence
-sentences become identifiers, and the identifier sequence of a text is matched
+Texts are normalised with their sentence ends and line breaks marked; known licence
+sentences that stand between two marks, wrapped or not, become identifiers, and the identifier sequence of a text is matched
 against ordered rules. All of it is a projection: no shuffle, no Python.
 """
 
@@ -24,9 +24,12 @@ SENTENCES = [
     ("mit-title-2", "MIT License"),
     ("mit-keep", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
     ("mit-grant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("mit-grant-long", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions'),
     ("gpl-notice-3", "This work is licensed under the GNU General Public License, version 3"),
     ("gpl-free", "This program is free software"),
     ("gpl-redistribute", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    ("gpl-redistribute-3", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("gpl-redistribute-2", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version"),
     ("gpl-either-3", "either version 3 of the License, or (at your option) any later version"),
     ("gpl-either-2", "either version 2 of the License, or (at your option) any later version"),
     ("bsd-redistribution", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
@@ -42,8 +45,11 @@ SENTENCES = [
 RULES = [
     ("GPL-3.0-or-later", ["gpl-free", "gpl-redistribute", "gpl-either-3"]),
     ("GPL-2.0-or-later", ["gpl-free", "gpl-redistribute", "gpl-either-2"]),
+    ("GPL-3.0-or-later", ["gpl-free", "gpl-redistribute-3"]),
+    ("GPL-2.0-or-later", ["gpl-free", "gpl-redistribute-2"]),
     ("Apache-2.0", ["apache-notice-long", "apache-comply"]),
     ("BSD-3-Clause", ["bsd-redistribution", "bsd-endorse"]),
+    ("MIT", ["mit-grant-long", "mit-keep"]),
     ("MIT", ["mit-grant", "mit-keep"]),
     ("GPL-3.0", ["gpl-notice-3"]),
     ("CC-BY-NC-4.0", ["cc-by-nc-4"]),
@@ -59,18 +65,22 @@ RULES = [
     ("MIT", ["mit-title-2"]),
     ("proprietary", ["reserved"]),
 ]
-#: A sentence ends at a line break, a semicolon or colon, or a point before white space or the end.
-SENTENCE_END = r"\n|[;:]|\.(?=\s|\z)"
+#: A sentence ends at a semicolon or colon, or a point before white space or the end.
+SENTENCE_END = r"[;:]|\.(?=\s|\z)"
+#: A line break and the comment marks after it; a sentence may end there, or go on.
+LINE_BREAK = r"(?:\r\n?|\n)[^a-z0-9\r\n]*(?:(?:dnl|rem)\b[^a-z0-9\r\n]*)?"
 
 
 def normalised(sentence: str) -> str:
-    """What ``normal_form`` makes of a sentence; for the fixed sentences only."""
+    """What ``marked`` makes of a sentence inside of its marks; for the fixed sentences only."""
     return " ".join("".join(c.lower() if c.isascii() and c.isalnum() else " " for c in sentence).split())
 
 
-def normal_form(sentence: Column) -> Column:
-    """Lower-case ASCII letters and digits, all else as single spaces."""
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+def marked(text: Column) -> Column:
+    """Lower-case ASCII words with single spaces; `` | `` for sentence ends and `` / `` for line breaks, one of these at both ends."""
+    lines = F.regexp_replace(F.concat(F.lit("\n"), F.translate(F.lower(text), "|/", "  ")), LINE_BREAK, " / ")
+    plain = F.regexp_replace(F.regexp_replace(lines, SENTENCE_END, " | "), "[^a-z0-9|/]+", " ")
+    return F.concat(F.trim(plain), F.lit(" /"))
 
 
 def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: list[tuple[str, str]] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
@@ -85,11 +95,12 @@ def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     for name, text in sentences:
         known.setdefault(normalised(text), name)
     table = F.create_map(*(F.lit(x) for x in chain.from_iterable(known.items())))
-    # sentences far longer or shorter than any known one need no normal form
-    longest = 3 * max(map(len, known))
-    parts = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), SENTENCE_END), lambda s: F.length(s).between(5, longest))
-    hints = "(?i)licen[sc]e|rights reserved|redistribut|permission|public domain|free software|creative commons|copyright"
-    found = F.filter(F.transform(parts, lambda s: F.try_element_at(table, normal_form(s))), lambda x: x.isNotNull())
+    # longest first; a single line break may stand between any two words
+    wrapped = "|".join(name.replace(" ", "(?: | / )") for name in sorted(known, key=len, reverse=True))
+    parts = F.regexp_extract_all(marked(F.col(text_col)), F.lit(f"(?<=[|/] )(?:{wrapped})(?= [|/])"), F.lit(0))
+    gap = r"(?:\W|dnl\b|rem\b)+"
+    hints = "(?i)licen[sc]e|rights reserved|redistribut|permission|public domain|free software|creative commons|copyright".replace(" ", gap)
+    found = F.transform(parts, lambda s: F.try_element_at(table, F.replace(s, F.lit(" / "), F.lit(" "))))
     ids = F.when(F.col(text_col).rlike(hints), F.array_join(found, ",")).otherwise(F.lit(""))
     row = documents.select(F.col(id_col).alias("doc_id"), ids.alias("sentence_ids"))
     spaced = F.concat(F.lit(","), F.col("sentence_ids"), F.lit(","))

@@ -401,6 +401,50 @@ def test_license_scan(spark):
         assert rows[i].sentence_ids == ",".join(known[n] for n in map(license_scan.normalised, parts) if n in known)
 
 
+GPL_3 = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+GPL_2 = GPL_3.replace("software:", "software;").replace("Foundation, either version 3", "Foundation; either version 2")
+MIT = """MIT License
+
+Copyright (c) 2024 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+BSD_3 = """Copyright (c) 2024, Some One
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+
+def test_wrapped_licenses(spark):
+    want = [(GPL_3, "GPL-3.0-or-later", "gpl-free,gpl-redistribute-3"), (GPL_2, "GPL-2.0-or-later", "gpl-free,gpl-redistribute,gpl-either-2"), (MIT, "MIT", "mit-title-2,mit-grant-long,mit-keep"), (BSD_3, "BSD-3-Clause", "bsd-redistribution,bsd-endorse")]
+    forms = [lambda t, m=m: "\n".join(m + line for line in t.split("\n")) for m in ("", "# ", " * ", "// ", ";; ", "rem ")]
+    forms += [lambda t: t.replace("\n", "\r\n"), lambda t: "/*\n" + "\n".join(f" * {line:76} *" for line in t.split("\n")) + "\n */", lambda t: "\n".join(" ".join(p.split("\n")) for p in t.split("\n\n"))]
+    rows = [(f(text), license, ids) for f in forms for text, license, ids in want]
+    # a blank line or a point ends a sentence
+    rows += [("Released under the\n\nMIT\n\nLicense", None, ""), ("Released under. the MIT License", None, ""), ("All rights\nreserved", "proprietary", "reserved"), ("x|Released under the MIT License", None, "")]
+    got = {r.doc_id: r for r in license_scan.scan(table(spark, [t for t, *_ in rows])).collect()}
+    assert [(got[i].license, got[i].sentence_ids) for i in range(len(rows))] == [(license, ids) for _, license, ids in rows]
+
+
 # --- quality classifier ---
 
 
