@@ -37,9 +37,15 @@ def clustered(txns: DataFrame) -> DataFrame:
 
 
 def gaps(txns: DataFrame, key: str) -> DataFrame:
-    """Transactions with the days since the one before in their group."""
-    by = Window.partitionBy(key).orderBy("date", "id")
-    return txns.withColumn("gap", F.date_diff("date", F.lag("date").over(by)))
+    """Transactions with the days since the one before in their group.
+
+    Only days are ordered within a group; all but the first transaction of a day have no gap to the one before.
+    """
+    by = Window.partitionBy(key).orderBy("date")
+    days = txns.groupBy(key, "date").agg(F.min("id").alias("__first")).withColumn("__gap", F.date_diff("date", F.lag("date").over(by)))
+    days = days.select(F.col(key).alias("__key"), F.col("date").alias("__date"), "__first", "__gap")
+    rows = txns.join(days, F.col(key).eqNullSafe(F.col("__key")) & F.col("date").eqNullSafe(F.col("__date")), "left")
+    return rows.select(*txns.columns, F.when(F.col("id") == F.col("__first"), F.col("__gap")).otherwise(F.date_diff("date", "date")).alias("gap"))
 
 
 def _timing_fit(n: Column, spread: Column) -> Column:
@@ -128,7 +134,8 @@ def propose(txns: DataFrame) -> DataFrame:
 
 def gap_chunks(txns: DataFrame, key: str, period: Column, slack: int = 5) -> DataFrame:
     """``(key, chunk, start_date, end_date, n)``: a gap of more than the period and the slack begins a new chunk."""
-    by = Window.partitionBy(key).orderBy("date", "id")
     new = F.when(F.col("gap") > period + slack, 1).otherwise(0)
-    cut = gaps(txns, key).withColumn("chunk", F.sum(new).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    return cut.groupBy(key, "chunk").agg(F.min("date").alias("start_date"), F.max("date").alias("end_date"), F.count("*").alias("n"))
+    days = gaps(txns, key).groupBy(key, "date").agg(F.max(new).alias("new"), F.count("*").alias("n"))
+    by = Window.partitionBy(key).orderBy("date")
+    cut = days.withColumn("chunk", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    return cut.groupBy(key, "chunk").agg(F.min("date").alias("start_date"), F.max("date").alias("end_date"), F.sum("n").alias("n"))

@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratewright.functions.money import sorted_median
 from ratewright.functions.rates import actual_rate, drift, sign_of, window_days
 
 _EPOCH = "1970-01-01"
+#: Bits of an amount that a step of the expanding median settles.
+_DIGIT = 4
 
 
 def daily(txns: DataFrame, key: str = "entry") -> DataFrame:
@@ -61,12 +62,30 @@ def rolling_by_entry(days: DataFrame, window: str) -> DataFrame:
 def usual_amounts(txns: DataFrame) -> DataFrame:
     """``(entry, date, median, max)`` of the absolute amounts up to each day with transactions.
 
-    The list behind the median is an entry's own history, which a person's payments bound.
+    Equal amounts of a day are counted first. Each day then looks for its two middles
+    digit by digit, among the amounts that share the digits found so far: a window
+    holds a few rows per day, however many transactions an entry has.
     """
-    per_day = txns.groupBy("entry", "date").agg(F.collect_list(F.abs("cents")).alias("amounts"))
+    counts = txns.groupBy("entry", "date", F.abs("cents").alias("amount")).agg(F.count("cents").alias("n"))
     upto = Window.partitionBy("entry").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    lists = per_day.select("entry", "date", F.array_sort(F.flatten(F.collect_list("amounts").over(upto))).alias("amounts"))
-    return lists.select("entry", "date", sorted_median(F.col("amounts")).alias("median"), F.element_at("amounts", -1).alias("max"))
+    days = counts.groupBy("entry", "date").agg(F.sum("n").alias("n"), F.max("amount").alias("max"))
+    days = days.select("entry", "date", F.sum("n").over(upto).alias("n"), F.max("max").over(upto).alias("max"))
+    asked = days.select("entry", "date", "max", F.posexplode(F.expr("array((n + 1) div 2, n div 2 + 1)")).alias("upper", "place")).withColumn("node", F.lit(0).cast("bigint"))
+    largest = counts.agg(F.max("amount")).first()[0] or 0
+    sums = [f"c{i}" for i in range(1 << _DIGIT)]
+    top = _DIGIT * (max(0, largest.bit_length() - 1) // _DIGIT)
+    for shift in range(top, -1, -_DIGIT):
+        node = F.lit(0).cast("bigint") if shift == top else F.shiftright("amount", shift + _DIGIT)
+        digit = F.shiftright("amount", shift).bitwiseAND(F.lit((1 << _DIGIT) - 1))
+        held = counts.groupBy("entry", node.alias("node"), "date").agg(*(F.sum(F.when(digit <= i, F.col("n")).otherwise(0)).alias(c) for i, c in enumerate(sums)))
+        rows = asked.withColumn("asks", F.lit(True)).unionByName(held, allowMissingColumns=True)
+        so_far = Window.partitionBy("entry", "node").orderBy("date").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        run = rows.select("entry", "date", "max", "upper", "place", "node", "asks", *(F.coalesce(F.sum(c).over(so_far), F.lit(0)).alias(c) for c in sums)).filter("asks")
+        found = F.coalesce(*(F.when(F.col(c) >= F.col("place"), F.lit(i)) for i, c in enumerate(sums)))
+        below = F.coalesce(F.get(F.array(*sums), found - 1), F.lit(0))
+        asked = run.select("entry", "date", "max", "upper", (F.col("place") - below).alias("place"), (F.col("node") * (1 << _DIGIT) + found).alias("node"))
+    middles = asked.groupBy("entry", "date", "max").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("node").alias("found"))
+    return middles.select("entry", "date", F.when(F.col("found") == 2, F.expr("low + (high - low) div 2")).alias("median"), "max")
 
 
 def entry_rates(txns: DataFrame, entries: DataFrame, window: int, override: str | None = None) -> DataFrame:

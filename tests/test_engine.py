@@ -12,7 +12,7 @@ from ratewright.functions import conditions as C
 from ratewright.functions import dates as D
 from ratewright.functions import money as M
 from ratewright.functions import text as T
-from ratewright.operators import cluster, dedup, lifecycle, match, projection
+from ratewright.operators import cluster, dedup, lifecycle, match, projection, rates
 from ratewright.reports import pages, summary
 from ratewright.sources import statements as S
 from ratewright.streaming import jobs
@@ -129,6 +129,31 @@ def test_clusters_and_anchors(spark):
     assert scores["one"].entry_type == "variable" and scores["one"].fitness == pytest.approx(0.8) and scores["mid"].entry_type == "standing"
 
 
+def test_expanding_median_and_gaps_keep_no_list(spark):
+    rng = random.Random(3)
+    given = [(i, rng.choice(["a", "b", None]), dt.date(2025, 1, 1) + dt.timedelta(rng.randint(0, 30)), rng.choice([None, 0, -5, 7, -1600, 2**40, rng.randint(-3000, 3000)])) for i in range(300)]
+    given.append((300, "none", d("2025-01-01"), None))
+    rows = spark.createDataFrame(given, "id long, entry string, date date, cents long")
+    usual = rates.usual_amounts(rows)
+    got = {(r.entry, r.date): (r.median, r.max) for r in usual.collect()}
+    days = {(e, x) for _, e, x, _ in given}
+    want = {}
+    for e, x in days:
+        held = sorted(abs(c) for _, f, y, c in given if f == e and y <= x and c is not None)
+        want[e, x] = ((held[(len(held) - 1) // 2] + held[len(held) // 2]) // 2, held[-1]) if held else (None, None)
+    assert got == want
+    spaced = cluster.gaps(rows, "entry")
+    last, gap = {}, {}
+    for i, e, x, _ in sorted(given, key=lambda r: (r[2], r[0])):
+        gap[i] = (x - last[e]).days if e in last else None
+        last[e] = x
+    assert {r.id: r.gap for r in spaced.collect()} == gap
+    # windows see days, not transactions, and no list is gathered
+    for frame in (usual, spaced):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_list" not in plan and not [x for x in plan.splitlines() if "Window [" in x and "id#" in x.split("], [")[-1]]
+
+
 def test_coverage(spark):
     cases = [(None, "2026-03-05", 10, "2026-03-04", False), (None, "2026-03-05", 10, "2026-03-14", True), (None, "2026-03-05", 10, "2026-03-15", False), ("dow:0", "2026-07-06", 7, "2026-07-13", True), ("dow:0", "2026-07-06", 7, "2026-07-07", False), ("dom:15", "2026-01-15", 30, "2026-02-15", True), ("interval:30", "2026-03-01", 30, "2026-04-29", True), ("dom:15", None, 30, "2026-02-15", False), ("dom:31", "2026-01-31", 30, "2026-03-20", False)]
     rows = spark.createDataFrame([(i, a, x and d(x), p, d(y)) for i, (a, x, p, y, _) in enumerate(cases)], "i int, a string, due date, p int, day date")
