@@ -118,6 +118,15 @@ def _m03(spark, sf):
     return match.interval_chain(rows).select("id", "entry")
 
 
+@query(
+    "M03_J12_interval_chain_all",
+    Q.O + """, d as (select distinct entry, date from ord), linked as (select a.entry, a.date as x, b.date as y from d a join d b on a.entry = b.entry and date_diff('day', a.date, b.date) between 87 and 95)
+    select id, entry from ord semi join (select entry, x as date from linked union all select entry, y from linked) l using (entry, date)""",
+)
+def _m03_all(spark, sf):
+    return match.interval_chain(A.orders(spark, sf).withColumn("every", F.lit(91))).select("id", "entry")
+
+
 _SECOND = [
     match.Entry("outgo", {"type": "entry_direction", "direction": "spend"}, 200, "money"),
     match.Entry("again", {"type": "label_matched", "label_id": "shopping"}, 210, "money"),
