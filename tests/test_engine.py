@@ -134,6 +134,13 @@ def test_interval_chain_takes_all_orders(spark):
     assert got == sorted((i, e) for i, e, x in orders if any(87 <= abs((x - y).days) <= 95 for y in held[e])) and any(e % 10 for _, e in got)
 
 
+@pytest.mark.parametrize("name", ["M02_first_pass", "M04_second_pass"])
+def test_passes_take_all_entities(spark, name):
+    got, same = same_as_sql(spark, f"{name}_all")
+    part = registry.QUERIES[name].build(spark, "/root/testdata/sf0.001").count()
+    assert same and len(got) > part > 0
+
+
 def test_clusters_and_anchors(spark):
     rows = txns(spark, [("Westerville Target T-2847", "2026-01-01", -5), ("Target Com", "2026-01-01", -5), ("Target T-2847", "2026-01-01", -5), ("Spotify", "2026-01-01", -5)])
     assert {r.cluster for r in cluster.clustered(rows).collect()} == {"Target", "Spotify"}
