@@ -12,14 +12,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
 from . import text_stats as S
 from .labelled import labelled_sample
 
-#: Labelled texts of each class that the field is fitted on, and lines of one text among them.
+#: Labelled texts of each class, and chains of their lines, that the field is fitted on; lines of a chain.
 SAMPLE_TEXTS, SAMPLE_LINES = 1500, 100
 #: Least share of a kept text's words in content lines.
 CONTENT_SHARE = 0.5
@@ -106,13 +106,24 @@ def _sampled_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for s in K.slices(batch.column(1)):
             x, lines, _ = S.line_features(s)
             cut = lines.bounds(s.n)
-            rows = [x[cut[i] : min(cut[i + 1], cut[i] + SAMPLE_LINES)].ravel() for i in range(s.n)]
-            yield pa.RecordBatch.from_arrays([batch.column(2).slice(s.first, s.n), pa.array(rows, pa.list_(pa.float64()))], names=["label", "x"])
+            starts = [(i, a) for i in range(s.n) for a in range(cut[i], cut[i + 1], SAMPLE_LINES)]
+            rows = [x[a : min(cut[i + 1], a + SAMPLE_LINES)].ravel() for i, a in starts]
+            of = pa.array([s.first + i for i, _ in starts], pa.int64())
+            columns = [batch.column(0).take(of), batch.column(2).take(of), pa.array([int(a - cut[i]) for i, a in starts], pa.int64()), pa.array(rows, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "label", "line", "x"])
 
 
 def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE_TEXTS) -> LineCrf:
-    """A field fitted on at most ``sample`` texts of each class of ``labels.quality``."""
-    rows = labelled_sample(documents, labels, "quality", sample).select("doc_id", "text", "label").mapInArrow(_sampled_lines, "label int, x array<double>").collect()
+    """A field fitted on at most ``sample`` texts of each class of ``labels.quality``.
+
+    Texts are cut into chains of ``SAMPLE_LINES`` lines; of more than ``sample`` chains of a
+    class those with the least hash are taken, wherever they stand in their text.
+    """
+    texts = labelled_sample(documents, labels, "quality", sample).select("doc_id", "text", "label")
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    chains = texts.mapInArrow(_sampled_lines, f"doc_id {kind}, label int, line long, x array<double>")
+    least = Window.partitionBy("label").orderBy(F.xxhash64("doc_id", "line"), "doc_id", "line")
+    rows = chains.withColumn("__k", F.row_number().over(least)).filter(F.col("__k") <= sample).select("label", "x").collect()
     rows = [r for r in rows if r.x]
     return LineCrf.fit([np.array(r.x).reshape(-1, len(S.FEATURES)) for r in rows], [r.label for r in rows])
 

@@ -298,6 +298,14 @@ def test_quality_counts(spark, documents):
     assert kept.count() == sum(not (c["n_words"] < 20 or 100 * c["n_repeat_words"] > 30 * c["n_words"]) for c in map(counts_by_force, texts))
 
 
+def test_fit_sees_all_of_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(line_crf.LineCrf, "fit", classmethod(lambda cls, x, y: [(len(c), k) for c, k in zip(x, y)]))
+    texts = table(spark, ["\n".join(f"line {i} of {t}" for i in range(t)) for t in (250, 101, 40)])
+    labels = spark.createDataFrame([(0, 1, 0), (1, 0, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    assert sorted(line_crf.fit(texts, labels)) == [(1, 0), (40, 0), (50, 1), (100, 0), (100, 1), (100, 1)]
+    assert len(line_crf.fit(texts, labels, 2)) == 4
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(3)
     for _ in range(30):
