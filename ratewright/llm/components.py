@@ -15,7 +15,6 @@ def connected_components(links: DataFrame) -> DataFrame:
     neighbours never becomes one group's list. Rounds grow with the logarithm of
     the longest chain; each round is a written table.
     """
-    spark = links.sparkSession
     pair = [F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")]
     edges = materialize(links.filter("u <> v").select(*pair).distinct(), "edges")
     seen = None
@@ -29,7 +28,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         small = small.filter("v <> m").select("v", "m").unionByName(least.select(F.col("u").alias("v"), "m"))
         fresh = materialize(small.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
         state = fresh.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        discard(spark, edges)
+        discard(edges)
         edges = fresh
         if tuple(state) == seen:
             break

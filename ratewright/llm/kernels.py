@@ -1,19 +1,23 @@
 """Vectorised word tables over Arrow string columns (numpy, used inside tasks).
 
-A batch of texts is cut into slices of a few megabytes; each slice becomes flat
-arrays of word boundaries and 64-bit word hashes. Hashes depend on nothing but
-the bytes of a word, so they agree across processes and runs.
+A batch of texts is cut into slices of half a megabyte (a longer text is one slice);
+each slice becomes flat arrays of word boundaries and 64-bit word hashes, hashed block
+by block so that a task holds little beside the text. Hashes depend on nothing but the
+bytes of a word, so they agree across processes and runs.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 512 << 10
+#: Bytes hashed at a time, and the bytes beyond which a word is digested on its own.
+BLOCK, LONG_WORD = 256 << 10, 4096
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**64, 256, dtype=np.uint64)
@@ -31,16 +35,8 @@ NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 NEWLINE = np.zeros(256, dtype=bool)
 NEWLINE[0x0A] = True
 
-_powers = np.ones(1, dtype=np.uint64)
-
-
-def powers(n: int) -> np.ndarray:
-    """The first ``n`` powers of the hash's odd multiplier, modulo 2**64."""
-    global _powers
-    if len(_powers) < n:
-        size = max(n, 256)
-        _powers = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, _P)]))
-    return _powers[:n]
+#: Powers of the hash's odd multiplier, modulo 2**64.
+_POWERS = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(LONG_WORD, _P)]))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -73,12 +69,13 @@ class Slice:
 
 @dataclass
 class Words:
-    """Words of a slice, in order: byte bounds, text index, hash."""
+    """Words of a slice, in order: byte bounds, text index, hash, and the hash of the beginning if asked for."""
 
     start: np.ndarray
     end: np.ndarray
     doc: np.ndarray
     hash: np.ndarray
+    stem: np.ndarray | None = None
 
     def bounds(self, n: int) -> np.ndarray:
         """Where each of ``n`` texts begins and ends among the words."""
@@ -104,37 +101,55 @@ def slices(column: pa.Array | pa.ChunkedArray) -> Iterator[Slice]:
         at = to
 
 
-def words(s: Slice, separators: np.ndarray = SPACE, lower: bool = True, prefix: int | None = None) -> Words:
-    """Maximal runs of bytes that are no separators, never across texts; hashed by ``prefix`` bytes if given."""
+def _blocks(start: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of words that begin within BLOCK bytes of each other; a long word is a range of its own."""
+    long = np.flatnonzero(size > LONG_WORD)
+    cuts = np.searchsorted(start, np.arange(start[0], start[-1] + 1, BLOCK))
+    cuts = np.unique(np.concatenate([cuts, long, long + 1, [0, len(start)]]))
+    yield from zip(cuts[:-1].tolist(), cuts[1:].tolist())
+
+
+def words(s: Slice, separators: np.ndarray = SPACE, lower: bool = True, stem: int | None = None) -> Words:
+    """Maximal runs of bytes that are no separators, never across texts; ``stem``: also hash so many first bytes of each."""
     size = len(s.data)
-    empty = np.zeros(0, np.int64)
-    if not size:
-        return Words(empty, empty, empty, np.zeros(0, np.uint64))
     apart = separators[s.data]
     breaks = np.zeros(size + 1, dtype=bool)
     breaks[s.offsets] = True
-    before = np.empty(size, dtype=bool)
-    before[0] = True
-    before[1:] = apart[:-1]
-    start = np.flatnonzero(~apart & (before | breaks[:-1]))
-    after = np.empty(size, dtype=bool)
-    after[-1] = True
-    after[:-1] = apart[1:]
-    end = np.flatnonzero(~apart & (after | breaks[1:])) + 1
+    edge = breaks[:-1].copy()
+    edge[1:] |= apart[:-1]
+    start = np.flatnonzero(edge & ~apart)
     if not len(start):
-        return Words(empty, empty, empty, np.zeros(0, np.uint64))
+        none = np.zeros(0, np.uint64)
+        return Words(start, start, start, none, none if stem else None)
+    edge = breaks[1:]
+    edge[:-1] |= apart[1:]
+    end = np.flatnonzero(edge & ~apart) + 1
     doc = np.searchsorted(s.offsets, start, side="right") - 1
-    values = (_BYTE_LOWER if lower else _BYTE)[s.data]
-    values[apart] = 0
-    spans = np.diff(np.append(start, size))
-    place = np.arange(start[0], size) - np.repeat(start, spans)
-    size_of = end - start if prefix is None else np.minimum(end - start, prefix)
-    if prefix is not None:
-        values[start[0] :][place >= prefix] = 0
-    inside = np.minimum(place, int(size_of.max()))
-    values = values[start[0] :] * powers(int(inside.max()) + 1)[inside]
-    h = np.add.reduceat(values, start - start[0])
-    return Words(start, end, doc, mix(h + size_of.astype(np.uint64)))
+    table, length = _BYTE_LOWER if lower else _BYTE, end - start
+    h = np.empty(len(start), np.uint64)
+    h_stem = np.empty(len(start), np.uint64) if stem else None
+    for i, j in _blocks(start, length):
+        lo, hi = start[i], end[j - 1]
+        if hi - lo > LONG_WORD and j - i == 1:
+            whole = s.data[lo:hi]
+            h[i] = int.from_bytes(hashlib.blake2b((_LOWER[whole] if lower else whole).tobytes(), digest_size=8).digest(), "little")
+            if stem:
+                h_stem[i] = (table[whole[:stem]] * _POWERS[:stem]).sum()
+            continue
+        first = start[i:j] - lo
+        values = table[s.data[lo:hi]]
+        values[apart[lo:hi]] = 0
+        place = np.arange(hi - lo, dtype=np.int32)
+        place -= np.repeat(first.astype(np.int32), np.diff(np.append(first, hi - lo)))
+        values *= _POWERS[np.minimum(place, LONG_WORD, out=place)]  # places beyond a word are separators
+        h[i:j] = np.add.reduceat(values, first)
+        if stem:
+            values[place >= stem] = 0
+            h_stem[i:j] = np.add.reduceat(values, first)
+    w = Words(start, end, doc, mix(h + length.astype(np.uint64)))
+    if stem:
+        w.stem = mix(h_stem + np.minimum(length, stem).astype(np.uint64))
+    return w
 
 
 def ngrams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -1,8 +1,14 @@
 """Quality rules by line labelling with a linear-chain conditional random field.
 
-Every line is content or boilerplate. Weights come from a bounded sample of
-labelled texts whose lines carry the label of their text; decoding is Viterbi over
-all lines of a text, and the share of words in content lines decides retention.
+Every line is content or boilerplate. Labels are known for texts only, so the labels
+of lines are latent: a text of good quality is one whose content lines hold at least
+the wanted share of its words. Rounds of fitting and labelling alternate: the field is
+fitted to the current labels of lines, then each line takes its label on the best path,
+and in a text whose share contradicts its label the least certain lines change sides.
+In the first round, where all lines of a text carry its label, lines count singly:
+moves between labels are learnt only once labels differ within texts.
+Decoding is Viterbi over all lines of a text, and the share of words in content lines
+decides retention.
 """
 
 from __future__ import annotations
@@ -25,6 +31,63 @@ SAMPLE_TEXTS, SAMPLE_LINES = 1500, 100
 CONTENT_SHARE = 0.5
 #: Most repeated words in a hundred, and fewest words, that the base rules let pass.
 MAX_REPEATED, MIN_WORDS = 30, 20
+#: Rounds of labelling lines anew, gradient steps of a round, step size and weight decay of the fit.
+ROUNDS, STEPS, RATE, RIDGE = 4, 60, 0.3, 1e-3
+
+
+class Chains:
+    """Chains of lines of similar length, padded: features, which places are lines, labels, weights."""
+
+    def __init__(self, chains: list[np.ndarray], labels: list[np.ndarray], weights: np.ndarray):
+        longest = max(map(len, chains))
+        self.x = np.zeros((len(chains), longest, chains[0].shape[1]))
+        self.on = np.zeros((len(chains), longest), bool)
+        self.y = np.zeros((len(chains), longest), bool)
+        for i, (c, y) in enumerate(zip(chains, labels)):
+            self.x[i, : len(c)], self.on[i, : len(c)], self.y[i, : len(c)] = c, True, y
+        self.weights = weights
+
+    def likelihood(self, theta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Weighted log-likelihood of the labels, its gradient, and each line's probability of being content."""
+        w, moves = theta[:-4], theta[-4:].reshape(2, 2)
+        on, y, scale = self.on, self.y, self.weights / self.on.sum(axis=1)
+        u = np.stack([np.zeros(on.shape), self.x @ w], axis=2)
+        forward, backward = np.zeros(u.shape), np.zeros(u.shape)
+        forward[:, 0] = u[:, 0]
+        for t in range(1, on.shape[1]):
+            step = np.logaddexp(forward[:, t - 1, :1] + moves[0], forward[:, t - 1, 1:] + moves[1]) + u[:, t]
+            forward[:, t] = np.where(on[:, t, None], step, forward[:, t - 1])
+        for t in range(on.shape[1] - 2, -1, -1):
+            after = u[:, t + 1] + backward[:, t + 1]
+            step = np.logaddexp(moves[:, 0] + after[:, :1], moves[:, 1] + after[:, 1:])
+            backward[:, t] = np.where(on[:, t + 1, None], step, 0)
+        total = np.logaddexp(forward[:, -1, 0], forward[:, -1, 1])
+        p = np.exp(np.minimum(0, forward[:, :, 1] + backward[:, :, 1] - total[:, None])) * on
+        grad = np.zeros(len(theta))
+        grad[:-4] = np.einsum("ij,ijk->k", (y * on - p) * scale[:, None], self.x)
+        both = on[:, 1:] & on[:, :-1]
+        value = (u[:, :, 1] * (y & on)).sum(axis=1) - total
+        for a in (0, 1):
+            for b in (0, 1):
+                pair = forward[:, :-1, a] + moves[a, b] + u[:, 1:, b] + backward[:, 1:, b] - total[:, None]
+                expected = np.exp(np.minimum(0, pair)) * both
+                seen = both & (y[:, :-1] == a) & (y[:, 1:] == b)
+                value += seen.sum(axis=1) * moves[a, b]
+                grad[len(theta) - 4 + 2 * a + b] = ((seen - expected) * scale[:, None]).sum()
+        return float((value * scale).sum()), grad, p
+
+
+def relabelled(good: bool, path: np.ndarray, p: np.ndarray, words: np.ndarray, share: float) -> np.ndarray:
+    """A chain's best path, with the least certain lines changed until its content share fits its text's label."""
+    y = path.copy()
+    content, all_ = int(words[y].sum()), int(words.sum())
+    for i in np.argsort(-p if good else p, kind="stable"):
+        if (content >= share * all_) == good:
+            break
+        if y[i] != good:
+            y[i] = good
+            content += int(words[i]) if good else -int(words[i])
+    return y
 
 
 @dataclass
@@ -37,52 +100,39 @@ class LineCrf:
     @classmethod
     def empty(cls) -> LineCrf:
         """Without both classes to learn from, every line is content."""
-        weights = np.zeros(len(S.FEATURES))
-        weights[-1] = 1.0
+        weights = np.zeros(len(S.LINE_FEATURES))
+        weights[S.LINE_FEATURES.index("bias")] = 1.0
         return cls(weights, np.zeros((2, 2)))
 
     @classmethod
-    def fit(cls, chains: list[np.ndarray], labels: list[int], rounds: int = 150, rate: float = 0.3, ridge: float = 1e-3) -> LineCrf:
-        """Maximum conditional likelihood by gradient ascent with adaptive steps, all chains at once."""
+    def fit(cls, chains: list[np.ndarray], words: list[np.ndarray], labels: list[int], share: float = CONTENT_SHARE) -> LineCrf:
+        """Maximum conditional likelihood with latent labels of lines; ``labels``: of the chains' texts, ``words``: of their lines.
+
+        Each class weighs one half, and each chain of a class the same.
+        """
         if len(set(labels)) < 2:
             return cls.empty()
-        longest = max(map(len, chains))
-        x = np.zeros((len(chains), longest, len(S.FEATURES)))
-        on = np.zeros((len(chains), longest), bool)
-        for i, c in enumerate(chains):
-            x[i, : len(c)], on[i, : len(c)] = c, True
-        y = np.array(labels, float)
-        each = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
-        theta = np.zeros(len(S.FEATURES) + 4)
-        square = np.full(len(theta), 1e-8)
-        both = on[:, 1:] & on[:, :-1]
-        for _ in range(rounds):
-            w, moves = theta[:-4], theta[-4:].reshape(2, 2)
-            u = np.stack([np.zeros(on.shape), x @ w], axis=2)
-            forward, backward = np.zeros(u.shape), np.zeros(u.shape)
-            forward[:, 0] = u[:, 0]
-            for t in range(1, longest):
-                step = np.logaddexp(forward[:, t - 1, :1] + moves[0], forward[:, t - 1, 1:] + moves[1]) + u[:, t]
-                forward[:, t] = np.where(on[:, t, None], step, forward[:, t - 1])
-            for t in range(longest - 2, -1, -1):
-                after = u[:, t + 1] + backward[:, t + 1]
-                step = np.logaddexp(moves[:, 0] + after[:, :1], moves[:, 1] + after[:, 1:])
-                backward[:, t] = np.where(on[:, t + 1, None], step, 0)
-            total = np.logaddexp(forward[:, -1, 0], forward[:, -1, 1])
-            p = np.exp(np.minimum(0, forward[:, :, 1] + backward[:, :, 1] - total[:, None])) * on
-            grad = np.zeros(len(theta))
-            scale = each / on.sum(axis=1)
-            grad[:-4] = np.einsum("ij,ijk->k", (y[:, None] * on - p) * scale[:, None], x)
-            for a in (0, 1):
-                for b in (0, 1):
-                    pair = forward[:, :-1, a] + moves[a, b] + u[:, 1:, b] + backward[:, 1:, b] - total[:, None]
-                    expected = np.exp(np.minimum(0, pair)) * both
-                    seen = both * ((y == a) & (y == b))[:, None]
-                    grad[len(theta) - 4 + 2 * a + b] = ((seen - expected) * scale[:, None]).sum()
-            grad -= ridge * theta
-            square += grad**2
-            theta += rate * grad / np.sqrt(square)
-        return cls(theta[:-4].copy(), theta[-4:].reshape(2, 2).copy())
+        good = np.array(labels) == 1
+        each = np.where(good, 0.5 / good.sum(), 0.5 / (~good).sum())
+        order = np.argsort([len(c) for c in chains], kind="stable")
+        parts = [p for p in np.array_split(order, 8) if len(p)]
+        batches = [Chains([chains[i] for i in p], [np.full(len(chains[i]), good[i]) for i in p], each[p]) for p in parts]
+        theta = np.zeros(chains[0].shape[1] + 4)
+        model = cls.empty()
+        for k in range(ROUNDS):
+            square = np.full(len(theta), 1e-8)
+            learnt = np.append(np.ones(len(theta) - 4), np.full(4, float(k > 0)))
+            for _ in range(STEPS):
+                grad = learnt * sum(b.likelihood(theta)[1] for b in batches) - RIDGE * theta
+                square += grad**2
+                theta = theta + RATE * grad / np.sqrt(square)
+            model = cls(theta[:-4].copy(), theta[-4:].reshape(2, 2).copy())
+            for part, batch in zip(parts, batches):
+                p = batch.likelihood(theta)[2]
+                for k, i in enumerate(part):
+                    n = len(chains[i])
+                    batch.y[k, :n] = relabelled(bool(good[i]), model.decode(chains[i]), p[k, :n], words[i], share)
+        return model
 
     def decode(self, x: np.ndarray) -> np.ndarray:
         """The likeliest labels of a chain of lines (Viterbi); content on ties."""
@@ -104,34 +154,42 @@ class LineCrf:
 def _sampled_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for s in K.slices(batch.column(1)):
-            x, lines, _ = S.line_features(s)
+            w = K.words(s, lower=False)
+            lines, unit = S.lines_with_words(s, w)
+            x, words = S.line_features(s, w, lines, unit)
             cut = lines.bounds(s.n)
             starts = [(i, a) for i in range(s.n) for a in range(cut[i], cut[i + 1], SAMPLE_LINES)]
-            rows = [x[a : min(cut[i + 1], a + SAMPLE_LINES)].ravel() for i, a in starts]
+            ends = [min(cut[i + 1], a + SAMPLE_LINES) for i, a in starts]
             of = pa.array([s.first + i for i, _ in starts], pa.int64())
-            columns = [batch.column(0).take(of), batch.column(2).take(of), pa.array([int(a - cut[i]) for i, a in starts], pa.int64()), pa.array(rows, pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "label", "line", "x"])
+            columns = [
+                batch.column(0).take(of),
+                batch.column(2).take(of),
+                pa.array([int(a - cut[i]) for i, a in starts], pa.int64()),
+                pa.array([x[a:b].ravel() for (_, a), b in zip(starts, ends)], pa.list_(pa.float64())),
+                pa.array([words[a:b] for (_, a), b in zip(starts, ends)], pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "label", "line", "x", "words"])
 
 
-def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE_TEXTS) -> LineCrf:
+def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE_TEXTS, share: float = CONTENT_SHARE, id_col: str = "doc_id", text_col: str = "text") -> LineCrf:
     """A field fitted on at most ``sample`` texts of each class of ``labels.quality``.
 
     Texts are cut into chains of ``SAMPLE_LINES`` lines; of more than ``sample`` chains of a
     class those with the least hash are taken, wherever they stand in their text.
     """
-    texts = labelled_sample(documents, labels, "quality", sample).select("doc_id", "text", "label")
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    chains = texts.mapInArrow(_sampled_lines, f"doc_id {kind}, label int, line long, x array<double>")
+    texts = labelled_sample(documents, labels, "quality", sample, id_col, text_col)
+    chains = texts.mapInArrow(_sampled_lines, "doc_id long, label int, line long, x array<double>, words array<long>")
     least = Window.partitionBy("label").orderBy(F.xxhash64("doc_id", "line"), "doc_id", "line")
-    rows = chains.withColumn("__k", F.row_number().over(least)).filter(F.col("__k") <= sample).select("label", "x").collect()
-    rows = [r for r in rows if r.x]
-    return LineCrf.fit([np.array(r.x).reshape(-1, len(S.FEATURES)) for r in rows], [r.label for r in rows])
+    rows = chains.withColumn("k", F.row_number().over(least)).filter(F.col("k") <= sample).select("label", "x", "words").collect()
+    return LineCrf.fit([np.array(r.x).reshape(len(r.words), -1) for r in rows], [np.array(r.words) for r in rows], [r.label for r in rows], share)
 
 
 def judged(s: K.Slice, crf: LineCrf, share: float) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     """Base counts, base failures, verdicts and content words of a slice's texts."""
-    base = S.base_counts(s)
-    x, lines, words = S.line_features(s)
+    w = K.words(s, lower=False)
+    lines, unit = S.lines_with_words(s, w)
+    base = S.base_counts(s, w, lines)
+    x, words = S.line_features(s, w, lines, unit)
     cut = lines.bounds(s.n)
     content = np.zeros(s.n, np.int64)
     for i in range(s.n):
@@ -164,15 +222,15 @@ def quality_rules(documents: DataFrame, labels: DataFrame, share: float = CONTEN
     judged each; an empty table gives no rows; other columns are ignored. Without
     labels of both classes only the base rules decide.
     """
-    crf = crf or fit(documents, labels)
+    crf = crf or fit(documents, labels, share=share, id_col=id_col, text_col=text_col)
     texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_words long"
     return texts.mapInArrow(_rule(crf, share), schema)
 
 
-def keep_content(documents: DataFrame, labels: DataFrame, share: float = CONTENT_SHARE, text_col: str = "text", crf: LineCrf | None = None) -> DataFrame:
+def keep_content(documents: DataFrame, labels: DataFrame, share: float = CONTENT_SHARE, id_col: str = "doc_id", text_col: str = "text", crf: LineCrf | None = None) -> DataFrame:
     """The rows of ``documents`` that the rules keep, with all their columns; a filter without a shuffle."""
-    crf = crf or fit(documents, labels)
+    crf = crf or fit(documents, labels, share=share, id_col=id_col, text_col=text_col)
     at = documents.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,10 +7,12 @@ Texts become sets of n-gram hashes. Sets carry the symmetric-difference metric
 1. *Top regions.* Texts that share nothing lie at the same distance from every
    document, so documents as pivots cannot part them and every window would
    replicate every text. The top level therefore measures distance in k
-   projections of the set (hash ranges), where the metric is additive: with k
-   above the reach, two linked sets coincide in at least one projection. Each
-   projection value is a pivot whose Voronoi cell holds the sets at distance 0;
-   sets near the border of a size class are replicated into the next one.
+   projections of the set (hash ranges), where the metric is additive: with k a
+   spare above the reach, two linked sets coincide in at least as many projections
+   as are spare. Each projection value is a pivot whose Voronoi cell holds the sets
+   at distance 0; sets near the border of a size class are replicated into the next
+   one. A set leaves its most crowded cells, one fewer than are spare: of the cells
+   that two linked sets share, the least crowded one is among those that both keep.
 2. *Document pivots.* In a cell of several sets the one that shares most cells
    becomes the pivot; cells of one pivot form its region. Before whole sets travel
    to a region, its sets are compared in a contraction of the metric: the parities
@@ -37,10 +39,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -51,12 +54,16 @@ from .storage import discard, materialize
 LEAF = 256
 #: Sets of a region whose sketches one task compares; larger regions fall back to their cells, larger cells to the recursion.
 SKETCHED = 2048
-#: Ids whose list may be broadcast (8 bytes each); beyond it the join shuffles.
+#: Elements that the sets of such a region may have in all; a sketch takes half a byte an element at most.
+SKETCHED_ITEMS = 1 << 26
+#: Ids, alone or with that of their region, whose list may be broadcast (16 bytes each at most); beyond it the join shuffles.
 BROADCAST_IDS = 1 << 20
-#: Members of a region that one task compares with its pivot at a time.
-CHUNK = 512
-#: Equal projections that a linked pair has at least; so rows for empty projections are hardly ever needed.
-SPARE = 3
+#: Members of a region that one task compares with its pivot at a time, and their elements (8 bytes each); also the elements of a leaf.
+CHUNK, CHUNK_ITEMS = 512, 1 << 22
+#: Spare projections: so many at least, and one for so many of the reach.
+SPARE, SPARE_SHARE = 3, 4
+#: Bits of a cell's name that hold its size class.
+CLASS_BITS = 6
 #: Fingerprints that a task remembers, so that copies of a text it has met emit no cells again.
 REMEMBERED = 1 << 17
 
@@ -96,32 +103,43 @@ def shingle_sets(s: K.Slice, n: int) -> list[np.ndarray]:
     return out
 
 
-def size_classes(reach: Reach, n: int, ratio: float = 1.6) -> list[tuple[int, int, int]]:
-    """Size classes that a set of size ``n`` enters: (class, projections, reach in the class)."""
+def size_classes(reach: Reach, n: int, ratio: float = 1.6) -> list[tuple[int, int]]:
+    """Size classes that a set of size ``n`` enters: (class, reach in the class)."""
     out, low, k = [], 1, 0
     least = reach.smallest_partner(n)
     while low <= n:
         high = max(low, int(low * ratio))
         if high >= least:
-            far = int(reach.of(high + reach.largest_partner(high)))
-            if far:
-                out.append((k, far + SPARE, far))
+            out.append((k, int(reach.of(high + reach.largest_partner(high)))))
         low, k = high + 1, k + 1
     return out
 
 
-def cells(x: np.ndarray, reach: Reach) -> np.ndarray:
-    """Names of the Voronoi cells of the top level that the sorted set ``x`` lies in."""
-    named = []
+def cells(x: np.ndarray, reach: Reach) -> tuple[np.ndarray, list[int]]:
+    """Names of the top-level cells that the sorted set ``x`` lies in, and how many crowded ones it may leave by size class.
+
+    The class is in the lowest bits of a name; the last class is the set's own. Two linked sets coincide in ``spare``
+    projections at least. Those that are empty make no cells where others are certain to
+    be left, and count as left; where none is certain, all make cells and none is left.
+    """
+    named, leave = [], []
     mixed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(K.mix(x + np.uint64(0x51ED270B)))])
-    for k, parts, far in size_classes(reach, len(x)):
+    for k, far in size_classes(reach, len(x)):
+        if not far:  # linked sets of this class are equal
+            leave.append(0)
+            continue
+        spare = SPARE + far // SPARE_SHARE
+        parts = far + spare
         of = ((x >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         count = np.bincount(of.astype(np.int64), minlength=parts)
         end = np.cumsum(count)
         value = mixed[end] - mixed[end - count]
         name = K.combine([np.full(parts, k, np.uint64), np.arange(parts, dtype=np.uint64), count.astype(np.uint64), value])
-        named.append(name[count > 0] if (count == 0).sum() < parts - far else name)
-    return np.concatenate(named) if named else x[:0]
+        name = (name << np.uint64(CLASS_BITS)) | np.uint64(k)
+        empty = int((count == 0).sum())
+        named.append(name[count > 0] if empty < spare else name)
+        leave.append(max(0, spare - empty - 1))
+    return np.concatenate(named) if named else x[:0], leave
 
 
 def sketch(x: np.ndarray) -> bytes:
@@ -186,13 +204,16 @@ def _describe(n: int, reach: Reach):
         met: set[tuple[int, int]] = set()
         for batch in batches:
             for s in K.slices(batch.column(1)):
-                sizes, f1, f2, flat, sketches = [], [], [], [], []
+                sizes, f1, f2, flat, own, leave, sketches = [], [], [], [], [], [], []
                 for x in shingle_sets(s, n):
                     mark = int(np.bitwise_xor.reduce(K.mix(x))) if len(x) else 0, int(np.add.reduce(K.mix(x ^ np.uint64(0xA5A5A5A5)))) if len(x) else 0
                     sizes.append(len(x))
                     f1.append(mark[0])
                     f2.append(mark[1])
-                    flat.append(cells(x, reach) if mark not in met else x[:0])
+                    named, left = cells(x, reach) if mark not in met else (x[:0], [])
+                    flat.append(named)
+                    own.append(size_classes(reach, len(x))[-1][0] if len(left) else 0)
+                    leave.append(left)
                     sketches.append(sketch(x) if len(x) else None)
                     if len(met) < REMEMBERED:
                         met.add(mark)
@@ -204,9 +225,11 @@ def _describe(n: int, reach: Reach):
                         pa.array(np.array(f1, np.uint64).view(np.int64)),
                         pa.array(np.array(f2, np.uint64).view(np.int64)),
                         K.list_array(pa.array(np.concatenate(flat).view(np.int64)), bounds),
+                        pa.array(own, pa.int32()),
+                        pa.array(leave, pa.list_(pa.int32())),
                         pa.array(sketches, pa.binary()),
                     ],
-                    names=["id", "n", "f1", "f2", "cells", "sketch"],
+                    names=["id", "n", "f1", "f2", "cells", "own", "leave", "sketch"],
                 )
 
     return run
@@ -216,8 +239,9 @@ def _set_rows(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in K.slices(batch.column(1)):
-                sets = [x.tobytes() for x in shingle_sets(s, n)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, s.n), pa.array(sets, pa.binary())], names=["id", "items"])
+                sets = shingle_sets(s, n)
+                columns = [batch.column(0).slice(s.first, s.n), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "items"])
 
     return run
 
@@ -358,59 +382,82 @@ class NgramJaccardJoin:
     def components(self, documents: DataFrame) -> DataFrame:
         """``(doc_id, n_shingles, class_id, component_id)`` for each document."""
         texts = self._texts(documents)
-        described = materialize(texts.mapInArrow(_describe(self.n, self.reach), "id long, n long, f1 long, f2 long, cells array<long>, sketch binary"), "described")
-        keys = described.select("id", "n", "f1", "f2")
+        described = materialize(texts.mapInArrow(_describe(self.n, self.reach), "id long, n long, f1 long, f2 long, cells array<long>, own int, leave array<int>, sketch binary"), "described")
+        keys = described.select("id", "n", "f1", "f2", "own", "leave")
         classes = keys.filter("n > 0").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"))
-        members = materialize(keys.join(classes, ["f1", "f2", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")), "members")
+        members = materialize(keys.join(classes, ["f1", "f2", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"), "own", "leave"), "members")
         links = self._links(texts, described, members)
         found = connected_components(links)
-        out = members.join(found, members.rep == found.node, "left").select(
+        discard(links)
+        return members.join(found, members.rep == found.node, "left").select(
             F.col("id").alias(self.id_col), F.col("n").alias("n_shingles"), F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id")
         )
-        return out
 
     def representatives(self, documents: DataFrame) -> DataFrame:
         """The rows of ``documents`` with one document of each component, the one of the smallest id.
 
         Rows without an id and texts without words stay; rows that share an id are one document.
         """
-        dropped = self.components(documents).filter(F.col(self.id_col) != F.col("component_id")).select(self.id_col).distinct()
-        return documents.join(dropped, self.id_col, "left_anti").select(documents.columns)
+        found = self.components(documents)
+        dropped = materialize(found.filter(F.col(self.id_col) != F.col("component_id")).select(self.id_col).distinct(), "dropped")
+        discard(found)
+        listed = F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped
+        return documents.join(listed, self.id_col, "left_anti").select(documents.columns)
 
     def _links(self, texts: DataFrame, described: DataFrame, members: DataFrame) -> DataFrame:
-        """Links between class representatives that make up the components, written table by table."""
-        spark = texts.sparkSession
-        whole = described.select(F.explode("cells").alias("cell"), "id")
-        several = F.expr("min(id) over (partition by cell) <> max(id) over (partition by cell)")
-        met = whole.withColumn("several", several).filter("several").select("cell", "id")
-        met = met.join(members.select("id", "rep"), "id").select("cell", F.col("rep").alias("x")).distinct()
-        met = materialize(met, "cells")
-        crowd = met.groupBy("cell").agg(F.count("*").alias("size")).filter("size > 1")
-        regions = self._pruned(materialize(self._by_pivot(met.join(crowd, "cell")), "regions"), described)
-        discard(spark, described)
+        """Links between class representatives that make up the components, as a written table."""
+        met = self._met(described, members)
+        regions = self._pruned(self._by_pivot(met), described)
+        discard(met, described)
         ids = regions.select(F.col("x").alias("id")).distinct()
         count = ids.count()
-        links = spark.range(0).select(F.col("id").alias("u"), F.col("id").alias("v"))
         if not count:
-            return links
+            discard(regions)
+            return materialize(ids.select(F.col("id").alias("u"), F.col("id").alias("v")), "links")
         wanted = F.broadcast(ids) if count <= BROADCAST_IDS else ids
-        sets = materialize(texts.join(wanted, "id", "left_semi").mapInArrow(_set_rows(self.n), "id long, items binary"), "sets")
+        sets = materialize(texts.join(wanted, "id", "left_semi").mapInArrow(_set_rows(self.n), "id long, n long, items binary"), "sets")
+        parts = []
         while True:
-            crowd = regions.groupBy("region").agg(F.count("*").alias("size"))
-            sized = regions.join(crowd.filter("size > 1"), "region")
-            small = materialize(sized.filter(F.col("size") <= self.leaf).select("region", "x"), "small")
-            found = self._with_items(small, sets)
-            found = found.groupBy("region").applyInArrow(_leaf(self.reach), "u long, v long")
-            large = materialize(sized.filter(F.col("size") > self.leaf), "large")
+            weighed = regions.join(sets.select(F.col("id").alias("x"), "n"), "x")
+            crowd = weighed.groupBy("region").agg(F.count("*").alias("size"), F.sum("n").alias("elements")).filter("size > 1")
+            sized = regions.join(crowd, "region")
+            direct = (F.col("size") <= self.leaf) & (F.col("elements") <= CHUNK_ITEMS)
+            found = self._with_items(sized.filter(direct).select("region", "x"), sets)
+            parts.append(materialize(found.groupBy("region").applyInArrow(_leaf(self.reach), "u long, v long").distinct(), "links"))
+            large = materialize(sized.filter(~direct), "large")
+            discard(regions)
             if large.isEmpty():
-                return materialize(links.unionByName(found).distinct(), "links")
+                discard(large)
+                break
             around = materialize(self._around(large, sets), "around")
-            found = found.unionByName(around.filter("ball and x <> p").select(F.col("p").alias("u"), F.col("x").alias("v")))
-            links = materialize(links.unionByName(found).distinct(), "links")
+            parts.append(materialize(around.filter("ball and x <> p").select(F.col("p").alias("u"), F.col("x").alias("v")), "links"))
             regions = materialize(self._deeper(around), "regions")
-            discard(spark, around, large)
+            discard(around, large)
             if regions.isEmpty():
-                return links
+                discard(regions)
+                break
+        links = materialize(reduce(DataFrame.unionByName, parts).distinct(), "links")
+        discard(sets, *parts)
+        return links
+
+    @staticmethod
+    def _met(described: DataFrame, members: DataFrame) -> DataFrame:
+        """``(cell, x, n, size, widest)``: the cells that class representatives stay in, with their number of sets and largest set."""
+        whole = described.select(F.explode("cells").alias("cell"), "id")
+        several = F.expr("min(id) over (partition by cell) <> max(id) over (partition by cell)")
+        met = whole.withColumn("several", several).filter("several").select("cell", "id")
+        back = F.col("own") - F.col("cell").bitwiseAND((1 << CLASS_BITS) - 1).cast("int")
+        leave = F.try_element_at("leave", -1 - back)
+        met = met.join(members.select("id", "rep", "n", "own", "leave"), "id").select("cell", F.col("rep").alias("x"), "n", leave.alias("leave"))
+        met = materialize(met.distinct(), "cells")
+        crowd = met.groupBy("cell").agg(F.count("*").alias("size"), F.max("n").alias("widest")).filter("size > 1")
+        of_class = F.col("cell").bitwiseAND((1 << CLASS_BITS) - 1)
+        order = Window.partitionBy("x", of_class).orderBy(F.desc("size"), "cell")
+        kept = met.join(crowd, "cell").repartition("x").withColumn("rank", F.row_number().over(order)).filter("rank > leave")
+        central = kept.withColumn("central", F.sum("size").over(Window.partitionBy("x")))
+        out = materialize(central.select("cell", "x", "n", "size", "widest", "central"), "kept")
+        discard(met)
+        return out
 
     @staticmethod
     def _with_items(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -421,37 +468,43 @@ class NgramJaccardJoin:
     @staticmethod
     def _by_pivot(met: DataFrame) -> DataFrame:
         """Each cell's most central set becomes its pivot; cells of one pivot are one region, if its sketches fit one task."""
-        central = met.groupBy("x").agg(F.sum("size").alias("central"))
-        pivots = met.join(central, "x").groupBy("cell").agg(F.max(F.struct("central", (-F.col("x")).alias("first"))).alias("top"))
+        pivots = met.groupBy("cell").agg(F.max(F.struct("central", (-F.col("x")).alias("first"))).alias("top"))
         pivots = pivots.select("cell", (-F.col("top.first")).alias("p"))
-        placed = met.join(pivots, "cell").groupBy("p", "x").agg(F.collect_set(F.struct("cell", "size")).alias("cells"))
-        wide = placed.groupBy("p").agg(F.count("*").alias("members"))
+        placed = met.join(pivots, "cell").groupBy("p", "x", "n").agg(F.collect_set(F.struct("cell", "size", "widest")).alias("cells"))
+        wide = placed.groupBy("p").agg(F.count("*").alias("members"), F.sum("n").alias("elements"))
         placed = placed.join(wide, "p")
-        whole = placed.filter(F.col("members") <= SKETCHED).select(F.col("p").alias("region"), "p", "x")
-        parts = placed.filter(F.col("members") > SKETCHED).select("p", "x", F.inline("cells"))
-        region = F.when(F.col("size") <= SKETCHED, F.col("cell")).otherwise(F.col("p"))
-        return whole.unionByName(parts.select(region.alias("region"), "p", "x").distinct())
+        fits = (F.col("members") <= SKETCHED) & (F.col("elements") <= SKETCHED_ITEMS)
+        whole = placed.filter(fits).select(F.col("p").alias("region"), "p", "x", "n")
+        parts = placed.filter(~fits).select("p", "x", "n", F.inline("cells"))
+        cell_fits = (F.col("size") <= SKETCHED) & (F.col("size") * F.col("widest") <= SKETCHED_ITEMS)
+        region = F.when(cell_fits, F.col("cell")).otherwise(F.col("p"))
+        return materialize(whole.unionByName(parts.select(region.alias("region"), "p", "x", "n").distinct()), "regions")
 
     def _pruned(self, regions: DataFrame, described: DataFrame) -> DataFrame:
-        """Regions of up to SKETCHED sets by groups that may hold links; larger ones as they are."""
-        crowd = regions.groupBy("region").agg(F.count("*").alias("size")).filter("size > 1")
+        """Regions whose sketches fit one task by groups that may hold links; larger ones as they are."""
+        crowd = regions.groupBy("region").agg(F.count("*").alias("size"), F.sum("n").alias("elements")).filter("size > 1")
         sized = regions.join(crowd, "region")
-        tight = sized.filter(F.col("size") <= SKETCHED).select("region", "x")
+        fits = (F.col("size") <= SKETCHED) & (F.col("elements") <= SKETCHED_ITEMS)
+        tight = sized.filter(fits).select("region", "x")
         known = F.broadcast(tight) if regions.count() <= BROADCAST_IDS else tight
         near = described.join(known, F.col("x") == F.col("id")).select("region", "x", "n", "sketch")
         stars = materialize(near.groupBy("region").applyInArrow(_prune(self.reach), "u long, v long").groupBy("u", "v").agg(F.count("*").alias("times")), "stars")
         central = stars.groupBy("u").agg(F.sum("times").alias("central"))
-        group = connected_components(stars.select("u", "v")).join(central, F.col("node") == F.col("u"), "left")
+        grouped = connected_components(stars.select("u", "v"))
+        group = grouped.join(central, F.col("node") == F.col("u"), "left")
         first = F.struct(F.coalesce("central", F.lit(0)), (-F.col("node")).alias("first"))
         pivots = group.groupBy("component").agg(F.max(first).alias("top")).select("component", (-F.col("top.first")).alias("p"))
         groups = group.join(pivots, "component").select(F.xxhash64(F.lit("group"), "component").alias("region"), "p", F.col("node").alias("x"))
-        return materialize(groups.unionByName(sized.filter(F.col("size") > SKETCHED).select("region", "p", "x")), "groups")
+        out = materialize(groups.unionByName(sized.filter(~fits).select("region", "p", "x")), "groups")
+        discard(stars, grouped, regions)
+        return out
 
     def _around(self, large: DataFrame, sets: DataFrame) -> DataFrame:
         """Exact distances from the pivot of each large region, in chunks of its members."""
-        chunk = (F.abs(F.xxhash64("x")) % F.ceil(F.col("size") / CHUNK)).cast("long")
-        dealt = large.withColumn("chunk", chunk)
-        pivots = dealt.select("region", "chunk", "p").distinct().join(sets, F.col("p") == sets.id).select("region", "chunk", "id", "items").toDF("region", "chunk", "id", "items")
+        chunks = F.ceil(F.greatest(F.col("size") / CHUNK, F.col("elements") / CHUNK_ITEMS))
+        dealt = large.withColumn("chunk", F.pmod(F.xxhash64("x"), chunks))
+        pivots = dealt.select("region", "chunk", "p").distinct().join(sets, F.col("p") == sets.id)
+        pivots = pivots.select("region", "chunk", "id", "items").toDF("region", "chunk", "id", "items")  # columns of their own for the cogroup
         dealt = dealt.join(sets, F.col("x") == sets.id).select("region", "chunk", "x", "items").toDF("region", "chunk", "x", "items")
         schema = "region long, p long, x long, np long, n long, a long, ball boolean, between array<long>"
         return dealt.groupBy("region", "chunk").cogroup(pivots.groupBy("region", "chunk")).applyInArrow(_from_pivot(self.reach), schema)

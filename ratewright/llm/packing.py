@@ -9,6 +9,7 @@ sequence. Only the last sequence can be short.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,65 +20,88 @@ from pyspark.sql import functions as F
 
 from .storage import materialize
 
-#: Words whose ids a task remembers before it starts anew.
-MEMO = 500_000
+#: Words, and runs of them, whose ids a task remembers at a time.
+MEMO = 300_000
+#: Words of these characters split into runs by rule: printable ASCII, and the letters of Latin-1, which NFC leaves alone.
+PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: The split pattern of the vocabulary, for lower-cased words of PLAIN characters.
+RUN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+
+
+class Memo:
+    """A mapping that forgets: when full, what was not asked for since it was last full goes."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def get(self, key):
+        value = self.young.get(key)
+        if value is None and self.old:
+            value = self.old.get(key)
+            if value is not None:
+                self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
+        if 2 * len(self.young) >= self.limit:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
 
 
 class WordTokenizer:
     """Ids of whole texts under a vocabulary that drops white space.
 
-    No token spans white space under such a vocabulary, so a text's ids are those of
-    its words in order and a repeated word is encoded once. A closing point or comma
-    after a letter or digit is a token run of its own.
+    No token spans white space under such a vocabulary, so a text's ids are those of its
+    words in order, and a repeated word is encoded once. A word of PLAIN characters is
+    lower-cased and split into runs that the vocabulary's model encodes on their own; any
+    other word, and one that may hold a special token, is encoded by the tokenizer itself.
     """
 
     def __init__(self, path: str, memo: int = MEMO):
         from tokenizers import Tokenizer
 
-        self.encoder, self.limit = Tokenizer.from_file(path), memo
+        self.encoder = Tokenizer.from_file(path)
         self.kind = np.uint16 if self.encoder.get_vocab_size() <= 1 << 16 else np.uint32
-        self.memo: dict[bytes, bytes] = {}
-        self.points = {c: self._pack(self.encoder.encode(c.decode(), add_special_tokens=False).ids) for c in (b".", b",")}
+        self.words, self.runs = Memo(memo), Memo(memo)
+        printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        rest = [b for b in range(256) if b not in printable]
+        self.letter = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
     def _pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.kind).tobytes()
 
-    @staticmethod
-    def _stem(word: bytes) -> tuple[bytes, bytes]:
-        """The part to encode, and a closing point or comma that is encoded apart."""
-        tail = b""
-        if word[-1:] in (b".", b",") and len(word) > 1 and word[:-1].decode()[-1].isalnum():
-            word, tail = word[:-1], word[-1:]
-        return (word if b"<" in word else word.lower()), tail
-
-    def learn(self, missing: set[bytes]) -> None:
-        if len(self.memo) + len(missing) > self.limit:
-            self.memo.clear()
-        stems = {w: self._stem(w) for w in missing}
-        fresh = list({s for s, _ in stems.values() if s not in self.memo})
-        encoded = self.encoder.encode_batch_fast([s.decode() for s in fresh], add_special_tokens=False)
-        known = {s: self._pack(e.ids) for s, e in zip(fresh, encoded)}
-        for w, (s, tail) in stems.items():
-            ids = known[s] if s in known else self.memo[s]
-            self.memo[w] = ids + self.points[tail] if tail else ids
+    def _run(self, run: str) -> bytes:
+        ids = self.runs.get(run)
+        if ids is None:
+            letters = run if run.isascii() else "".join(map(self.letter.__getitem__, run.encode()))
+            ids = self._pack([t.id for t in self.encoder.model.tokenize(letters)])
+            self.runs.put(run, ids)
+        return ids
+
+    def _word(self, word: str) -> bytes:
+        if "<|" not in word and PLAIN.fullmatch(word):
+            return b"".join([self._run(r) for r in RUN.findall(word.lower())])
+        return self._pack(self.encoder.encode(word, add_special_tokens=False).ids)
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """The packed ids of each text."""
         for text in texts:
-            words = text.split()
-            for at in range(0, len(words), 1 << 18):
-                part = words[at : at + (1 << 18)]
-                missing = {w for w in part if w not in self.memo}
-                if missing:
-                    self.learn(missing)
-                    part_ids = [self.memo.get(w) for w in part]
-                    if None in part_ids:  # forgotten while learning
-                        self.learn(set(part))
-                        part_ids = [self.memo[w] for w in part]
-                else:
-                    part_ids = [self.memo[w] for w in part]
-                words[at : at + (1 << 18)] = part_ids
-            yield b"".join(words)
+            words, out = text.split(), []
+            for at in range(0, len(words), 1 << 16):
+                part = words[at : at + (1 << 16)]
+                known = self.words.young
+                ids = [known.get(w) for w in part]
+                if None in ids:
+                    for i, x in enumerate(ids):
+                        if x is None:
+                            ids[i] = self.words.get(part[i])
+                            if ids[i] is None:
+                                ids[i] = self._word(part[i].decode())
+                                self.words.put(part[i], ids[i])
+                out.append(b"".join(ids))
+            yield b"".join(out)
 
 
 _tokenizers: dict[str, WordTokenizer] = {}

@@ -37,8 +37,9 @@ def span_list(spans: str) -> Column:
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(_table(spark, sf_dir, "documents"))
-    counts = [F.size(pii.of_kind("base", kind)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(span_list("base"), 256).alias("base_sha256"), span_list("spans").alias("spans"))
+    counts = [F.size(pii.of_kind("base", kind)).cast("long").alias(f"n_{kind}") for kind in pii.BASE_KINDS]
+    every = F.size("spans").cast("long").alias("n_spans")
+    return found.select("doc_id", *counts, F.sha2(span_list("base"), 256).alias("base_sha256"), span_list("spans").alias("spans"), every)
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

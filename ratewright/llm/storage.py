@@ -13,10 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
+    """The folder of ``spark.checkpoint.dir``; on a single machine a temporary one where that is unset, on a cluster an error."""
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="ratewright-"))
         found = context.getCheckpointDir()
     return found.rstrip("/")
@@ -30,11 +32,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, *frames: DataFrame) -> None:
-    """Delete tables made by :func:`materialize` that no returned plan reads."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
+def discard(*frames: DataFrame) -> None:
+    """Delete the tables made by :func:`materialize` that ``frames`` read, once nothing else does."""
     for df in frames:
+        spark = df.sparkSession
+        top = shared_dir(spark).split(":", 1)[-1].lstrip("/")
+        conf, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+            if folder.split(":", 1)[-1].lstrip("/").startswith(top):
+                path = jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(conf).delete(path, True)

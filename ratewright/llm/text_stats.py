@@ -24,9 +24,16 @@ _LETTER = byte_class(bytes([*range(65, 91), *range(97, 123), *range(128, 256)]))
 _STOP = byte_class(b".,;:!?")
 
 
+def running(mask: np.ndarray) -> np.ndarray:
+    """How many bytes before each place, and in all, are in a mask."""
+    total = np.zeros(len(mask) + 1, np.int32)
+    np.cumsum(mask, dtype=np.int32, out=total[1:])
+    return total
+
+
 def per_text(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """How many bytes of each text are in a mask."""
-    total = np.concatenate([[0], np.cumsum(mask)])
+    total = running(mask)
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
@@ -59,11 +66,9 @@ def covered(w: K.Words, size: int = 8) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def base_counts(s: K.Slice) -> dict[str, np.ndarray]:
-    """The counts of the quality rules, per text."""
-    w = K.words(s, lower=False)
-    points = np.concatenate([[0], np.cumsum((s.data & 0xC0) != 0x80)])
-    lines, _ = lines_with_words(s, w)
+def base_counts(s: K.Slice, w: K.Words, lines: K.Words) -> dict[str, np.ndarray]:
+    """The counts of the quality rules, per text; ``w``: its words, ``lines``: its lines that hold one."""
+    points = running((s.data & 0xC0) != 0x80)
     _, again = repeated(K.combine([lines.hash, lines.doc.astype(np.uint64)]))
     return {
         "n_words": np.bincount(w.doc, minlength=s.n),
@@ -76,18 +81,20 @@ def base_counts(s: K.Slice) -> dict[str, np.ndarray]:
 
 #: Names of the columns that line_features() and text_features() give.
 FEATURES = ["upper", "symbol", "bang", "digit", "letter", "word_length", "symbol_words", "same_next", "distinct", "stop_words", "long_words", "log_words", "bias"]
+#: Those of a line: the same, and whether an earlier line of its text is equal.
+LINE_FEATURES = [*FEATURES, "again"]
 
 
 def _shares(s: K.Slice, w: K.Words, unit: np.ndarray, n: int) -> np.ndarray:
     """Features of each unit (a line or a text) from the words that lie in it."""
     def bytes_in(mask: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0], np.cumsum(mask)])
+        total = running(mask)
         return np.bincount(unit, weights=total[w.end] - total[w.start], minlength=n)
 
     words = np.maximum(1, np.bincount(unit, minlength=n)).astype(float)
     size = np.maximum(1, np.bincount(unit, weights=w.end - w.start, minlength=n))
     letters = np.maximum(1, bytes_in(_LETTER[s.data]))
-    symbol = np.concatenate([[0], np.cumsum(_SYMBOL[s.data] | _BANG[s.data])])
+    symbol = running(_SYMBOL[s.data] | _BANG[s.data])
     stop = np.zeros(0, bool) if not len(w.end) else _STOP[s.data[w.end - 1]]
     same = np.zeros(len(unit), bool)
     same[1:] = (w.hash[1:] == w.hash[:-1]) & (unit[1:] == unit[:-1])
@@ -112,20 +119,20 @@ def _shares(s: K.Slice, w: K.Words, unit: np.ndarray, n: int) -> np.ndarray:
     )
 
 
-def line_features(s: K.Slice) -> tuple[np.ndarray, K.Words, np.ndarray]:
-    """Features of every line with a word, the lines, and their numbers of words."""
-    w = K.words(s, lower=False)
-    lines, unit = lines_with_words(s, w)
-    return _shares(s, w, unit, len(lines.doc)), lines, np.bincount(unit, minlength=len(lines.doc))
+def line_features(s: K.Slice, w: K.Words, lines: K.Words, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Features of every line with a word, and its number of words; ``unit``: the line of each word."""
+    _, again = repeated(K.combine([lines.hash, lines.doc.astype(np.uint64)]))
+    shares = np.concatenate([_shares(s, w, unit, len(lines.doc)), again[:, None]], axis=1)
+    return shares, np.bincount(unit, minlength=len(lines.doc))
 
 
 def text_features(s: K.Slice) -> np.ndarray:
     """Features of every text, with its shares of repeated words and lines."""
     w = K.words(s, lower=False)
-    base = base_counts(s)
+    lines, _ = lines_with_words(s, w)
+    base = base_counts(s, w, lines)
     shares = _shares(s, w, w.doc, s.n)
     shares[base["n_words"] == 0, :-1] = 0
     words = np.maximum(1, base["n_words"])
-    lines, _ = lines_with_words(s, w)
     per_line = np.maximum(1, np.bincount(lines.doc, minlength=s.n))
     return np.concatenate([shares[:, :-1], (base["n_repeat_words"] / words)[:, None], (base["n_dup_lines"] / per_line)[:, None], (base["n_words"] > 0)[:, None]], axis=1)

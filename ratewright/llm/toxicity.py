@@ -15,10 +15,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .labelled import known_labels, labelled_sample
 
 #: Buckets of the count table; it bounds what the driver holds and broadcasts.
 BUCKETS = 1 << 20
@@ -31,15 +32,17 @@ SAMPLE_TEXTS = 3000
 #: A passage is significant when so many or fewer of its score are expected in a clean text.
 SIGNIFICANT_E = 0.01
 
+#: Labelled ids that may be broadcast; beyond it labels and texts meet in a shuffle.
+BROADCAST_LABELS = 1 << 20
+
 _SEPARATORS = K.NOT_ALNUM.copy()
 
 
 def tokens(s: K.Slice) -> tuple[K.Words, np.ndarray, np.ndarray]:
     """Words of lower-cased texts, with the buckets of each word and of its beginning."""
-    w = K.words(s, _SEPARATORS)
-    stems = K.words(s, _SEPARATORS, prefix=STEM)
+    w = K.words(s, _SEPARATORS, stem=STEM)
     word = (K.combine([w.hash], salt=1) % np.uint64(BUCKETS)).astype(np.int64)
-    stem = (K.combine([stems.hash], salt=2) % np.uint64(BUCKETS)).astype(np.int64)
+    stem = (K.combine([w.stem], salt=2) % np.uint64(BUCKETS)).astype(np.int64)
     return w, word, stem
 
 
@@ -162,28 +165,30 @@ def _best(model: ToxicityModel, with_label: bool):
     return run
 
 
-def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE_TEXTS) -> ToxicityModel:
+def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE_TEXTS, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
     """Counts over all labelled texts; calibration on at most ``sample`` texts of each class."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)").dropDuplicates(["doc_id"])
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    size = known.count()
-    known = F.broadcast(known) if size <= 1 << 20 else known
+    known = known_labels(labels, "toxic", id_col)
+    texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    known = F.broadcast(known) if known.count() <= BROADCAST_LABELS else known
     counts = texts.join(known, "doc_id").select("doc_id", "text", "label").mapInArrow(_count, "bucket int, clean long, toxic long")
     rows = counts.groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
     clean, toxic = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     at = rows.column("bucket").to_numpy()
     clean[at], toxic[at] = rows.column("clean").to_numpy(), rows.column("toxic").to_numpy()
     model = ToxicityModel(log_odds(clean, toxic), 1.0, 1.0, 0.0)
-    sampled = labelled_sample_rows(documents, labels, sample, model)
-    return calibrate(model, *sampled)
+    sampled = labelled_sample(documents, labels, "toxic", sample, id_col, text_col)
+    best = sampled.mapInArrow(_shared_best(documents.sparkSession, model, True), "label int, best double, n long").toArrow()
+    return calibrate(model, *(best.column(c).to_numpy() for c in ("best", "n", "label")))
 
 
-def labelled_sample_rows(documents: DataFrame, labels: DataFrame, sample: int, model: ToxicityModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Best segment, tokens and label of a bounded sample."""
-    from .labelled import labelled_sample
+def _shared_best(spark: SparkSession, model: ToxicityModel, with_label: bool):
+    """:func:`_best` with the model as a broadcast of BUCKETS weights of 4 bytes each, 4 MB whatever the corpus."""
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _best(shared.value, with_label)(batches)
 
-    rows = labelled_sample(documents, labels, "toxic", sample).select("doc_id", "text", "label").mapInArrow(_best(model, True), "label int, best double, n long").toArrow()
-    return tuple(rows.column(c).to_numpy() for c in ("best", "n", "label"))
+    return run
 
 
 def calibrate(model: ToxicityModel, best: np.ndarray, n: np.ndarray, label: np.ndarray) -> ToxicityModel:
@@ -215,11 +220,6 @@ def toxicity(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     Repeated rows are scored each; an empty table gives no rows; other columns are
     ignored. Without labels of both classes no text is toxic.
     """
-    model = model or fit(documents, labels)
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # BUCKETS weights of 4 bytes
+    model = model or fit(documents, labels, id_col=id_col, text_col=text_col)
     texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _best(shared.value, False)(batches)
-
-    return texts.mapInArrow(run, "doc_id long, n_tokens long, best double, score double, passages array<struct<start:long,end:long,score:double,log_e:double>>")
+    return texts.mapInArrow(_shared_best(documents.sparkSession, model, False), "doc_id long, n_tokens long, best double, score double, passages array<struct<start:long,end:long,score:double,log_e:double>>")
