@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ratewright.llm import decontaminate, line_crf, packing, pii
 from ratewright.llm.ngram_join import NgramJaccardJoin
-from ratewright.llm.storage import materialize
+from ratewright.llm.storage import discard, materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written and read again as the next one's input."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+    docs = before = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = materialize(stage(spark, before, sf_dir), name)
+        if k:
+            discard(before)
+        before = docs
     return docs

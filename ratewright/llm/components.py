@@ -9,10 +9,11 @@ from .storage import discard, materialize
 
 
 def connected_components(links: DataFrame) -> DataFrame:
-    """``(node, component)`` for every node of ``links(u, v)``; component is the smallest node.
+    """``(node, component)`` for every node of ``links(u, v)``, as a written table; component is the smallest node.
 
     Both star steps are a grouped minimum and a join, so a hub with millions of
-    neighbours never becomes one group's list. Rounds grow with the logarithm of
+    neighbours never becomes one group's list, and adaptive execution splits its side of
+    the join. Rounds grow with the logarithm of
     the longest chain; each round is a written table.
     """
     pair = [F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")]
@@ -34,4 +35,6 @@ def connected_components(links: DataFrame) -> DataFrame:
             break
         seen = tuple(state)
     roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    found = materialize(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), "components")
+    discard(edges)
+    return found

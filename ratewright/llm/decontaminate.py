@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .storage import materialize
+from .storage import discard, materialize
 
 #: Words of a seed.
 SEED_WORDS = 3
@@ -69,20 +69,29 @@ def _ngram_rows(n: int, only: np.ndarray | None):
     return run
 
 
-def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
-    """Best local alignment score with linear gaps, and where in ``text`` it ends (row by row, vectorised)."""
+def align(item: np.ndarray, text: np.ndarray, anchored: bool = False) -> tuple[int, int, int]:
+    """Best local alignment score with linear gaps, and where in ``item`` and in ``text`` it ends (row by row, vectorised).
+
+    ``anchored``: the alignment begins where both begin.
+    """
     slope = np.arange(len(text) + 1) * -GAP
-    row = np.zeros(len(text) + 1, np.int64)
-    best, end = 0, 0
-    for word in item:
-        fresh = np.zeros(len(text) + 1, np.int64)
+    row = -slope if anchored else np.zeros(len(text) + 1, np.int64)
+    floor = np.iinfo(np.int32).min if anchored else 0
+    best, item_end, text_end = 0, 0, 0
+    for i, word in enumerate(item):
+        fresh = np.full(len(text) + 1, (i + 1) * GAP if anchored else 0, np.int64)
         fresh[1:] = np.maximum(row[:-1] + np.where(text == word, MATCH, MISMATCH), row[1:] + GAP)
-        fresh = np.maximum(np.maximum.accumulate(np.maximum(fresh, 0) + slope) - slope, 0)
+        fresh = np.maximum(np.maximum.accumulate(np.maximum(fresh, floor) + slope) - slope, floor)
         top = int(fresh.argmax())
         if fresh[top] > best:
-            best, end = int(fresh[top]), top
+            best, item_end, text_end = int(fresh[top]), i + 1, top
         row = fresh
-    return best, end
+    return best, item_end, text_end
+
+
+def begin(item: np.ndarray, text: np.ndarray, item_end: int, text_end: int) -> int:
+    """Where in ``text`` the best alignment that ends at these places begins: the same alignment, backwards."""
+    return text_end - align(item[:item_end][::-1], text[:text_end][::-1], anchored=True)[2]
 
 
 def stretches(places: list[int], length: int, size: int) -> list[tuple[int, int]]:
@@ -109,15 +118,17 @@ def _score(similarity: float):
                     text = w.hash[cut[i] : cut[i + 1]].view(np.int64)
                     for found in items[s.first + i]:
                         item = np.array(found["item_words"], np.int64)
-                        best = (0, 0)
+                        best = (0, 0, 0, 0)
                         for lo, hi in stretches(found["places"], len(item), len(text)):
                             if np.isin(item, text[lo:hi]).sum() / len(item) < similarity:
                                 continue  # not even with all its words in order
-                            score, end = align(item, text[lo:hi])
-                            best = max(best, (score, lo + end))
-                        share = best[0] / (MATCH * len(item))
+                            score, item_end, end = align(item, text[lo:hi])
+                            best = max(best, (score, item_end, lo, end), key=lambda b: b[0])
+                        score, item_end, lo, end = best
+                        share = score / (MATCH * len(item))
                         if share >= similarity:
-                            for k, v in zip(rows, (ids[i], found["item_id"], best[0], share, max(0, best[1] - len(item)), best[1])):
+                            start = lo + begin(item, text[lo:], item_end, end)
+                            for k, v in zip(rows, (ids[i], found["item_id"], score, share, start, lo + end)):
                                 rows[k].append(v)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), kinds)], names=list(rows))
@@ -130,20 +141,25 @@ def contaminated(
 ) -> DataFrame:
     """``(doc_id, item_id, score, similarity, start_word, end_word)`` per text and benchmark item that it holds a copy of.
 
-    Null and empty texts match nothing; an item of fewer than ``n`` words has no seed
+    Of several equal copies in a text the first is given. Null and empty texts match nothing; an item of fewer than ``n`` words has no seed
     and matches nothing; an empty table on either side gives no rows. Equal items and
     repeated rows match each on its own; ids are unique where they are not null.
     Other columns are ignored.
     """
+    return _contaminated(documents, benchmark, similarity, n, id_col, text_col)[0]
+
+
+def _contaminated(documents: DataFrame, benchmark: DataFrame, similarity: float, n: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The result of :func:`contaminated`, and the written table of seeds that it reads."""
     texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null").dropDuplicates(["item_id"])
-    item_words = items.mapInArrow(_item_rows, "item_id long, item_words array<long>").filter(F.size("item_words") >= n)
-    grams = items.select(F.col("item_id").alias("doc_id"), "text").mapInArrow(_ngram_rows(n, None), "doc_id long, at long, gram long").withColumnRenamed("doc_id", "item_id")
+    item_words = items.mapInArrow(K.released(_item_rows), "item_id long, item_words array<long>").filter(F.size("item_words") >= n)
+    grams = items.select(F.col("item_id").alias("doc_id"), "text").mapInArrow(K.released(_ngram_rows(n, None)), "doc_id long, at long, gram long").withColumnRenamed("doc_id", "item_id")
     distinct = grams.select("gram").distinct()
     only = None
     if distinct.count() <= BROADCAST_NGRAMS:
         only = np.unique(distinct.toArrow().column("gram").to_numpy().astype(np.int64).view(np.uint64))
-    hits = texts.mapInArrow(_ngram_rows(n, only), "doc_id long, at long, gram long")
+    hits = texts.mapInArrow(K.released(_ngram_rows(n, only)), "doc_id long, at long, gram long")
     hits = hits if only is not None else hits.join(distinct, "gram", "left_semi").select("doc_id", "at", "gram")
     hits = materialize(hits, "hits")  # read by the join and by the choice of texts
     seeds = grams.select("item_id", "gram").distinct()
@@ -158,10 +174,14 @@ def contaminated(
     size = ids.count()
     wanted = texts.join(F.broadcast(ids) if size <= BROADCAST_IDS else ids, "doc_id", "left_semi")
     schema = "doc_id long, item_id long, score long, similarity double, start_word long, end_word long"
-    return wanted.join(listed, "doc_id").select("doc_id", "text", "items").mapInArrow(_score(similarity), schema)
+    return wanted.join(listed, "doc_id").select("doc_id", "text", "items").mapInArrow(K.released(_score(similarity)), schema), hits
 
 
-def drop_contaminated(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def drop_contaminated(
+    documents: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, n: int = SEED_WORDS, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """The rows of ``documents`` that hold no copy of a benchmark item, with their own columns."""
-    found = contaminated(documents, benchmark, **options).select(F.col("doc_id").alias(options.get("id_col", "doc_id"))).distinct()
-    return documents.join(found, options.get("id_col", "doc_id"), "left_anti").select(documents.columns)
+    found, hits = _contaminated(documents, benchmark, similarity, n, id_col, text_col)
+    found = materialize(found.select(F.col("doc_id").alias(id_col)).distinct(), "contaminated")
+    discard(hits)
+    return documents.join(F.broadcast(found) if found.count() <= BROADCAST_IDS else found, id_col, "left_anti").select(documents.columns)

@@ -8,8 +8,9 @@ bytes of a word, so they agree across processes and runs.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -161,6 +162,39 @@ def ngrams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return at, h[at]
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers are reused, and would hold it through all later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not this C library
+
+
+def released(run: Callable) -> Callable:
+    """A function over the batches of a partition that releases memory when it ends."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
+def released_after(run: Callable[[pa.Table], pa.Table], nbytes: int = 4 << 20) -> Callable[[pa.Table], pa.Table]:
+    """A function over groups that releases memory after each large one."""
+
+    def wrapped(table: pa.Table) -> pa.Table:
+        out = run(table)
+        if table.nbytes > nbytes:
+            release()
+        return out
+
+    return wrapped
+
+
 def list_array(flat: pa.Array, bounds: np.ndarray) -> pa.Array:
     """A list column over ``flat`` cut at ``bounds``."""
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), flat)

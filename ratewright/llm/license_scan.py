@@ -1,70 +1,27 @@
 """Licence recognition by sentence rules (DataFrame functions only).
 
-Texts are normalised with their sentence ends and line breaks marked; known licence
-sentences that stand between two marks, wrapped or not, become identifiers, and the identifier sequence of a text is matched
-against ordered rules. All of it is a projection: no shuffle, no Python.
+Texts are normalised with their sentence ends and line breaks marked. Known licence
+sentences that stand between two marks, wrapped or not, become identifiers; what lies
+between them is counted in lines. The identifier sequence of a text is matched against
+ordered rules, the longest first, and what one rule has matched is not there for the
+next. All of it is a projection: no shuffle, no Python.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from functools import reduce
 from itertools import chain
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Identifier, and the sentence as public licence texts and notices have it.
-SENTENCES = [
-    ("apache-notice", "Licensed under the Apache License, Version 2.0"),
-    ("apache-notice-long", 'Licensed under the Apache License, Version 2.0 (the "License")'),
-    ("apache-comply", "you may not use this file except in compliance with the License"),
-    ("apache-copy", "You may obtain a copy of the License at"),
-    ("mit-notice", "Released under the MIT License"),
-    ("mit-notice-2", "Licensed under the MIT License"),
-    ("mit-title", "The MIT License (MIT)"),
-    ("mit-title-2", "MIT License"),
-    ("mit-keep", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
-    ("mit-grant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("mit-grant-long", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions'),
-    ("gpl-notice-3", "This work is licensed under the GNU General Public License, version 3"),
-    ("gpl-free", "This program is free software"),
-    ("gpl-redistribute", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("gpl-redistribute-3", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
-    ("gpl-redistribute-2", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version"),
-    ("gpl-either-3", "either version 3 of the License, or (at your option) any later version"),
-    ("gpl-either-2", "either version 2 of the License, or (at your option) any later version"),
-    ("bsd-redistribution", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("bsd-endorse", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
-    ("cc-by-nc-4", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-4", "Licensed under CC BY 4.0"),
-    ("cc-by-sa-4", "Licensed under CC BY-SA 4.0"),
-    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v"),
-    ("unlicense", "This is free and unencumbered software released into the public domain"),
-    ("reserved", "All rights reserved"),
-]
-#: In order: the first rule whose identifiers stand in a row decides the text's licence.
-RULES = [
-    ("GPL-3.0-or-later", ["gpl-free", "gpl-redistribute", "gpl-either-3"]),
-    ("GPL-2.0-or-later", ["gpl-free", "gpl-redistribute", "gpl-either-2"]),
-    ("GPL-3.0-or-later", ["gpl-free", "gpl-redistribute-3"]),
-    ("GPL-2.0-or-later", ["gpl-free", "gpl-redistribute-2"]),
-    ("Apache-2.0", ["apache-notice-long", "apache-comply"]),
-    ("BSD-3-Clause", ["bsd-redistribution", "bsd-endorse"]),
-    ("MIT", ["mit-grant-long", "mit-keep"]),
-    ("MIT", ["mit-grant", "mit-keep"]),
-    ("GPL-3.0", ["gpl-notice-3"]),
-    ("CC-BY-NC-4.0", ["cc-by-nc-4"]),
-    ("CC-BY-SA-4.0", ["cc-by-sa-4"]),
-    ("CC-BY-4.0", ["cc-by-4"]),
-    ("MPL-2.0", ["mpl-2"]),
-    ("Unlicense", ["unlicense"]),
-    ("Apache-2.0", ["apache-notice"]),
-    ("BSD-2-Clause", ["bsd-redistribution"]),
-    ("MIT", ["mit-notice"]),
-    ("MIT", ["mit-notice-2"]),
-    ("MIT", ["mit-title"]),
-    ("MIT", ["mit-title-2"]),
-    ("proprietary", ["reserved"]),
-]
+from .license_texts import RULES, SENTENCES, TEXTS
+
+#: Lines or sentences, known or not, that may stand between two sentences of a rule.
+GAP = 8
 #: A sentence ends at a semicolon or colon, or a point before white space or the end.
 SENTENCE_END = r"[;:]|\.(?=\s|\z)"
 #: A line break and the comment marks after it; a sentence may end there, or go on.
@@ -76,6 +33,23 @@ def normalised(sentence: str) -> str:
     return " ".join("".join(c.lower() if c.isascii() and c.isalnum() else " " for c in sentence).split())
 
 
+def catalogue(texts: list[tuple[str, str]] = TEXTS, sentences: list[tuple[str, str]] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES) -> tuple[dict[str, str], list[tuple[str, list[str]]]]:
+    """Identifier by normalised sentence, and rules, longest first; a whole text is a rule of all its sentences.
+
+    Sentences of texts that ``sentences`` does not name are named after the first licence that has them.
+    """
+    known: dict[str, str] = {}
+    for name, sentence in sentences:
+        known.setdefault(normalised(sentence), name)
+    whole = []
+    for license, text in texts:
+        parts = [p for p in map(normalised, re.split(SENTENCE_END.replace(r"\z", r"\Z") + r"|\n", text)) if p]
+        for k, part in enumerate(parts):
+            known.setdefault(part, f"{license.lower()}-s{k + 1}")
+        whole.append((license, [known[p] for p in parts]))
+    return known, sorted([*whole, *rules], key=lambda rule: -len(rule[1]))
+
+
 def marked(text: Column) -> Column:
     """Lower-case ASCII words with single spaces; `` | `` for sentence ends and `` / `` for line breaks, one of these at both ends."""
     lines = F.regexp_replace(F.concat(F.lit("\n"), F.translate(F.lower(text), "|/", "  ")), LINE_BREAK, " / ")
@@ -83,28 +57,60 @@ def marked(text: Column) -> Column:
     return F.concat(F.trim(plain), F.lit(" /"))
 
 
-def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: list[tuple[str, str]] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
+def telling_words(known: list[str], least: int = 7) -> list[str]:
+    """Words of which every known sentence holds one; long ones that many sentences share, chosen greedily."""
+    left = [[w for w in set(s.split()) if len(w) >= least] or [max(s.split(), key=lambda w: (len(w), w))] for s in known if s]
+    out = []
+    while left:
+        count = Counter(chain.from_iterable(left))
+        out.append(max(count, key=lambda w: (count[w], len(w), w)))
+        left = [words for words in left if out[-1] not in words]
+    return out
+
+
+def _alternatives(known: list[str]) -> str:
+    """A pattern of all sentences, longest first, parted by first word; a line break may stand between any two words."""
+    wrapped = "(?: | / )"
+    by_word: dict[str, list[str]] = {}
+    for s in sorted(known, key=lambda s: (-len(s), s)):
+        first, _, rest = s.partition(" ")
+        by_word.setdefault(first, []).append((wrapped + rest.replace(" ", wrapped) if rest else "") + "(?= [|/])")
+    return "|".join(f"{word}(?:{'|'.join(rest)})" for word, rest in by_word.items())
+
+
+def scan(
+    documents: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    sentences: list[tuple[str, str]] = SENTENCES,
+    rules: list[tuple[str, list[str]]] = RULES,
+    texts: list[tuple[str, str]] = TEXTS,
+) -> DataFrame:
     """``(doc_id, sentence_ids, license, n_licenses)`` for every row of ``documents``.
 
     ``sentence_ids`` is the comma-joined identifier sequence, empty for null, empty and
-    unlicensed texts, whose ``license`` is null. ``n_licenses`` counts distinct licences
-    of all rules that match. Repeated rows are scanned each; an empty table gives no
-    rows; other columns are ignored.
+    unlicensed texts, whose ``license`` is null; else it is that of the first rule that
+    matches, and ``n_licenses`` the number of distinct licences of all that do. Repeated
+    rows are scanned each; an empty table gives no rows; other columns are ignored.
     """
-    known = {}
-    for name, text in sentences:
-        known.setdefault(normalised(text), name)
+    known, ordered = catalogue(texts, sentences, rules)
     table = F.create_map(*(F.lit(x) for x in chain.from_iterable(known.items())))
-    # longest first; a single line break may stand between any two words
-    wrapped = "|".join(name.replace(" ", "(?: | / )") for name in sorted(known, key=len, reverse=True))
-    parts = F.regexp_extract_all(marked(F.col(text_col)), F.lit(f"(?<=[|/] )(?:{wrapped})(?= [|/])"), F.lit(0))
-    gap = r"(?:\W|dnl\b|rem\b)+"
-    hints = "(?i)licen[sc]e|rights reserved|redistribut|permission|public domain|free software|creative commons|copyright".replace(" ", gap)
-    found = F.transform(parts, lambda s: F.try_element_at(table, F.replace(s, F.lit(" / "), F.lit(" "))))
-    ids = F.when(F.col(text_col).rlike(hints), F.array_join(found, ",")).otherwise(F.lit(""))
-    row = documents.select(F.col(id_col).alias("doc_id"), ids.alias("sentence_ids"))
-    spaced = F.concat(F.lit(","), F.col("sentence_ids"), F.lit(","))
-    hits = [(license, spaced.contains("," + ",".join(wanted) + ",")) for license, wanted in rules]
-    verdict = F.coalesce(*(F.when(hit, F.lit(license)) for license, hit in hits))
-    matched = F.array_distinct(F.filter(F.array(*(F.when(hit, F.lit(license)) for license, hit in hits)), lambda x: x.isNotNull()))
-    return row.select("doc_id", "sentence_ids", verdict.alias("license"), F.size(matched).cast("long").alias("n_licenses"))
+    units = F.regexp_extract_all(marked(F.col(text_col)), F.lit(rf"(?<=[|/] )(?:{_alternatives(list(known))})|[^|/ ][^|/]*"), F.lit(0))
+    names = F.transform(units, lambda s: F.coalesce(F.try_element_at(table, F.replace(s, F.lit(" / "), F.lit(" "))), F.lit("?")))
+    may = reduce(or_, (F.lower(text_col).contains(w) for w in telling_words(list(known))), F.lit(False))
+    row = documents.select(F.col(id_col).alias("doc_id"), F.when(may, names).alias("names"))
+    ids = F.array_join(F.filter("names", lambda s: s != "?"), ",")
+    row = row.select("doc_id", F.coalesce(ids, F.lit("")).alias("sentence_ids"), F.concat(F.lit(","), F.array_join("names", ","), F.lit(",")).alias("sequence"))
+
+    between = rf"(?:[^,]+,){{0,{GAP}}}?"
+    patterns = F.array(*(F.struct(F.lit(license).alias("license"), F.lit("," + f",{between}".join(map(re.escape, wanted)) + ",").alias("pattern")) for license, wanted in ordered))
+    start = F.struct(F.col("sequence").alias("rest"), F.array().cast("array<string>").alias("found"))
+
+    def match(state: Column, rule: Column) -> Column:
+        hit = F.regexp_like(state["rest"], rule["pattern"])
+        rest = F.when(hit, F.regexp_replace(state["rest"], rule["pattern"], F.lit(",?,"))).otherwise(state["rest"])
+        return F.struct(rest.alias("rest"), F.when(hit, F.concat(state["found"], F.array(rule["license"]))).otherwise(state["found"]).alias("found"))
+
+    found = F.when(F.col("sentence_ids") != "", F.array_distinct(F.aggregate(patterns, start, match)["found"])).otherwise(F.array().cast("array<string>"))
+    out = row.select("doc_id", "sentence_ids", found.alias("licenses"))
+    return out.select("doc_id", "sentence_ids", F.get("licenses", F.lit(0)).alias("license"), F.size("licenses").cast("long").alias("n_licenses"))

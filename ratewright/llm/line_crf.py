@@ -178,7 +178,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE_TEXTS, sha
     class those with the least hash are taken, wherever they stand in their text.
     """
     texts = labelled_sample(documents, labels, "quality", sample, id_col, text_col)
-    chains = texts.mapInArrow(_sampled_lines, "doc_id long, label int, line long, x array<double>, words array<long>")
+    chains = texts.mapInArrow(K.released(_sampled_lines), "doc_id long, label int, line long, x array<double>, words array<long>")
     least = Window.partitionBy("label").orderBy(F.xxhash64("doc_id", "line"), "doc_id", "line")
     rows = chains.withColumn("k", F.row_number().over(least)).filter(F.col("k") <= sample).select("label", "x", "words").collect()
     return LineCrf.fit([np.array(r.x).reshape(len(r.words), -1) for r in rows], [np.array(r.words) for r in rows], [r.label for r in rows], share)
@@ -225,7 +225,7 @@ def quality_rules(documents: DataFrame, labels: DataFrame, share: float = CONTEN
     crf = crf or fit(documents, labels, share=share, id_col=id_col, text_col=text_col)
     texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_words long"
-    return texts.mapInArrow(_rule(crf, share), schema)
+    return texts.mapInArrow(K.released(_rule(crf, share)), schema)
 
 
 def keep_content(documents: DataFrame, labels: DataFrame, share: float = CONTENT_SHARE, id_col: str = "doc_id", text_col: str = "text", crf: LineCrf | None = None) -> DataFrame:
@@ -238,4 +238,4 @@ def keep_content(documents: DataFrame, labels: DataFrame, share: float = CONTENT
             for s in K.slices(batch.column(at)):
                 yield batch.slice(s.first, s.n).filter(pa.array(judged(s, crf, share)[2]))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(K.released(run), documents.schema)

@@ -58,6 +58,8 @@ SKETCHED = 2048
 SKETCHED_ITEMS = 1 << 26
 #: Ids, alone or with that of their region, whose list may be broadcast (16 bytes each at most); beyond it the join shuffles.
 BROADCAST_IDS = 1 << 20
+#: Parts that large classes of equal sets are dealt into where their names are not broadcast.
+SALTS = 16
 #: Members of a region that one task compares with its pivot at a time, and their elements (8 bytes each); also the elements of a leaf.
 CHUNK, CHUNK_ITEMS = 512, 1 << 22
 #: Spare projections: so many at least, and one for so many of the reach.
@@ -381,26 +383,37 @@ class NgramJaccardJoin:
 
     def components(self, documents: DataFrame) -> DataFrame:
         """``(doc_id, n_shingles, class_id, component_id)`` for each document."""
+        return self._joined(*self._components(documents))
+
+    def _joined(self, members: DataFrame, found: DataFrame) -> DataFrame:
+        return members.join(found, members.rep == found.node, "left").select(
+            F.col("id").alias(self.id_col), F.col("n").alias("n_shingles"), F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id")
+        )
+
+    def _components(self, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Written tables of documents with the representatives of their classes, and of linked representatives with their components."""
         texts = self._texts(documents)
-        described = materialize(texts.mapInArrow(_describe(self.n, self.reach), "id long, n long, f1 long, f2 long, cells array<long>, own int, leave array<int>, sketch binary"), "described")
+        described = materialize(texts.mapInArrow(K.released(_describe(self.n, self.reach)), "id long, n long, f1 long, f2 long, cells array<long>, own int, leave array<int>, sketch binary"), "described")
         keys = described.select("id", "n", "f1", "f2", "own", "leave")
-        classes = keys.filter("n > 0").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"))
-        members = materialize(keys.join(classes, ["f1", "f2", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"), "own", "leave"), "members")
+        classes = keys.filter("n > 0").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+        classes = materialize(classes.filter("copies > 1").drop("copies"), "classes")
+        named = self._with_class(keys, classes)
+        members = materialize(named.select("id", "n", F.coalesce("rep", "id").alias("rep"), "own", "leave"), "members")
+        discard(classes)
         links = self._links(texts, described, members)
         found = connected_components(links)
         discard(links)
-        return members.join(found, members.rep == found.node, "left").select(
-            F.col("id").alias(self.id_col), F.col("n").alias("n_shingles"), F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id")
-        )
+        return members, found
 
     def representatives(self, documents: DataFrame) -> DataFrame:
         """The rows of ``documents`` with one document of each component, the one of the smallest id.
 
         Rows without an id and texts without words stay; rows that share an id are one document.
         """
-        found = self.components(documents)
-        dropped = materialize(found.filter(F.col(self.id_col) != F.col("component_id")).select(self.id_col).distinct(), "dropped")
-        discard(found)
+        members, found = self._components(documents)
+        dropped = self._joined(members, found).filter(F.col(self.id_col) != F.col("component_id"))
+        dropped = materialize(dropped.select(self.id_col).distinct(), "dropped")
+        discard(members, found)
         listed = F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped
         return documents.join(listed, self.id_col, "left_anti").select(documents.columns)
 
@@ -412,10 +425,11 @@ class NgramJaccardJoin:
         ids = regions.select(F.col("x").alias("id")).distinct()
         count = ids.count()
         if not count:
+            none = materialize(ids.select(F.col("id").alias("u"), F.col("id").alias("v")), "links")
             discard(regions)
-            return materialize(ids.select(F.col("id").alias("u"), F.col("id").alias("v")), "links")
+            return none
         wanted = F.broadcast(ids) if count <= BROADCAST_IDS else ids
-        sets = materialize(texts.join(wanted, "id", "left_semi").mapInArrow(_set_rows(self.n), "id long, n long, items binary"), "sets")
+        sets = materialize(texts.join(wanted, "id", "left_semi").mapInArrow(K.released(_set_rows(self.n)), "id long, n long, items binary"), "sets")
         parts = []
         while True:
             weighed = regions.join(sets.select(F.col("id").alias("x"), "n"), "x")
@@ -423,7 +437,7 @@ class NgramJaccardJoin:
             sized = regions.join(crowd, "region")
             direct = (F.col("size") <= self.leaf) & (F.col("elements") <= CHUNK_ITEMS)
             found = self._with_items(sized.filter(direct).select("region", "x"), sets)
-            parts.append(materialize(found.groupBy("region").applyInArrow(_leaf(self.reach), "u long, v long").distinct(), "links"))
+            parts.append(materialize(found.groupBy("region").applyInArrow(K.released_after(_leaf(self.reach)), "u long, v long").distinct(), "links"))
             large = materialize(sized.filter(~direct), "large")
             discard(regions)
             if large.isEmpty():
@@ -440,6 +454,15 @@ class NgramJaccardJoin:
         discard(sets, *parts)
         return links
 
+    @staticmethod
+    def _with_class(keys: DataFrame, classes: DataFrame) -> DataFrame:
+        """``keys`` with the representative of their class of equal sets, if there is one; a large class is dealt out."""
+        on = ["f1", "f2", "n"]
+        if classes.count() <= BROADCAST_IDS // 2:
+            return keys.join(F.broadcast(classes), on, "left")
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        return keys.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(classes.withColumn("salt", salts), [*on, "salt"], "left")
+
     @staticmethod
     def _met(described: DataFrame, members: DataFrame) -> DataFrame:
         """``(cell, x, n, size, widest)``: the cells that class representatives stay in, with their number of sets and largest set."""
@@ -488,7 +511,7 @@ class NgramJaccardJoin:
         tight = sized.filter(fits).select("region", "x")
         known = F.broadcast(tight) if regions.count() <= BROADCAST_IDS else tight
         near = described.join(known, F.col("x") == F.col("id")).select("region", "x", "n", "sketch")
-        stars = materialize(near.groupBy("region").applyInArrow(_prune(self.reach), "u long, v long").groupBy("u", "v").agg(F.count("*").alias("times")), "stars")
+        stars = materialize(near.groupBy("region").applyInArrow(K.released_after(_prune(self.reach)), "u long, v long").groupBy("u", "v").agg(F.count("*").alias("times")), "stars")
         central = stars.groupBy("u").agg(F.sum("times").alias("central"))
         grouped = connected_components(stars.select("u", "v"))
         group = grouped.join(central, F.col("node") == F.col("u"), "left")
@@ -516,7 +539,7 @@ class NgramJaccardJoin:
         rows = rest.select("region", "x", F.explode("between").alias("e"))
         often = rows.groupBy("region", "e").agg(F.count("*").alias("freq")).filter("freq > 1")
         shared = rows.join(often, ["region", "e"]).groupBy("region", "x").agg(F.array_sort(F.collect_list(F.struct("freq", "e"))).alias("shared"))
-        entered = rest.select("region", "x", "np", "n", "a", "ball").join(shared, ["region", "x"]).mapInArrow(_enter(self.reach), "cell long, ring long, cross boolean, x long")
+        entered = rest.select("region", "x", "np", "n", "a", "ball").join(shared, ["region", "x"]).mapInArrow(K.released(_enter(self.reach)), "cell long, ring long, cross boolean, x long")
         crowd = entered.groupBy("cell").agg(F.count("*").alias("size"), (F.min("ring") < F.max("ring")).alias("apart"), F.max("cross").alias("cross"))
         crowd = crowd.filter("size > 1 and (apart or not cross)").select("cell", "size")
         met = entered.join(crowd, "cell").select("cell", "size", "x").distinct()

@@ -18,10 +18,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import kernels as K
 from .storage import materialize
 
 #: Words, and runs of them, whose ids a task remembers at a time.
-MEMO = 300_000
+MEMO = 200_000
 #: Words of these characters split into runs by rule: printable ASCII, and the letters of Latin-1, which NFC leaves alone.
 PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 #: The split pattern of the vocabulary, for lower-cased words of PLAIN characters.
@@ -175,12 +176,12 @@ def pack(documents: DataFrame, tokenizer_path: str, length: int = 2048, end_id:
     """
     texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, part int, local long, doc_tokens long, width int, ids binary"
-    tokens = materialize(texts.mapInArrow(_encode(tokenizer_path, end_id), schema), "tokens")
+    tokens = materialize(texts.mapInArrow(K.released(_encode(tokenizer_path, end_id)), schema), "tokens")
     totals = tokens.groupBy("part").agg(F.sum("doc_tokens").alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))  # one row per partition
     placed = tokens.join(F.broadcast(bases), "part").select("doc_id", "base", "local", "doc_tokens", "width", "ids")
-    return placed.mapInArrow(_cut(length), "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return placed.mapInArrow(K.released(_cut(length)), "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

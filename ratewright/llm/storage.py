@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,21 +25,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Where the tables are that a frame was read back from.
+_written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return it as read from there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[out] = path
+    return out
 
 
 def discard(*frames: DataFrame) -> None:
-    """Delete the tables made by :func:`materialize` that ``frames`` read, once nothing else does."""
+    """Delete the tables of frames that :func:`materialize` gave, once nothing reads them any more."""
     for df in frames:
-        spark = df.sparkSession
-        top = shared_dir(spark).split(":", 1)[-1].lstrip("/")
-        conf, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if folder.split(":", 1)[-1].lstrip("/").startswith(top):
-                path = jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(conf).delete(path, True)
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(_written.pop(df))
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

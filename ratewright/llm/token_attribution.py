@@ -84,7 +84,7 @@ def section_tokens(documents: DataFrame, rank_path: str, pattern: str, id_col: s
     are ignored.
     """
     texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return texts.mapInArrow(_count(rank_path, pattern), "doc_id long, section long, n_chars long, n_tokens long")
+    return texts.mapInArrow(K.released(_count(rank_path, pattern)), "doc_id long, section long, n_chars long, n_tokens long")
 
 
 def field_tokens(rows: DataFrame, fields: list[str], rank_path: str, pattern: str, id_col: str) -> DataFrame:

@@ -170,14 +170,14 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE_TEXTS, id_
     known = known_labels(labels, "toxic", id_col)
     texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = F.broadcast(known) if known.count() <= BROADCAST_LABELS else known
-    counts = texts.join(known, "doc_id").select("doc_id", "text", "label").mapInArrow(_count, "bucket int, clean long, toxic long")
+    counts = texts.join(known, "doc_id").select("doc_id", "text", "label").mapInArrow(K.released(_count), "bucket int, clean long, toxic long")
     rows = counts.groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
     clean, toxic = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     at = rows.column("bucket").to_numpy()
     clean[at], toxic[at] = rows.column("clean").to_numpy(), rows.column("toxic").to_numpy()
     model = ToxicityModel(log_odds(clean, toxic), 1.0, 1.0, 0.0)
     sampled = labelled_sample(documents, labels, "toxic", sample, id_col, text_col)
-    best = sampled.mapInArrow(_shared_best(documents.sparkSession, model, True), "label int, best double, n long").toArrow()
+    best = sampled.mapInArrow(K.released(_shared_best(documents.sparkSession, model, True)), "label int, best double, n long").toArrow()
     return calibrate(model, *(best.column(c).to_numpy() for c in ("best", "n", "label")))
 
 
@@ -222,4 +222,4 @@ def toxicity(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """
     model = model or fit(documents, labels, id_col=id_col, text_col=text_col)
     texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return texts.mapInArrow(_shared_best(documents.sparkSession, model, False), "doc_id long, n_tokens long, best double, score double, passages array<struct<start:long,end:long,score:double,log_e:double>>")
+    return texts.mapInArrow(K.released(_shared_best(documents.sparkSession, model, False)), "doc_id long, n_tokens long, best double, score double, passages array<struct<start:long,end:long,score:double,log_e:double>>")

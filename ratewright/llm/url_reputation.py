@@ -12,12 +12,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import materialize
+
 #: (host, path, verdict): a rule fits its host, all subdomains, and paths that start with its path.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 #: Standard deviations between the posterior mean and its upper bound.
 Z = 1.645
 #: A host whose upper bound is less is blocked.
 LEAST_GOOD = 0.6
+#: Hosts whose reputations may be broadcast (some 100 bytes each); beyond it they are dealt out so many times, as one host may have many pages.
+BROADCAST_HOSTS, SALTS = 1 << 18, 16
 #: Prior strengths are held in this range, in pages.
 STRENGTH = (1.0, 200.0)
 
@@ -73,17 +77,21 @@ def _level(counts: DataFrame, key: str, above: str, prior: DataFrame) -> DataFra
 
 
 def reputations(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """``(host, n, mean, upper)``: posterior share of good pages of every host in ``outcomes(page_id, good)``."""
+    """``(host, n, mean, upper)``: posterior share of good pages of every host in ``outcomes(page_id, good)``.
+
+    Counts per host and the means of each level are written tables, so each is computed once.
+    """
     urls = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"))
     seen = urls.filter("host <> ''").join(outcomes.select("page_id", "good"), "page_id")
     counts = seen.groupBy("host").agg(F.sum(F.col("good").cast("long")).alias("good"), F.count("*").alias("n"))
     counts = counts.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), F.lit("").alias("all"), "good", "n")
+    counts = materialize(counts, "host_counts")
     total = counts.groupBy("all").agg(((F.sum("good") + 1) / (F.sum("n") + 2)).alias("mean"))
-    suffixes = _level(counts, "suffix", "all", total).select("suffix", "mean")
-    domains = _level(counts, "domain", "suffix", suffixes).select("domain", "mean")
+    suffixes = materialize(_level(counts, "suffix", "all", total).select("suffix", "mean"), "suffix_means")
+    domains = materialize(_level(counts, "domain", "suffix", suffixes).select("domain", "mean"), "domain_means")
     hosts = _level(counts, "host", "domain", domains)
     upper = F.expr(f"mean + {Z} * sqrt(mean * (1 - mean) / (n + strength + 1))")
-    return hosts.select("host", "n", "mean", upper.alias("upper"))
+    return materialize(hosts.select("host", "n", "mean", upper.alias("upper")), "hosts")
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str]] = RULES, least_good: float = LEAST_GOOD) -> DataFrame:
@@ -97,7 +105,11 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str
     urls = urls.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
     known = reputations(pages, outcomes)
     method = F.when(F.col("upper") < least_good, F.lit("block")).otherwise(F.lit("allow"))
-    joined = urls.join(known, "host", "left")
+    if known.count() <= BROADCAST_HOSTS:
+        joined = urls.join(F.broadcast(known), "host", "left")
+    else:
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        joined = urls.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(known.withColumn("salt", salts), ["host", "salt"], "left")
     return joined.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", method).alias("verdict"), F.coalesce("n", F.lit(0)).alias("n"), F.round("mean", 6).alias("good_mean"), F.round("upper", 6).alias("good_upper"))
 
 

@@ -472,7 +472,48 @@ def test_alignment_is_smith_waterman():
         for i in range(12):
             for j in range(20):
                 h[i + 1, j + 1] = max(0, h[i, j] + (2 if a[i] == b[j] else -1), h[i, j + 1] - 1, h[i + 1, j] - 1)
-        assert decontaminate.align(a, b)[0] == h.max()
+        best, item_end, end = decontaminate.align(a, b)
+        assert best == h.max() == h[item_end, end]
+        start = decontaminate.begin(a, b, item_end, end)
+        # what lies between start and end aligns as well as the whole, and nothing shorter at its front does
+        assert decontaminate.align(a[:item_end], b[start:end])[0] == best > decontaminate.align(a[:item_end], b[start + 1 : end])[0]
+
+
+def test_start_word_counts_inserted_and_dropped_words(spark):
+    words = ITEM.split()
+    filler = [f"filler{i}" for i in range(50)]
+    longer = [*filler, *words[:5], "new1", "new2", "new3", *words[5:], *filler]
+    shorter = [*filler, *words[:5], *words[8:], *filler]
+    items = spark.createDataFrame([(7, ITEM)], "item_id long, text string")
+    rows = {r.doc_id: r for r in decontaminate.contaminated(table(spark, [" ".join(longer), " ".join(shorter)]), items).collect()}
+    assert (rows[0].start_word, rows[0].end_word) == (50, 50 + len(words) + 3)
+    assert (rows[1].start_word, rows[1].end_word) == (50, 50 + len(words) - 3)
+
+
+@pytest.mark.parametrize("rate", [0.0, 0.1, 0.2, 0.3])
+def test_seeds_against_alignment_of_all_pairs(spark, rate):
+    """Recall of edited copies against Smith-Waterman over every pair of a text and an item."""
+    rng = np.random.default_rng(int(100 * rate) + 1)
+    vocabulary = [f"v{i}" for i in range(400)]
+    items = [[str(w) for w in rng.choice(vocabulary, 30)] for _ in range(12)]
+    texts = [[str(w) for w in rng.choice(vocabulary, 80)] for _ in range(40)]
+    for i in range(0, 40, 2):
+        copy = []
+        for w in items[i % 12]:
+            kind = rng.random() / rate if rate else 1
+            copy += [w] if kind >= 1 else [str(rng.choice(vocabulary))] if kind < 0.5 else [] if kind < 0.75 else [w, "extra"]
+        texts[i][20:50] = copy
+    frame = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(table(spark, [" ".join(t) for t in texts]), frame).collect()}
+    number = {w: k for k, w in enumerate([*vocabulary, "extra"])}
+    want = {}
+    for i, t in enumerate(texts):
+        for k, x in enumerate(items):
+            score = decontaminate.align(np.array([number[w] for w in x]), np.array([number[w] for w in t]))[0]
+            if score >= decontaminate.SIMILARITY * decontaminate.MATCH * len(x):
+                want[i, k] = score
+    assert set(found) <= set(want) and all(found[p] == want[p] for p in found)
+    assert len(found) >= 0.9 * len(want) and len(want) >= (16 if rate <= 0.2 else 8)
 
 
 # --- toxicity ---
@@ -559,7 +600,7 @@ modification, are permitted provided that the following conditions are met:
 
 
 def test_wrapped_licenses(spark):
-    want = [(GPL_3, "GPL-3.0-or-later", "gpl-free,gpl-redistribute-3"), (GPL_2, "GPL-2.0-or-later", "gpl-free,gpl-redistribute,gpl-either-2"), (MIT, "MIT", "mit-title-2,mit-grant-long,mit-keep"), (BSD_3, "BSD-3-Clause", "bsd-redistribution,bsd-endorse")]
+    want = [(GPL_3, "GPL-3.0-or-later", "gpl-free,gpl-redistribute-3"), (GPL_2, "GPL-2.0-or-later", "gpl-free,gpl-redistribute,gpl-either-2"), (MIT, "MIT", "mit-title-2,mit-grant-long,mit-keep"), (BSD_3, "BSD-3-Clause", "bsd-redistribution,bsd-3-clause-s2,bsd-endorse")]
     forms = [lambda t, m=m: "\n".join(m + line for line in t.split("\n")) for m in ("", "# ", " * ", "// ", ";; ", "rem ")]
     forms += [lambda t: t.replace("\n", "\r\n"), lambda t: "/*\n" + "\n".join(f" * {line:76} *" for line in t.split("\n")) + "\n */", lambda t: "\n".join(" ".join(p.split("\n")) for p in t.split("\n\n"))]
     rows = [(f(text), license, ids) for f in forms for text, license, ids in want]
@@ -569,6 +610,103 @@ def test_wrapped_licenses(spark):
     assert [(got[i].license, got[i].sentence_ids) for i in range(len(rows))] == [(license, ids) for _, license, ids in rows]
 
 
+def licences_by_force(text, texts=license_scan.TEXTS, sentences=license_scan.SENTENCES, rules=license_scan.RULES):
+    """Identifiers and licences of a text, word by word: marks stand where a line or a sentence ends."""
+    simple = lambda x: re.findall("[a-z0-9]+", re.sub("[^\\x00-\\x7f]", " ", x.lower()))
+    known = {}
+    for name, sentence in sentences:
+        known.setdefault(tuple(simple(sentence)), name)
+    whole = []
+    for license, body in texts:
+        parts = [tuple(simple(p)) for p in re.split(r"[;:]|\.(?=\s|\Z)|\n", body)]
+        parts = [p for p in parts if p]
+        for k, p in enumerate(parts):
+            known.setdefault(p, f"{license.lower()}-s{k + 1}")
+        whole.append((license, [known[p] for p in parts]))
+    units = []  # words, and None for the end of a sentence, "/" for that of a line
+    for line in re.split(r"\r\n?|\n", text or ""):
+        line = re.sub(r"^[^a-z0-9]*(?:(?:dnl|rem)\b)?", "", line.lower().replace("|", " ").replace("/", " "))
+        for k, part in enumerate(re.split(r"[;:]|\.(?=\s|\Z)", line)):
+            units += ([None] if k else ["/"]) + simple(part)
+    units.append("/")
+    longest = sorted(known, key=lambda p: -len(p))
+    out, i = [], 0
+    while i < len(units):
+        if units[i] in (None, "/"):
+            i += 1
+            continue
+        for p in longest:
+            j, k = i, 0
+            while j < len(units) and k < len(p):
+                if units[j] == "/" and k and units[j - 1] != "/":
+                    j += 1
+                    continue
+                if units[j] != p[k]:
+                    break
+                j, k = j + 1, k + 1
+            if k == len(p) and units[j] in (None, "/"):
+                out.append(known[p])
+                i = j
+                break
+        else:
+            out.append("?")
+            while units[i] not in (None, "/"):
+                i += 1
+    ids, found = [x for x in out if x != "?"], []
+    for license, wanted in sorted([*whole, *rules], key=lambda rule: -len(rule[1])):
+        at = 0
+        while at < len(out):
+            places, i = [], at
+            for k, name in enumerate(wanted):
+                near = range(at, len(out)) if k == 0 else range(i, min(len(out), i + license_scan.GAP + 1))
+                i = next((x for x in near if out[x] == name), None)
+                if i is None:
+                    break
+                places.append(i)
+                i += 1
+            if len(places) < len(wanted):
+                at = places[0] + 1 if places else len(out)
+                continue
+            found += [license] if license not in found else []
+            out[places[0] : places[-1] + 1] = ["?"]
+            at = places[0] + 1
+    return ",".join(ids), found
+
+
+def wrap(text, width):
+    lines = [""]
+    for word in text.split(" "):
+        if len(lines[-1]) + len(word) > width:
+            lines.append("")
+        lines[-1] = f"{lines[-1]} {word}".strip()
+    return "\n".join(lines)
+
+
+def test_licenses_against_force(spark):
+    rng = np.random.default_rng(17)
+    notices = [body for _, body in license_scan.TEXTS] + [x for _, x in license_scan.SENTENCES]
+    texts = []
+    for _ in range(150):
+        parts = [str(rng.choice(notices)) if rng.random() < 0.5 else " ".join(rng.choice(["license", "the", "free", "software", "mit", "x"], 6)) for _ in range(rng.integers(1, 5))]
+        body = str(rng.choice(["\n", "\n\n", ". ", " | ", "\n\n\n\n\n\n\n\n\n\n\n\n"])).join(parts)
+        texts.append("\n".join(str(rng.choice(["", "# ", " * "])) + line for line in "\n".join(wrap(x, int(rng.integers(30, 100))) for x in body.split("\n")).split("\n")))
+    texts += [None, "", "MIT License", "Released" + " " * 1500 + "under the MIT License", "mit license" * 3]
+    for r in license_scan.scan(table(spark, texts)).collect():
+        ids, found = licences_by_force(texts[r.doc_id])
+        assert (r.sentence_ids, r.license, r.n_licenses) == (ids, found[0] if found else None, len(found)), texts[r.doc_id]
+
+
+def test_every_whole_licence_is_one(spark):
+    texts = [body for _, body in license_scan.TEXTS] + [wrap(body.replace("\n", " "), 72) for _, body in license_scan.TEXTS]
+    got = {r.doc_id: (r.license, r.n_licenses) for r in license_scan.scan(table(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == 2 * [(name, 1) for name, _ in license_scan.TEXTS]
+
+
+def test_own_sentences_and_rules(spark):
+    rows = license_scan.scan(table(spark, ["Alpha beta. Gamma delta.", "gamma delta\nalpha beta", "alpha\nbeta\n" + "no\n" * 20 + "gamma delta", "nothing"]), sentences=[("a", "alpha beta"), ("g", "gamma delta")], rules=[("own", ["a", "g"])], texts=[])
+    assert {r.doc_id: (r.sentence_ids, r.license) for r in rows.collect()} == {0: ("a,g", "own"), 1: ("g,a", None), 2: ("a,g", None), 3: ("", None)}
+
+
 # --- quality classifier ---
 
 
