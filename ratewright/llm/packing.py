@@ -9,7 +9,9 @@ sequence. Only the last sequence can be short.
 
 from __future__ import annotations
 
+import itertools
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,34 +23,18 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .storage import materialize
 
-#: Words, and runs of them, whose ids a task remembers at a time.
-MEMO = 200_000
+#: Words, and runs of them, whose ids a task remembers at most; when it is full, the older half goes.
+MEMO = 600_000
 #: Words of these characters split into runs by rule: printable ASCII, and the letters of Latin-1, which NFC leaves alone.
 PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 #: The split pattern of the vocabulary, for lower-cased words of PLAIN characters.
 RUN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 
 
-class Memo:
-    """A mapping that forgets: when full, what was not asked for since it was last full goes."""
-
-    def __init__(self, limit: int):
-        self.limit = limit
-        self.young: dict = {}
-        self.old: dict = {}
-
-    def get(self, key):
-        value = self.young.get(key)
-        if value is None and self.old:
-            value = self.old.get(key)
-            if value is not None:
-                self.put(key, value)
-        return value
-
-    def put(self, key, value) -> None:
-        if 2 * len(self.young) >= self.limit:
-            self.old, self.young = self.young, {}
-        self.young[key] = value
+def forget(memo: dict) -> None:
+    """The older half goes."""
+    for key in list(itertools.islice(memo, len(memo) // 2)):
+        del memo[key]
 
 
 class WordTokenizer:
@@ -65,20 +51,24 @@ class WordTokenizer:
 
         self.encoder = Tokenizer.from_file(path)
         self.kind = np.uint16 if self.encoder.get_vocab_size() <= 1 << 16 else np.uint32
-        self.words, self.runs = Memo(memo), Memo(memo)
+        self.words: dict[bytes, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+        self.limit, self.part = memo, min(1 << 16, memo // 4)
         printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = [b for b in range(256) if b not in printable]
         self.letter = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
     def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
+        return array(np.dtype(self.kind).char, ids).tobytes()
 
     def _run(self, run: str) -> bytes:
         ids = self.runs.get(run)
         if ids is None:
             letters = run if run.isascii() else "".join(map(self.letter.__getitem__, run.encode()))
             ids = self._pack([t.id for t in self.encoder.model.tokenize(letters)])
-            self.runs.put(run, ids)
+            if len(self.runs) >= self.limit // 2:
+                forget(self.runs)
+            self.runs[run] = ids
         return ids
 
     def _word(self, word: str) -> bytes:
@@ -86,23 +76,24 @@ class WordTokenizer:
             return b"".join([self._run(r) for r in RUN.findall(word.lower())])
         return self._pack(self.encoder.encode(word, add_special_tokens=False).ids)
 
+    def _part(self, words: list[bytes]) -> bytes:
+        known = self.words
+        ids = list(map(known.get, words))
+        if None in ids:
+            missing = {w for w, x in zip(words, ids) if x is None}
+            if len(known) + len(missing) > self.limit:
+                forget(known)
+                missing = set(words) - known.keys()
+            for w in missing:
+                known[w] = self._word(w.decode())
+            ids = list(map(known.get, words))
+        return b"".join(ids)
+
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """The packed ids of each text."""
         for text in texts:
-            words, out = text.split(), []
-            for at in range(0, len(words), 1 << 16):
-                part = words[at : at + (1 << 16)]
-                known = self.words.young
-                ids = [known.get(w) for w in part]
-                if None in ids:
-                    for i, x in enumerate(ids):
-                        if x is None:
-                            ids[i] = self.words.get(part[i])
-                            if ids[i] is None:
-                                ids[i] = self._word(part[i].decode())
-                                self.words.put(part[i], ids[i])
-                out.append(b"".join(ids))
-            yield b"".join(out)
+            words = text.split()
+            yield b"".join(self._part(words[at : at + self.part]) for at in range(0, len(words), self.part))
 
 
 _tokenizers: dict[str, WordTokenizer] = {}

@@ -475,8 +475,8 @@ def test_alignment_is_smith_waterman():
         best, item_end, end = decontaminate.align(a, b)
         assert best == h.max() == h[item_end, end]
         start = decontaminate.begin(a, b, item_end, end)
-        # what lies between start and end aligns as well as the whole, and nothing shorter at its front does
-        assert decontaminate.align(a[:item_end], b[start:end])[0] == best > decontaminate.align(a[:item_end], b[start + 1 : end])[0]
+        # what lies between start and end aligns as well as the whole, from its first word on
+        assert decontaminate.align(a[:item_end], b[start:end])[0] == best and b[start] in a[:item_end]
 
 
 def test_start_word_counts_inserted_and_dropped_words(spark):
@@ -551,6 +551,47 @@ def test_toxic_passages_are_found(spark):
     assert toxicity.toxicity(table(spark, []), known).collect() == []
 
 
+def test_counts_and_log_odds_by_force(spark):
+    rng = np.random.default_rng(19)
+    vocabulary = ["calm", "River", "walks", "vile", "HATEFUL", "scum", "greenish", "greening"]
+    texts = [" ".join(rng.choice(vocabulary, 12)) + ". x-y" for _ in range(60)] + [None, ""]
+    known = {i: int(i % 3 == 0) for i in range(0, 62, 2)}
+    rows = table(spark, texts).join(labels(spark, [(i, 1, k) for i, k in known.items()]).select("doc_id", F.col("toxic").alias("y")), "doc_id")
+    got = rows.select("doc_id", "text", "y").mapInArrow(toxicity._count, "bucket int, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")).collect()
+
+    def buckets(word):
+        _, whole, stem = toxicity.tokens(next(kernels.slices(pa.array([word]))))
+        return int(whole[0]), int(stem[0])
+
+    want = {}
+    for i, k in known.items():
+        for b in {b for w in re.findall("[a-z]+", (texts[i] or "").lower()) for b in buckets(w)}:
+            want.setdefault(b, [0, 0])[k] += 1
+    assert {r.bucket: [r.c, r.t] for r in got} == want
+    assert buckets("greenish")[1] == buckets("greening")[1] and buckets("greenish")[0] != buckets("greening")[0]
+
+    clean, toxic = rng.integers(0, 400, 30).astype(float), rng.integers(0, 400, 30).astype(float)
+    c, t, odds = clean.sum(), toxic.sum(), toxicity.log_odds(clean, toxic)
+    for x, y, o in zip(toxic, clean, odds):
+        a = toxicity.PRIOR * (x + y) / (c + t) + 1e-9
+        ratio = np.log((x + a) / (t + toxicity.PRIOR - x - a)) - np.log((y + a) / (c + toxicity.PRIOR - y - a))
+        z = ratio / np.sqrt(1 / (x + a) + 1 / (y + a))
+        assert o == pytest.approx(ratio if z >= toxicity.SIGNIFICANT and x >= 3 else 0, abs=1e-5)
+    assert (odds > 0).any() and not (odds < 0).any()
+
+
+def test_extreme_values_are_calibrated():
+    """Best scores drawn from a Gumbel law give its rate back, and as many false alarms as expected."""
+    rng = np.random.default_rng(20)
+    n = np.full(20_000, 100)
+    best = rng.gumbel(np.log(100 * 0.02) / 0.8, 1 / 0.8, 20_000)
+    model = toxicity.calibrate(toxicity.ToxicityModel(np.zeros(1, np.float32), 1, 1, 0), np.append(best, [60.0] * 50), np.append(n, [100] * 50), np.append(np.zeros(20_000), np.ones(50)))
+    assert model.rate == pytest.approx(0.8, rel=0.03) and model.scale == pytest.approx(0.02, rel=0.15)
+    fresh = rng.gumbel(np.log(100 * 0.02) / 0.8, 1 / 0.8, 100_000)
+    assert (model.log_e(fresh, np.full(100_000, 100)) <= np.log(0.01)).mean() == pytest.approx(0.01, rel=0.3)
+    assert (model.probability(np.array([60.0, 0.0]), np.array([100, 100])) > 0.5).tolist() == [True, False]
+
+
 # --- licences ---
 
 
@@ -697,7 +738,7 @@ def test_licenses_against_force(spark):
 
 
 def test_every_whole_licence_is_one(spark):
-    texts = [body for _, body in license_scan.TEXTS] + [wrap(body.replace("\n", " "), 72) for _, body in license_scan.TEXTS]
+    texts = [body for _, body in license_scan.TEXTS] + ["\n".join(wrap(line, 72) for line in body.split("\n")) for _, body in license_scan.TEXTS]
     got = {r.doc_id: (r.license, r.n_licenses) for r in license_scan.scan(table(spark, texts)).collect()}
     assert [got[i] for i in range(len(texts))] == 2 * [(name, 1) for name, _ in license_scan.TEXTS]
 
@@ -723,6 +764,28 @@ def test_ranking_separates(spark):
     assert pairwise_quality.quality_scores(table(spark, []), known).collect() == []
 
 
+def test_pair_loss_by_finite_differences():
+    rng = np.random.default_rng(22)
+    diff, w = rng.normal(size=(40, 5)), rng.normal(size=5)
+    loss, grad = pairwise_quality.pair_loss(w, diff, 0.01)
+    assert loss == pytest.approx(np.mean([np.log(1 + np.exp(-(d @ w))) for d in diff]) + 0.005 * (w @ w))
+    for k in range(5):
+        step = np.zeros(5)
+        step[k] = 1e-6
+        assert grad[k] == pytest.approx((pairwise_quality.pair_loss(w + step, diff, 0.01)[0] - pairwise_quality.pair_loss(w - step, diff, 0.01)[0]) / 2e-6, abs=1e-6)
+
+
+def test_threshold_is_the_quantile_of_bad_texts():
+    rng = np.random.default_rng(23)
+    y = np.array([0] * 300 + [1] * 300)
+    x = rng.normal(size=(600, 3)) + y[:, None]
+    for bad in (0.1, 0.5):
+        model = pairwise_quality.Ranking.fit(x, y, bad)
+        under = model.probability(x) < 0.5
+        share = bad * under[y == 0].mean() + (1 - bad) * under[y == 1].mean()  # of a population with that share of bad texts
+        assert share == pytest.approx(bad, abs=0.05)
+
+
 # --- urls ---
 
 
