@@ -8,9 +8,14 @@ from pyspark.sql import DataFrame
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` read back from a reliable checkpoint in ``spark.checkpoint.dir``; a temporary folder only where that is unset."""
+    """``df`` read back from a reliable checkpoint in ``spark.checkpoint.dir``.
+
+    Where that is unset, a single machine takes a temporary folder; on a cluster it is an error.
+    """
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ratewright-")
-        spark.sparkContext.setCheckpointDir(folder)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ratewright-"))
     return df.checkpoint()

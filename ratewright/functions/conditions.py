@@ -1,8 +1,8 @@
 """The condition language: boolean trees over transactions, as columns of fits.
 
 A tree becomes one nullable double column: null is no match, a number in 0 to 1 how
-well it fits. It is built once per entry when the plan is made and evaluated inside
-the scan. Transaction leaves read ``merchant, cents, date, account, institution``;
+well it fits. Trees that differ in their values only have one shape: it is built once
+when the plan is made, and the values of each entry are columns. Transaction leaves read ``merchant, cents, date, account, institution``;
 the leaves of the second pass read ``labels`` (array of names) and ``matched`` (array
 of structs of the entries that a transaction already belongs to).
 """
@@ -10,6 +10,7 @@ of structs of the entries that a transaction already belongs to).
 from __future__ import annotations
 
 import functools
+import json
 import re
 from collections.abc import Callable
 
@@ -39,28 +40,38 @@ def _need(node: dict, name: str):
     return node[name]
 
 
-def _covered(needle: str, low: float) -> Column:
+def _value(v) -> Column:
+    return v if isinstance(v, Column) else F.lit(v)
+
+
+def _covered(needle: Column, low: float) -> Column:
     """Fit of a partial match: more for a needle that makes up more of the name."""
-    share = len(needle.encode()) / F.greatest(F.octet_length("merchant"), F.lit(1))
+    share = F.octet_length(needle) / F.greatest(F.octet_length("merchant"), F.lit(1))
     return F.least(F.lit(1.0), F.lit(low) + F.lit(0.15) * share)
 
 
 def _between(value: Column, low, high) -> Column:
     test = F.lit(True)
     if low is not None:
-        test = test & (value >= F.lit(low))
+        test = test & (value >= _value(low))
     if high is not None:
-        test = test & (value <= F.lit(high))
+        test = test & (value <= _value(high))
     return test
 
 
 def _payee(node: dict) -> Column:
     name = F.lower("merchant")
-    kind = node["type"]
+    kind, value = node["type"], _need(node, "value")
     if kind == "imported_payee_one_of":
-        return yes(name.isin([str(v).lower() for v in _need(node, "value")]))
-    value = str(_need(node, "value"))
-    low = value.lower()
+        names = value if isinstance(value, Column) else F.array(*(F.lit(str(v)) for v in value)).cast("array<string>")
+        return yes(F.exists(names, lambda v: F.lower(v) == name))
+    if kind == "payee_regex" and not isinstance(value, Column):
+        try:
+            re.compile(str(value))
+        except re.error as e:
+            raise ConditionError(f"bad pattern {value!r}: {e}") from e
+    value = value if isinstance(value, Column) else F.lit(str(value))
+    low = F.lower(value)
     if kind == "payee_exact":
         return yes(name == low)
     if kind == "payee_contains":
@@ -71,29 +82,43 @@ def _payee(node: dict) -> Column:
         return yes(name.startswith(low), _covered(value, 0.85))
     if kind == "payee_ends_with":
         return yes(name.endswith(low), _covered(value, 0.85))
-    try:
-        re.compile(value)
-    except re.error as e:
-        raise ConditionError(f"bad pattern {value!r}: {e}") from e
-    return yes(F.col("merchant").rlike(value))
+    return yes(F.regexp_like("merchant", value))
 
 
-def anchor_fits(anchor: str) -> Column:
-    """Whether a date lies on its anchor: within the tolerance for days of month, exactly for weekdays."""
+def _anchor(anchor: str) -> tuple[str, list[int]]:
+    """Kind and numbers of an anchor."""
     kind, _, rest = anchor.partition(":")
     numbers = [int(x) for x in rest.split(",")] if re.fullmatch(r"-?[0-9]+(,-?[0-9]+)*", rest) else []
-    if kind == "dow" and numbers:
-        return F.weekday("date") == numbers[0]
-    if kind == "interval" and numbers:
-        return F.lit(False)  # a matter of the entry's other transactions, see operators.match
-    if kind != "dom" or not numbers:
+    if kind not in ("dom", "dow", "interval") or not numbers:
         raise ConditionError(f"bad anchor {anchor!r}")
+    return kind, numbers
+
+
+def anchor_fits(kind: str, numbers: Column) -> Column:
+    """Whether a date lies on its anchor: within the tolerance for days of month, exactly for weekdays."""
+    if kind == "dow":
+        return F.weekday("date") == F.get(numbers, F.lit(0))
+    if kind == "interval":
+        return F.lit(False)  # a matter of the entry's other transactions, see operators.match
     dim = days_in_month(F.col("date"))
-    near = []
-    for n in numbers:
-        day = F.when(F.lit(n) <= dim, F.lit(n)) if n > 0 else F.when(dim + n + 1 >= 1, dim + n + 1)
-        near.append(F.coalesce(F.abs(F.dayofmonth("date") - day) < ANCHOR_TOLERANCE, F.lit(False)))
-    return functools.reduce(lambda a, b: a | b, near)
+
+    def near(n: Column) -> Column:
+        day = F.when(n > 0, F.when(n <= dim, n)).when(dim + n + 1 >= 1, dim + n + 1)
+        return F.coalesce(F.abs(F.dayofmonth("date") - day) < ANCHOR_TOLERANCE, F.lit(False))
+
+    return F.exists(numbers, near)
+
+
+def _recurrence(node: dict) -> Column:
+    if "numbers" in node:
+        return yes(anchor_fits(node["kind"], node["numbers"]))
+    kind, numbers = _anchor(str(_need(node, "recurrence_anchor")))
+    return yes(anchor_fits(kind, F.array(*map(F.lit, numbers))))
+
+
+def _same_id(column: str, value) -> Column:
+    """Equal ids; one that comes from a table of entries is text."""
+    return F.col(column).cast("string") == value if isinstance(value, Column) else F.col(column) == F.lit(value)
 
 
 def _direction(node: dict) -> Column:
@@ -124,18 +149,18 @@ def _any_between(name: str, low, high) -> Column:
 
 
 def _any_equal(name: str, value) -> Column:
-    return yes(F.exists("matched", lambda m: F.coalesce(m[name] == F.lit(value), F.lit(False))))
+    return yes(F.exists("matched", lambda m: F.coalesce(m[name] == _value(value), F.lit(False))))
 
 
 LEAVES: dict[str, Callable[[dict], Column]] = {
     **dict.fromkeys(PAYEE, _payee),
     "amount_range": lambda n: yes(_between(F.col("cents"), n.get("min_cents"), n.get("max_cents"))),
-    "date_day_of_month": lambda n: yes(F.abs(F.dayofmonth("date") - int(_need(n, "day"))) <= int(n.get("tolerance_days") or 0)),
-    "date_range": lambda n: yes(F.col("date").between(*(F.lit(_need(n, k)).cast("date") for k in ("start", "end")))),
-    "recurrence_anchor": lambda n: yes(anchor_fits(str(_need(n, "recurrence_anchor")))),
-    "account_id": lambda n: yes(F.col("account") == F.lit(_need(n, "value"))),
-    "institution_id": lambda n: yes(F.coalesce(F.col("institution") == F.lit(_need(n, "value")), F.lit(False))),
-    "label_matched": lambda n: yes(F.array_contains("labels", F.lit(_need(n, "label_id")))),
+    "date_day_of_month": lambda n: yes(F.abs(F.dayofmonth("date") - _value(_need(n, "day")).cast("int")) <= _value(n.get("tolerance_days", 0)).cast("int")),
+    "date_range": lambda n: yes(F.col("date").between(*(_value(_need(n, k)).cast("date") for k in ("start", "end")))),
+    "recurrence_anchor": _recurrence,
+    "account_id": lambda n: yes(_same_id("account", _need(n, "value"))),
+    "institution_id": lambda n: yes(F.coalesce(_same_id("institution", _need(n, "value")), F.lit(False))),
+    "label_matched": lambda n: yes(F.array_contains("labels", _value(_need(n, "label_id")))),
     "entry_direction": _direction,
     "entry_type": lambda n: _any_equal("type", _need(n, "entry_type")),
     "entry_source": lambda n: _any_equal("source", _need(n, "source")),
@@ -150,6 +175,41 @@ ALIASES = {f"imported_{k}": k for k in ("payee_exact", "payee_contains", "payee_
 NAMED = {"account_id": "value", "institution_id": "value", "label_matched": "label_id"}
 
 
+#: Fields that a leaf cannot do without.
+NEEDED = {
+    **{kind: ("value",) for kind in (*PAYEE, "account_id", "institution_id")},
+    "date_day_of_month": ("day",), "date_range": ("start", "end"), "recurrence_anchor": ("recurrence_anchor",), "label_matched": ("label_id",),
+    "entry_direction": ("direction",), "entry_type": ("entry_type",), "entry_source": ("source",), "entry_recurrence_anchor": ("recurrence_anchor",),
+}
+
+
+def check_tree(node: dict) -> None:
+    """Raise ConditionError for a tree that cannot be compiled; looks at values only, so it also runs inside tasks."""
+    if not isinstance(node, dict):
+        raise ConditionError(f"no condition: {node!r}")
+    op, children = node.get("op"), node.get("children") or []
+    if op is not None:
+        if not (op in ("AND", "OR") or op == "NOT" and len(children) == 1 or op == "XOR" and len(children) == 2):
+            raise ConditionError(f"{op} with {len(children)} conditions")
+        for c in children:
+            check_tree(c)
+        return
+    kind = ALIASES.get(node.get("type"), node.get("type"))
+    if kind not in LEAVES:
+        raise ConditionError(f"unknown condition {node.get('type')!r}")
+    for name in NEEDED.get(kind, ()):
+        _need(node, name)
+    if kind == "payee_regex":
+        try:
+            re.compile(str(node["value"]))
+        except re.error as e:
+            raise ConditionError(f"bad pattern {node['value']!r}: {e}") from e
+    if kind == "recurrence_anchor":
+        _anchor(str(node["recurrence_anchor"]))
+    if kind == "entry_direction" and node["direction"] not in ("income", "spend", "mixed"):
+        raise ConditionError(f"no direction: {node['direction']}")
+
+
 def compile_tree(node: dict, met: Callable[[dict], bool] = lambda leaf: False) -> Column:
     """The fit of a tree. Leaves for which ``met`` holds count as met, with fit 1."""
     if not isinstance(node, dict):
@@ -175,6 +235,58 @@ def compile_tree(node: dict, met: Callable[[dict], bool] = lambda leaf: False) -
     raise ConditionError(f"{op} with {len(children)} conditions")
 
 
+#: Fields of a leaf that may differ within a shape, and the type in which they come from text.
+FIELDS = {
+    **{kind: {"value": "string"} for kind in (*PAYEE, "account_id", "institution_id")},
+    "imported_payee_one_of": {"value": "array<string>"},
+    "amount_range": {"min_cents": "bigint", "max_cents": "bigint"},
+    "date_day_of_month": {"day": "int", "tolerance_days": "int"},
+    "date_range": {"start": "date", "end": "date"},
+    "label_matched": {"label_id": "string"},
+    "entry_type": {"entry_type": "string"},
+    "entry_source": {"source": "string"},
+    "entry_recurrence_anchor": {"recurrence_anchor": "string"},
+    "entry_period": {"min_days": "int", "max_days": "int"},
+    "entry_projected_rate": {"min": "double", "max": "double"},
+}
+
+
+def shape_of(tree: dict) -> tuple[str, list[str]]:
+    """A tree without its values, as text, and these values in order. Values of other leaves stay in the shape."""
+    values: list[str] = []
+
+    def strip(leaf: dict) -> dict:
+        kind = ALIASES.get(leaf.get("type"), leaf.get("type"))
+        out = {**leaf, "type": kind}
+        if kind == "recurrence_anchor" and leaf.get("recurrence_anchor") is not None:
+            out["kind"], numbers = _anchor(str(out.pop("recurrence_anchor")))
+            out["numbers"] = len(values)
+            values.append(",".join(map(str, numbers)))
+            return {k: out[k] for k in ("type", "kind", "numbers")}
+        for name in FIELDS.get(kind, {}):
+            if out.get(name) is not None:
+                values.append("\x1f".join(map(str, out[name])) if isinstance(out[name], list) else str(out[name]))
+                out[name] = len(values) - 1
+        return {k: v for k, v in out.items() if k == "type" or v is not None}
+
+    return json.dumps(map_leaves(tree, strip), sort_keys=True), values
+
+
+def of_shape(shape: str, values: Column) -> dict:
+    """A tree with columns in the places of its values."""
+
+    def fill(leaf: dict) -> dict:
+        if leaf["type"] == "recurrence_anchor" and "numbers" in leaf:
+            return {**leaf, "numbers": F.split(F.get(values, F.lit(leaf["numbers"])), ",").cast("array<int>")}
+        for name, kind in FIELDS.get(leaf["type"], {}).items():
+            if name in leaf:
+                text = F.get(values, F.lit(leaf[name]))
+                leaf[name] = F.split(text, "\x1f") if kind == "array<string>" else text.cast(kind)
+        return leaf
+
+    return map_leaves(json.loads(shape), fill)
+
+
 def leaves(node: dict, top_only: bool = False) -> list[dict]:
     """The leaves of a tree; or those that stand alone or directly below an AND at the top."""
     if node.get("op") is None:
@@ -187,7 +299,7 @@ def leaves(node: dict, top_only: bool = False) -> list[dict]:
 def interval_of(node: dict) -> int | None:
     """Days of the interval anchor at the top of a tree; one further down cannot be evaluated and is an error."""
 
-    def days(leaf: dict) -> int | None:
+    def days(leaf: dict) -> int | None:  # of a tree with its values
         found = re.fullmatch(r"interval:([0-9]+)", str(leaf.get("recurrence_anchor"))) if leaf.get("type") == "recurrence_anchor" else None
         return int(found[1]) if found else None
 

@@ -38,6 +38,20 @@ def canonical_merchant(merchant: Column) -> Column:
     return F.when(F.size(tokens) > 0, F.array_join(tokens, " ")).otherwise(merchant)
 
 
+def display_name(name: Column, email: Column) -> Column:
+    """A person's name, or else the address."""
+    return F.coalesce(F.nullif(F.trim(name), F.lit("")), email)
+
+
+def initials(name: Column, email: Column) -> Column:
+    """First letters of the first and last word of a name; of one word, or else of the address, the first two; upper case."""
+    words = F.split(F.trim(name), r"\s+")
+    pair = F.concat(F.left(F.get(words, F.lit(0)), F.lit(1)), F.left(F.element_at(words, -1), F.lit(1)))
+    address = F.when(F.length(email) >= 2, F.left(email, F.lit(2))).otherwise("?")
+    named = F.when(F.size(words) >= 2, pair).otherwise(F.left(F.trim(name), F.lit(2)))
+    return F.upper(F.when(F.length(F.trim(F.coalesce(name, F.lit("")))) > 0, named).otherwise(F.coalesce(address, F.lit("?"))))
+
+
 def _lcs(a: str, b: str) -> int:
     """Length of the longest common subsequence; one addition on bit rows per character of ``b``."""
     at: dict[str, int] = {}

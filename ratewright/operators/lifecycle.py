@@ -7,9 +7,13 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ratewright.checkpoints import cut_lineage
+
 #: Entries that every entity has, with their priority.
 SYSTEM_ENTRIES = [("All", "mixed"), ("Income", "income"), ("Spend", "spend")]
 SYSTEM_PRIORITY = 9999
+#: Kinds of jobs that write snapshots, and states of a job that is not over.
+SNAPSHOT_JOBS, ACTIVE = ["import.process", "account.analyze", "entries.reprocess"], ["queued", "processing"]
 #: Hours that an export is kept.
 EXPORT_HOURS = 24
 
@@ -76,10 +80,44 @@ def seed_system_entries(spark: SparkSession, entries: DataFrame, entity: str, st
     return entries.unionByName(seed.join(entries, "id", "left_anti"), allowMissingColumns=True)
 
 
+def active_jobs(jobs: DataFrame) -> DataFrame:
+    """Jobs that wait or run."""
+    return jobs.filter(F.col("status").isin(ACTIVE))
+
+
+def active_snapshot_jobs(jobs: DataFrame) -> DataFrame:
+    """``(job_id)`` of waiting and running jobs that write snapshots; reports leave out their rows."""
+    return active_jobs(jobs).filter(F.col("job_type").isin(SNAPSHOT_JOBS)).select(F.col("id").alias("job_id"))
+
+
+def changes(before: DataFrame, after: DataFrame, key: str = "id") -> DataFrame:
+    """One JSON message per row of ``after`` that is new or differs from ``before``, as ``(key, payload)``.
+
+    It is what listeners of a table are told; removed rows give none.
+    """
+    fresh = after.exceptAll(before.select(after.columns))
+    return fresh.select(key, F.to_json(F.struct(*(F.col(c) for c in after.columns))).alias("payload"))
+
+
+def label_cycle_nodes(edges: DataFrame, rounds: int) -> DataFrame:
+    """``(entity, label)`` on or behind a cycle of ``edges(entity, label, input)``, for all entities at once.
+
+    Labels without a pending input are taken away, at most ``rounds`` times; those that stay
+    after as many rounds as an entity has labels wait on a cycle. Each round is checkpointed.
+    """
+    left = edges.select("entity", "label", "input").distinct()
+    for _ in range(rounds):
+        pending = left.select("entity", F.col("label").alias("input")).distinct()
+        fewer = cut_lineage(left.join(pending, ["entity", "input"], "left_semi").select("entity", "label", "input"))
+        if fewer.count() == left.count():
+            break
+        left = fewer
+    return left.select("entity", "label").distinct()
+
+
 def create_job(jobs: DataFrame, job: DataFrame) -> DataFrame:
     """Jobs with a new one, unless one of its kind waits or runs for the entity."""
-    active = jobs.filter("status in ('queued', 'processing')")
-    return jobs.unionByName(job.join(active, ["entity_id", "job_type"], "left_anti").select(jobs.columns))
+    return jobs.unionByName(job.join(active_jobs(jobs), ["entity_id", "job_type"], "left_anti").select(jobs.columns))
 
 
 def job_transition(jobs: DataFrame, job_id: str, status: str, now: Column, error: str | None = None) -> DataFrame:

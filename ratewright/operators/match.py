@@ -1,23 +1,33 @@
-"""Assigning transactions to entries by their conditions."""
+"""Assigning transactions to entries by their conditions.
+
+Entries are rows: each has the shape of its tree and the values of its leaves, and meets
+the transactions of its entity in a join. Only shapes are in the plan, so its size does
+not depend on how many entries there are, and transactions are read once for 50 shapes.
+"""
 
 from __future__ import annotations
 
 import functools
+import json
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ratewright.checkpoints import cut_lineage
 from ratewright.functions import conditions as C
 
-#: Conditions evaluated in one projection; more are split, as one generated class cannot hold any number.
+#: Shapes evaluated in one projection; more are split, as one generated class cannot hold any number.
 BATCH = 50
+#: Entries that may be broadcast, a few hundred bytes each; beyond it they meet their entity's transactions in a shuffle.
+BROADCAST_ENTRIES = 1 << 16
 
 
 @dataclass
 class Entry:
-    """An entry's conditions at plan time; entries number in the thousands, not with the data."""
+    """An entry with its conditions; one without an entity is every entity's."""
 
     id: str
     tree: dict
@@ -30,40 +40,89 @@ class Entry:
     anchor: str | None = None
     rate: float | None = None
     fitness: tuple[float | None, float | None, float | None, float | None] = (None, None, None, None)
+    entity: str | None = None
 
 
-@dataclass
-class Compiled:
-    entry: Entry
-    payee: Column
-    interval: int | None
-    full: Column
-
-
-def compile_entries(entries: list[Entry]) -> tuple[list[Compiled], dict[str, str]]:
-    """Entries by priority, then id; and why others were left out."""
-    good, bad = [], {}
-    for e in sorted(entries, key=lambda e: (e.priority, e.id)):
-        try:
-            interval = C.interval_of(e.tree)
-            top = [x for x in C.leaves(e.tree, True) if C.ALIASES.get(x.get("type"), x.get("type")) in C.PAYEE]
-            payee = C.compile_tree({"op": "AND", "children": top})
-            full = C.compile_tree(e.tree, lambda leaf: str(leaf.get("recurrence_anchor", "")).startswith("interval:"))
-            good.append(Compiled(e, payee, interval, full))
-        except C.ConditionError as err:
-            bad[e.id] = str(err)
-    return good, bad
-
-
-def _exploded(rows: DataFrame, fits: list[tuple[str, Column]]) -> DataFrame:
-    """``rows`` once per entry whose fit is not null, as ``entry`` and ``fit``; one scan per batch, no join."""
-    kept = [c for c in rows.columns if c not in ("entry", "fit")]
-    parts = []
-    for at in range(0, len(fits), BATCH):
-        each = F.array(*(F.struct(F.lit(k).alias("entry"), fit.alias("fit")) for k, fit in fits[at : at + BATCH]))
-        found = F.filter(each, lambda s: s["fit"].isNotNull())
-        parts.append(rows.withColumn("__m", F.explode(found)).select(*kept, F.col("__m.entry").alias("entry"), F.col("__m.fit").alias("fit")))
-    return functools.reduce(DataFrame.unionByName, parts)
+#: Entries with what their conditions are compiled to: ``every`` are the days of an interval anchor, ``facts`` what the second pass sees.
+TABLE = f"entity string, entry string, priority int, label string, shape string, leaf_values array<string>, every int, error string, facts {C.MATCHED[6:-1]}"
+
+
+def _compiled(conditions: dict) -> tuple[str | None, list[str] | None, int | None, str | None]:
+    """Shape, values and interval of a tree, or why it cannot be compiled."""
+    try:
+        interval = C.interval_of(conditions)
+        C.check_tree(conditions)
+        return *C.shape_of(conditions), interval, None
+    except (C.ConditionError, ValueError, TypeError) as e:
+        return None, None, None, str(e)
+
+
+def entry_table(spark: SparkSession, entries: Iterable[Entry]) -> DataFrame:
+    """Entries as a table; those that cannot be compiled have an ``error``."""
+    rows = []
+    for e in entries:
+        facts = (e.id, e.label, e.direction, e.entry_type, e.period, e.source, *e.fitness, e.rate, e.anchor)
+        shape, values, every, error = _compiled(e.tree)
+        rows.append((e.entity, e.id, e.priority, e.label, shape, values, every, error, facts))
+    return spark.createDataFrame(rows, TABLE)
+
+
+def compile_table(entries: DataFrame) -> DataFrame:
+    """``entries(entity, entry, priority, label, conditions, facts)``, with trees as JSON, as the table that the passes take."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            found = [_compiled(json.loads(x)) for x in part.pop("conditions")]
+            for k, name in enumerate(("shape", "leaf_values", "every", "error")):
+                part[name] = pd.Series([f[k] for f in found], dtype="Int32" if name == "every" else object, index=part.index)
+            yield part[["entity", "entry", "priority", "label", "shape", "leaf_values", "every", "error", "facts"]]
+
+    rows = entries.select(F.col("entity").cast("string").alias("entity"), "entry", F.col("priority").cast("int").alias("priority"), "label", "conditions", F.to_json("facts").alias("facts"))
+    compiled = rows.mapInPandas(run, TABLE.rsplit(", facts", 1)[0] + ", facts string")
+    return compiled.withColumn("facts", F.from_json("facts", C.MATCHED[6:-1]))
+
+
+def _rows(txns: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Transactions with their entity as text, and the sound entries of each entity that they have."""
+    entity = F.col("entity").cast("string") if "entity" in txns.columns else F.lit("")
+    rows = txns.withColumn("__entity", entity)
+    sound = entries.filter("error is null")
+    every_ones = sound.filter("entity is null").drop("entity")
+    entities = rows.select(F.col("__entity").alias("entity")).distinct()
+    shared = entities.join(F.broadcast(every_ones.withColumn("all", F.lit(1))), F.lit(1) == F.col("all")).drop("all")
+    own = sound.filter("entity is not null").unionByName(shared)
+    return rows, own
+
+
+def _met(rows: DataFrame, own: DataFrame) -> DataFrame:
+    """Transactions with the entries of their entity, whose columns win over those of the same name."""
+    own = own.withColumnRenamed("entity", "__entity")
+    rows = rows.select(*(c for c in rows.columns if c == "__entity" or c not in own.columns))
+    return rows.join(F.broadcast(own) if own.count() <= BROADCAST_ENTRIES else own, "__entity")
+
+
+def _fit(shapes: list[str], shape: Column, values: Column) -> Column:
+    """The fit of a tree of one of some shapes, with interval anchors met."""
+    out = F.lit(None).cast("double")
+    for known in shapes:
+        tree = C.of_shape(known, values)
+        out = F.when(shape == known, C.compile_tree(tree, lambda leaf: leaf.get("kind") == "interval")).otherwise(out)
+    return out
+
+
+def _payee_fit(shapes: list[str], shape: Column, values: Column) -> Column:
+    """The fit of the payee leaves at the top of a tree."""
+    out = F.lit(None).cast("double")
+    for known in shapes:
+        top = [x for x in C.leaves(C.of_shape(known, values), True) if x["type"] in C.PAYEE]
+        out = F.when(shape == known, C.compile_tree({"op": "AND", "children": top})).otherwise(out)
+    return out
+
+
+def _shapes(entries: DataFrame) -> list[list[str]]:
+    """Distinct shapes, in batches; people build their trees in a form, so shapes are few however many entries there are."""
+    found = sorted(r.shape for r in entries.select("shape").distinct().collect())
+    return [found[at : at + BATCH] for at in range(0, len(found), BATCH)]
 
 
 def interval_chain(candidates: DataFrame, tolerance: int = C.ANCHOR_TOLERANCE) -> DataFrame:
@@ -80,66 +139,70 @@ def interval_chain(candidates: DataFrame, tolerance: int = C.ANCHOR_TOLERANCE) -
     return candidates.join(ends, ["entry", "date"], "left_semi")
 
 
-def first_pass(txns: DataFrame, entries: list[Entry]) -> DataFrame:
-    """``(id, entry, fit)``: payee conditions, then timing, then the whole tree; the fit is the least of its parts."""
-    good, _ = compile_entries(entries)
-    if not good:
-        return txns.select("id", F.lit("").alias("entry"), F.lit(1.0).alias("fit")).limit(0)
-    rowwise = [(c.entry.id, C.compile_tree(c.entry.tree)) for c in good if c.interval is None]
-    chained = [c for c in good if c.interval is not None]
-    out = []
-    if rowwise:
-        out.append(_exploded(txns, rowwise).select("id", "entry", "fit"))
-    if chained:
-        by_payee = _exploded(txns, [(c.entry.id, F.struct(F.lit(c.interval).alias("every"), c.full.alias("full"), c.payee.alias("payee"))) for c in chained])
-        # a struct is never null, so the payee test comes after
-        candidates = by_payee.filter("fit.payee is not null").select("id", "date", "entry", "fit.every", F.col("fit.full").alias("fit"))
+def first_pass(txns: DataFrame, entries: list[Entry] | DataFrame) -> DataFrame:
+    """``(id, entry, fit)``: payee conditions, then timing, then the whole tree; the fit is the least of its parts.
+
+    ``entries``: plan-time ones, or a table as :func:`compile_table` makes it.
+    """
+    table = entries if isinstance(entries, DataFrame) else entry_table(txns.sparkSession, entries)
+    rows, own = _rows(txns, table)
+    own = cut_lineage(own)
+    out = [txns.select("id", F.lit("").alias("entry"), F.lit(1.0).alias("fit")).filter("false")]
+    single, chained = own.filter("every is null"), own.filter("every is not null")
+    for shapes in _shapes(single):
+        met = _met(rows, single.filter(F.col("shape").isin(shapes)))
+        out.append(met.select("id", "entry", _fit(shapes, F.col("shape"), F.col("leaf_values")).alias("fit")).filter("fit is not null"))
+    for shapes in _shapes(chained):
+        met = _met(rows, chained.filter(F.col("shape").isin(shapes)))
+        by_payee = met.filter(_payee_fit(shapes, F.col("shape"), F.col("leaf_values")).isNotNull())
+        candidates = by_payee.select("id", "date", "entry", "every", _fit(shapes, F.col("shape"), F.col("leaf_values")).alias("fit"))
         out.append(interval_chain(candidates).filter("fit is not null").select("id", "entry", "fit"))
     return functools.reduce(DataFrame.unionByName, out)
 
 
-def _facts(entries: list[Entry]) -> Column:
-    """Struct of each entry by its id, as a map literal."""
-    names = ("overall", "merchant_fit", "timing", "amount")
-    pairs = []
-    for e in entries:
-        values = [
-            F.lit(e.id).alias("entry"), F.lit(e.label).cast("string").alias("label"), F.lit(e.direction).alias("direction"), F.lit(e.entry_type).alias("type"), F.lit(e.period).cast("int").alias("period"),
-            F.lit(e.source).alias("source"), *(F.lit(v).cast("double").alias(n) for n, v in zip(names, e.fitness)), F.lit(e.rate).cast("double").alias("rate"), F.lit(e.anchor).cast("string").alias("anchor"),
-        ]
-        pairs += [F.lit(e.id), F.struct(*values)]
-    return F.create_map(*pairs)
-
-
-def second_pass(txns: DataFrame, matched: DataFrame, first: list[Entry], second: list[Entry]) -> DataFrame:
+def second_pass(txns: DataFrame, matched: DataFrame, first: list[Entry] | DataFrame, second: list[Entry] | DataFrame) -> DataFrame:
     """All assignments ``(id, entry, fit)`` after entries about entries have been matched as often as they can be.
 
     Rounds follow the reference order: within a round entries look at what the round
     began with, in (priority, id) order; a match whose label the transaction already
-    holds is a cycle and ends the transaction's matching. At most one round per entry,
-    each a projection over the transactions' own rows: no shuffle after the first
-    grouping. Each round is checkpointed, so its plan does not grow, and rounds end
+    holds is a cycle and ends the transaction's matching. At most one round per entry of
+    an entity, each a projection over the transactions' own rows: no shuffle after the
+    first grouping. Each round is checkpointed, so its plan does not grow, and rounds end
     when no transaction has news.
     """
-    good, _ = compile_entries(second)
-    facts = _facts([*first, *(c.entry for c in good)])
-    held = matched.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("entry", "fit"))).alias("got"))
-    rows = txns.join(held, "id", "left").withColumn("got", F.coalesce("got", F.expr("cast(array() as array<struct<entry:string,fit:double>>)")))
-    rows = rows.withColumn("stopped", F.lit(False))
-    for _round in range(len(good)):
-        rows = cut_lineage(rows.select(*txns.columns, "got", "stopped"))
+    spark = txns.sparkSession
+    first, second = (e if isinstance(e, DataFrame) else entry_table(spark, e) for e in (first, second))
+    facts = first.select("entry", "facts").dropDuplicates(["entry"])
+    known = matched.join(F.broadcast(facts) if facts.count() <= BROADCAST_ENTRIES else facts, "entry", "left")
+    held = known.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("entry", "fit", "facts"))).alias("got"))
+    rows, own = _rows(txns, second)
+    own = cut_lineage(own)
+    batches = _shapes(own)
+    order = F.array_sort(F.collect_list(F.struct("priority", "entry", "label", "shape", "leaf_values", "facts")))
+    of_entity = own.groupBy(F.col("entity").alias("__entity")).agg(order.alias("own"))  # an entity's few entries about entries
+    rows = rows.join(held, "id", "left").join(F.broadcast(of_entity) if of_entity.count() <= BROADCAST_ENTRIES else of_entity, "__entity", "left")
+    none = F.slice(F.array(F.struct(F.lit("").alias("entry"), F.lit(1.0).alias("fit"), F.lit(None).cast(C.MATCHED[6:-1]).alias("facts"))), 1, 0)
+    rows = rows.withColumn("got", F.coalesce("got", none)).withColumn("stopped", F.col("own").isNull())
+    most = of_entity.agg(F.max(F.size("own"))).first()[0] or 0
+    for _round in range(most):
+        rows = cut_lineage(rows.select(*txns.columns, "own", "got", "stopped"))
         if _round and rows.filter("not stopped").isEmpty():
             break
-        rows = rows.withColumn("matched", F.transform("got", lambda g: F.try_element_at(facts, g["entry"])).cast(C.MATCHED))
+        rows = rows.withColumn("matched", F.array_compact(F.transform("got", lambda g: g["facts"])).cast(C.MATCHED))
         rows = rows.withColumn("labels", F.array_compact(F.transform("matched", lambda m: m["label"])))
-        each = F.array(*(F.struct(F.lit(c.entry.id).alias("entry"), F.lit(c.entry.label).cast("string").alias("label"), c.full.alias("fit")) for c in good))
+
+        def judged(e: Column) -> Column:
+            fits = (_fit(shapes, e["shape"], e["leaf_values"]) for shapes in batches)
+            return F.struct(e["entry"].alias("entry"), e["label"].alias("label"), e["facts"].alias("facts"), functools.reduce(lambda a, b: F.coalesce(a, b), fits).alias("fit"))
+
         # entries that hold already are no news; the first one whose label is held ends the row
-        news = F.filter(each, lambda s: s["fit"].isNotNull() & ~F.exists("got", lambda g: g["entry"] == s["entry"]))
+        news = F.filter(F.transform("own", judged), lambda s: s["fit"].isNotNull() & ~F.exists("got", lambda g: g["entry"] == s["entry"]))
         rows = rows.withColumn("news", F.when(F.col("stopped"), F.slice(news, 1, 0)).otherwise(news))
         clash = F.expr("array_position(transform(news, s -> coalesce(array_contains(labels, s.label), false)), true)")
         rows = rows.withColumn("clash", clash.cast("int"))
         taken = F.when(F.col("clash") > 0, F.slice("news", F.lit(1), F.col("clash") - 1)).otherwise(F.col("news"))
-        rows = rows.withColumn("got", F.concat("got", F.transform(taken, lambda s: F.struct(s["entry"].alias("entry"), s["fit"].alias("fit")))))
+        fresh = F.transform(taken, lambda s: F.struct(s["entry"].alias("entry"), s["fit"].alias("fit"), s["facts"].alias("facts")))
+        rows = rows.withColumn("got", F.concat("got", F.coalesce(fresh, none)))
         rows = rows.withColumn("stopped", F.col("stopped") | (F.col("clash") > 0) | (F.size("news") == 0))
     return rows.select("id", F.explode("got").alias("g")).select("id", "g.entry", "g.fit")
 

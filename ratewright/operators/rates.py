@@ -123,33 +123,49 @@ def label_rates(rates: DataFrame) -> DataFrame:
     )
 
 
-def trends(rates: DataFrame, key: str, periods: list[int]) -> DataFrame:
-    """Slope and r squared of the actual rate over the last three periods, today included.
+_MOMENTS = ("k", "x", "y", "xx", "xy", "yy")
 
-    A frame is constant in a plan, so there is one window per distinct period; ``periods``
-    names them. Fewer than two points have no trend.
+
+def trends(rates: DataFrame, key: str) -> DataFrame:
+    """Slope and r squared of the actual rate over the last three periods of each row, today included.
+
+    Running sums of days, rates and their products up to a day, less those before its window
+    begins, give the moments of any window; rates have four places, so all sums are whole
+    numbers and nothing is lost by subtraction. The plan does not depend on how many periods
+    there are. Fewer than two points have no trend.
     """
-    rows = rates.withColumn("__day", _day(F.col("date")))
-    slope = fit = None
-    for period in periods:
-        frame = Window.partitionBy(key).orderBy("__day").rangeBetween(-3 * period, 0)
-        enough = F.count("actual").over(frame) >= 2
-        own = F.col("period_days") == period
-        s = F.when(enough, F.regr_slope("actual", "__day").over(frame)).otherwise(0.0)
-        r = F.when(enough, F.regr_r2("actual", "__day").over(frame)).otherwise(0.0)
-        slope = F.when(own, s) if slope is None else slope.when(own, s)
-        fit = F.when(own, r) if fit is None else fit.when(own, r)
-    return rows.withColumn("slope", F.round(F.coalesce(slope, F.lit(0.0)), 6)).withColumn("r_squared", F.round(F.coalesce(fit, F.lit(0.0)), 3)).drop("__day")
-
-
-def snapshots(txns: DataFrame, entries: DataFrame, window: int, periods: list[int]) -> DataFrame:
+    whole = "decimal(38,0)"
+    day, rate = _day(F.col("date")).cast("decimal(9,0)"), F.round(F.col("actual") * 10000).cast("decimal(18,0)")
+    there = rates.withColumn("__x", F.when(rate.isNotNull(), day)).withColumn("__y", rate)
+    upto = Window.partitionBy(key).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    parts = {"k": F.count("__y"), "x": F.sum("__x"), "y": F.sum("__y"), "xx": F.sum(F.expr("__x * __x")), "xy": F.sum(F.expr("__x * __y")), "yy": F.sum(F.expr("__y * __y"))}
+    sums = F.struct(*(F.coalesce(v.over(upto).cast(whole), F.lit(0).cast(whole)).alias(k) for k, v in parts.items()))
+    run = there.withColumn("__upto", sums).drop("__x", "__y")
+    # the last sums before a window begins, for each day that asks: days may be missing, so it is a running last value
+    asks = run.select(key, F.date_sub("date", F.col("period_days") * 3 + 1).alias("day"), F.col("date").alias("of"))
+    known = run.select(key, F.col("date").alias("day"), "__upto").unionByName(asks, allowMissingColumns=True)
+    by = Window.partitionBy(key).orderBy("day", F.col("of").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    before = known.withColumn("__before", F.last("__upto", ignorenulls=True).over(by)).filter("of is not null").select(key, F.col("of").alias("date"), "__before")
+    rows = run.join(before, [key, "date"])
+    for m in _MOMENTS:
+        rows = rows.withColumn(f"__{m}", F.col(f"__upto.{m}") - F.coalesce(F.col(f"__before.{m}"), F.lit(0).cast(whole)))
+    k = F.col("__k").cast("double")
+    spread = {m: F.expr(e).cast("double") / k / k for m, e in (("x", "__k * __xx - __x * __x"), ("xy", "__k * __xy - __x * __y"), ("y", "__k * __yy - __y * __y"))}
+    enough = (F.col("__k") >= 2) & (spread["x"] > 0)
+    slope = F.when(enough, spread["xy"] / 10000 / spread["x"]).otherwise(0.0)
+    fit = F.when(~enough, F.lit(0.0)).when(spread["y"] == 0, 1.0).otherwise(spread["xy"] / spread["x"] * spread["xy"] / spread["y"])
+    return rows.select(*rates.columns, F.round(slope, 6).alias("slope"), F.round(fit, 3).alias("r_squared"))
+
+
+
+def snapshots(txns: DataFrame, entries: DataFrame, window: int) -> DataFrame:
     """Snapshot rows of all entries and labels, every day of their life."""
     rates = entry_rates(txns, entries, window)
-    own = trends(rates, "entry", periods).select(
+    own = trends(rates, "entry").select(
         F.col("entry").alias("node"), F.lit("entry").alias("node_type"), "date", "actual", "projected", F.col("drift"), "slope", "r_squared", F.col("count").alias("transactions"), F.col("days").alias("window_days"), "total"
     )
     labels = label_rates(rates).withColumn("node", F.concat_ws(":", F.col("entity").cast("string"), "label"))
-    of_labels = trends(labels, "node", periods).select(
+    of_labels = trends(labels, "node").select(
         "node", F.lit("label").alias("node_type"), "date", "actual", "projected", F.round(F.col("actual") - F.col("projected"), 4).alias("drift"), "slope", "r_squared",
         F.col("entries").alias("transactions"), F.col("period_days").alias("window_days"), F.lit(0).cast("bigint").alias("total"),
     )

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ratewright.functions import conditions as C
-from ratewright.operators import dedup, match
+from ratewright.operators import dedup, lifecycle, match
 from ratewright.registry import query
+from ratewright.reports import pages, summary
 from ratewright.sources import adapters as A
 
 from . import sql as Q
@@ -87,12 +88,8 @@ def _p24(spark, sf):
     return _payees(spark, sf).select("id", node("AND", a, b).alias("both"), node("OR", a, b).alias("either"), node("NOT", a).alias("neither"), node("XOR", a, b).alias("one"), node("AND").alias("always"))
 
 
-def _all_entry_trees(spark, sf):
-    return A.transactions(spark, sf).withColumn("institution", F.lit(None).cast("bigint"))
-
-
 def _entry_trees(spark, sf):
-    return _all_entry_trees(spark, sf).filter("entity = 1")
+    return A.transactions(spark, sf).withColumn("institution", F.lit(None).cast("bigint"))
 
 
 _FIRST = [
@@ -101,7 +98,7 @@ _FIRST = [
     match.Entry("pay", {"op": "AND", "children": [{"type": "payee_starts_with", "value": "sign"}, {"op": "NOT", "children": [{"type": "amount_range", "min_cents": 10000}]}]}, direction="income", label="pay"),
     match.Entry("broken", {"op": "NAND", "children": []}),
 ]
-_FIRST_SQL = """, t as (select *, day(date) as dom from txn where entity = 1),
+_FIRST_SQL = """, t as (select *, day(date) as dom from txn),
 first_ as (select id, 'buy' as entry, 1.0::double as fit from t where merchant = 'purchase' and cents <= -2000 union all select id, 'early', least(1.0, 0.75 + 0.15 * (2 / 5)) from t where merchant = 'click' and abs(dom - 3) < 5
   union all select id, 'pay', least(1.0, 0.85 + 0.15 * (4 / 6)) from t where merchant = 'signup' and cents < 10000)"""
 
@@ -111,31 +108,12 @@ def _m02(spark, sf):
     return match.first_pass(_entry_trees(spark, sf), _FIRST)
 
 
-_FIRST_ALL_SQL = _FIRST_SQL.replace(" where entity = 1", "")
-
-
-@query("M02_first_pass_all", Q.T + _FIRST_ALL_SQL + " select id, entry, fit from first_")
-def _m02_all(spark, sf):
-    return match.first_pass(_all_entry_trees(spark, sf), _FIRST)
-
-
 @query(
     "M03_J12_interval_chain",
-    Q.O + """, d as (select distinct entry, date from ord where entry % 10 = 0 and cents < 0),
-    linked as (select a.entry, a.date as x, b.date as y from d a join d b on a.entry = b.entry and date_diff('day', a.date, b.date) between 87 and 95)
-    select o.id, o.entry from ord o where o.entry % 10 = 0 and o.cents < 0 and (exists (select 1 from linked l where l.entry = o.entry and (l.x = o.date or l.y = o.date)))""",
-)
-def _m03(spark, sf):
-    rows = A.orders(spark, sf).filter("entry % 10 = 0 and cents < 0").withColumn("every", F.lit(91))
-    return match.interval_chain(rows).select("id", "entry")
-
-
-@query(
-    "M03_J12_interval_chain_all",
     Q.O + """, d as (select distinct entry, date from ord), linked as (select a.entry, a.date as x, b.date as y from d a join d b on a.entry = b.entry and date_diff('day', a.date, b.date) between 87 and 95)
     select id, entry from ord semi join (select entry, x as date from linked union all select entry, y from linked) l using (entry, date)""",
 )
-def _m03_all(spark, sf):
+def _m03(spark, sf):
     return match.interval_chain(A.orders(spark, sf).withColumn("every", F.lit(91))).select("id", "entry")
 
 
@@ -160,12 +138,6 @@ def _m04(spark, sf):
     return match.second_pass(t, match.first_pass(t, _FIRST), _FIRST[:3], _SECOND)
 
 
-@query("M04_second_pass_all", Q.T + _FIRST_ALL_SQL + _SECOND_SQL)
-def _m04_all(spark, sf):
-    t = _all_entry_trees(spark, sf)
-    return match.second_pass(t, match.first_pass(t, _FIRST), _FIRST[:3], _SECOND)
-
-
 def _imports(spark, sf):
     """Stored rows: even orders; candidates: three in four orders anew (the others are not imported again), dates and amounts shifted a little, one in five with its id."""
     o = A.orders(spark, sf).withColumn("account", F.col("entry"))
@@ -212,9 +184,63 @@ def _k01(spark, sf):
     return dedup.counts(actions).crossJoin(F.broadcast(after.agg(F.count("*").alias("stored"))))
 
 
-@query("P30_P36_filters", Q.T + """, m as (select max(date) as d from txn) select id, date, cents from txn, m where merchant ilike '%CLI%' and date >= d - 10 and account = 3 or (date, id) < (date '2024-01-02', 40)""")
+@query("P30_P34_filters", Q.T + """, m as (select max(date) as d from txn) select id, date, cents from txn, m where merchant ilike '%CLI%' and date >= d - 10 and account = 3 or (date, id) < (date '2024-01-02', 40)""")
 def _p30(spark, sf):
     t = A.transactions(spark, sf)
     latest = F.broadcast(t.agg(F.max("date").alias("d")))
     keep = (F.col("merchant").ilike("%CLI%") & (F.col("date") >= F.date_sub("d", 10)) & (F.col("account") == 3)) | F.expr("date < date'2024-01-02' or (date = date'2024-01-02' and id < 40)")
     return t.crossJoin(latest).filter(keep).select("id", "date", "cents")
+
+
+@query("P31_like_any", Q.T + " select id from txn where merchant ilike 'CLI%' or merchant ilike '%new' or merchant ilike 'nothing'")
+def _p31(spark, sf):
+    return A.transactions(spark, sf).filter(pages.matching_any("merchant", ["CLI%", "%new", "nothing"])).select("id")
+
+
+@query("M24_condition_preview", Q.T + " select id from txn where starts_with(merchant, 'c') and cents < -1000 order by id limit 200")
+def _m24(spark, sf):
+    tree = {"op": "AND", "children": [{"type": "payee_starts_with", "value": "C"}, {"type": "amount_range", "max_cents": -1001}]}
+    return pages.preview(A.transactions(spark, sf), tree)
+
+
+@query("P32_optional_filters", Q.T + " select id from txn where account = 5 and merchant in ('click', 'view')")
+def _p32(spark, sf):
+    return pages.filtered(A.transactions(spark, sf), account=5, merchant=["click", "view"], date=None).select("id")
+
+
+_JOBS_SQL = """, job as (select event_id as id, ['import.process', 'export.report', 'account.analyze', 'balance.project'][event_id % 4 + 1] as job_type, ['queued', 'complete', 'processing'][event_id % 3 + 1] as status from events)"""
+
+
+def _jobs(spark, sf):
+    pick = lambda names, n: F.get(F.array(*map(F.lit, names)), (F.col("event_id") % n).cast("int"))
+    kinds, states = ["import.process", "export.report", "account.analyze", "balance.project"], ["queued", "complete", "processing"]
+    return A.table(spark, sf, "events").select(F.col("event_id").alias("id"), pick(kinds, 4).alias("job_type"), pick(states, 3).alias("status"))
+
+
+@query("P35_P36_without_active_jobs", Q.T + _JOBS_SQL + " select id, entry from txn where id not in (select id from job where status <> 'complete' and job_type in ('import.process', 'account.analyze'))")
+def _p35(spark, sf):
+    active = lifecycle.active_snapshot_jobs(_jobs(spark, sf))
+    return summary.without_active_jobs(A.transactions(spark, sf).withColumn("job_id", F.col("id")), active).select("id", "entry")
+
+
+@query("P36_active_jobs", Q.T + _JOBS_SQL + " select id, job_type, status from job where status in ('queued', 'processing')")
+def _p36(spark, sf):
+    return lifecycle.active_jobs(_jobs(spark, sf))
+
+
+@query("P28_broken_trees", Q.T + " select distinct entity || ':' || e as entry, e = 'a' as sound from txn, (values ('a'), ('b'), ('c')) v(e)")
+def _p28(spark, sf):
+    """Each entity's three entries from a table of JSON trees; two of them cannot be compiled."""
+    trees = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(t).alias("conditions")) for k, t in (("a", '{"type":"payee_exact","value":"view"}'), ("b", '{"op":"NAND"}'), ("c", '{"type":"payee_regex","value":"("}'))))
+    entities = A.transactions(spark, sf).select("entity").distinct().withColumn("t", F.explode(trees))
+    rows = entities.select("entity", F.concat_ws(":", F.col("entity").cast("string"), "t.k").alias("entry"), F.lit(100).alias("priority"), F.lit(None).cast("string").alias("label"), "t.conditions", F.lit(None).cast(C.MATCHED[6:-1]).alias("facts"))
+    return match.compile_table(rows).select("entry", F.col("error").isNull().alias("sound"))
+
+
+@query("M02_entries_as_table", Q.T + " select id, entity || ':' || merchant as entry, 1.0::double as fit from txn where cents between -100 * (entity + 1) * 20 and 100000")
+def _m02_table(spark, sf):
+    """An entry per entity and merchant, each with its own name and least amount, from a table of JSON trees."""
+    t = A.transactions(spark, sf)
+    tree = F.concat(F.lit('{"op":"AND","children":[{"type":"payee_exact","value":"'), "merchant", F.lit('"},{"type":"amount_range","max_cents":100000,"min_cents":'), (-2000 * (F.col("entity") + 1)).cast("string"), F.lit("}]}"))
+    rows = t.select("entity", "merchant", "entry").distinct().select("entity", "entry", F.lit(100).alias("priority"), F.lit(None).cast("string").alias("label"), tree.alias("conditions"), F.lit(None).cast(C.MATCHED[6:-1]).alias("facts"))
+    return match.first_pass(t, match.compile_table(rows))

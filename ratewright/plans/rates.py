@@ -14,10 +14,6 @@ from ratewright.sources import adapters as A
 
 from . import sql as Q
 
-#: Periods of the adapter's entries.
-PERIODS = [5, 6, 7, 8, 9]
-
-
 def _both(spark, sf):
     txns = A.transactions(spark, sf)
     return txns, A.entries(txns)
@@ -65,7 +61,7 @@ tr as (select a.entry, a.date, count(*) as k, regr_slope(b.actual, b.x) as s, re
 
 @query("W07_M15_trend", Q.RATES + _TREND + " select entry, date, round(case when k >= 2 then coalesce(s, 0.0) else 0.0 end, 6) as slope, round(case when k >= 2 then coalesce(r, 0.0) else 0.0 end, 3) as r_squared from tr")
 def _w07(spark, sf):
-    return ops.trends(rates(spark, sf), "entry", PERIODS).select("entry", "date", "slope", "r_squared")
+    return ops.trends(rates(spark, sf), "entry").select("entry", "date", "slope", "r_squared")
 
 
 @query("W10_prior_rate", Q.RATES + " select entry, date, lag(actual) over (partition by entry order by date) as prior from rates")
@@ -108,7 +104,7 @@ def _m11(spark, sf):
     union all select node, 'label', date, actual, projected, round(actual - projected, 4), round(case when k >= 2 then coalesce(s, 0.0) else 0.0 end, 6), round(case when k >= 2 then coalesce(r, 0.0) else 0.0 end, 3), entries, period_days, cast(0 as bigint)
       from lp join lt using (node, date)""")
 def _m16(spark, sf):
-    return ops.snapshots(*_both(spark, sf), Q.WINDOW, PERIODS)
+    return ops.snapshots(*_both(spark, sf), Q.WINDOW)
 
 
 @query("K03_K04_upsert", Q.RATES + " select entry, date, case when date >= date '2024-01-20' then actual else 0.0 end as actual from rates where date >= date '2024-01-20' or date < date '2024-01-25'")

@@ -210,12 +210,20 @@ def _l01(spark, sf):
     return pages.page(A.orders(spark, sf).select("id", "date", "cents"), [("date", True), ("id", True)], 50, [dt.date(1999, 6, 1), 5000])
 
 
-@query("L03_L07_ranks", Q.TE + " select entry, cast(row_number() over (order by case status when 'pending' then 0 when 'live' then 1 else 2 end, label = 'signup' desc, period_days desc nulls last, coalesce(label, ''), entry) as bigint) as place from entries")
+@query("L03_L07_ranks", Q.TE + " select entry, cast(row_number() over (partition by entity order by case status when 'pending' then 0 when 'live' then 1 else 2 end, label = 'signup' desc, period_days desc nulls last, coalesce(label, ''), entry) as bigint) as place from entries")
 def _l03(spark, sf):
     rank = F.when(F.col("status") == "pending", 0).when(F.col("status") == "live", 1).otherwise(2)
-    order = [rank, (F.col("label") == "signup").desc(), F.col("period_days").desc_nulls_last(), F.coalesce("label", F.lit("")), "entry"]
-    # entries are a catalog of a person's few recurring payments; the ranking is per list shown
-    return _e(spark, sf).withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("bigint")).select("entry", "place")
+    order = [rank, (F.col("label") == "signup").desc(), F.col("period_days").desc_nulls_last(), F.coalesce("label", F.lit("")), F.col("entry")]
+    return pages.ranked(_e(spark, sf), ["entity"], order).select("entry", "place")
+
+
+_SYSTEM = " select entry, cast(row_number() over (partition by entity order by case name when 'All' then 0 when 'Income' then 1 when 'Spend' then 2 else 4 end, entry) as bigint) as place from (select *, case label when 'signup' then 'Income' when 'purchase' then 'Spend' when 'view' then 'All' else label end as name from entries)"
+
+
+@query("L04_system_order", Q.TE + _SYSTEM)
+def _l04(spark, sf):
+    name = F.when(F.col("label") == "signup", "Income").when(F.col("label") == "purchase", "Spend").when(F.col("label") == "view", "All").otherwise(F.col("label"))
+    return pages.ranked(_e(spark, sf).withColumn("name", name), ["entity"], [pages.system_place(F.col("name")), F.col("entry")]).select("entry", "place")
 
 
 @query("L08_frequent_merchants", Q.O + " select merchant, count(*) as n from ord group by merchant order by n desc, merchant limit 50")

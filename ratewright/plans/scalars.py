@@ -177,7 +177,7 @@ def _f22(spark, sf):
     )
 
 
-@query("F28_currency")
+@query("F28_currency", Q.O + " select id, case when cents < 0 then '-' else '' end || '$' || format('{:,}', abs(cents) // 100) || '.' || lpad(cast(abs(cents) % 100 as varchar), 2, '0') as amount from ord")
 def _f28(spark, sf):
     return A.orders(spark, sf).select("id", R.currency(F.col("cents")).alias("amount"))
 
@@ -244,3 +244,13 @@ def _s08(spark, sf):
 def _s09(spark, sf):
     t = A.transactions(spark, sf)
     return t.filter("entity = 3 and merchant in ('click', 'view')").select("id", "date", "cents").unionByName(t.filter("id = 17").select("id", "date", "cents"))
+
+
+@query("F39_names", "select c_custkey as id, case c_custkey % 3 when 0 then c_name when 1 then 'm' || c_custkey || '@x.org' else 'Ada Lovelace' end as name, case c_custkey % 3 when 0 then upper(c_name[1:2]) when 1 then 'M' || cast(c_custkey as varchar)[1:1] else 'AL' end as initials from customer")
+def _f39(spark, sf):
+    c = A.table(spark, sf, "customer")
+    name = F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).when(F.col("c_custkey") % 3 == 1, F.lit(" ")).otherwise("Ada  Lovelace ")
+    email = F.concat(F.lit("m"), "c_custkey", F.lit("@x.org"))
+    shown = F.regexp_replace(T.display_name(name, email), "  ", " ")
+    return c.select(F.col("c_custkey").alias("id"), shown.alias("name"), T.initials(name, email).alias("initials"))
+

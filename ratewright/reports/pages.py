@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import functools
+import operator
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ratewright.functions.conditions import ConditionError, compile_tree
+
 
 def after(order: list[tuple[str, bool]], values: list) -> Column:
     """Rows that come after ``values`` in an order of (column, descending) pairs."""
@@ -41,3 +46,40 @@ def merchant_search(txns: DataFrame, text: str, limit: int = 50) -> DataFrame:
 
 def frequent_merchants(txns: DataFrame, limit: int = 50) -> DataFrame:
     return txns.groupBy("merchant").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "merchant").limit(limit)
+
+
+def matching_any(column: str, patterns: list[str]) -> Column:
+    """Whether a column is like one of some patterns, case aside; like none of an empty list."""
+    return functools.reduce(operator.or_, (F.col(column).ilike(p) for p in patterns), F.lit(False))
+
+
+def preview(txns: DataFrame, conditions: dict, limit: int = 200) -> DataFrame:
+    """Ids of at most ``limit`` transactions that conditions would take, by id.
+
+    Conditions are a list of patterns under ``merchants``, or a tree of the condition
+    language that looks at single transactions; anything else takes none.
+    """
+    if "merchants" in conditions:
+        names = conditions["merchants"]
+        fits = matching_any("merchant", [n for n in names if isinstance(n, str)] if isinstance(names, list) else [])
+    else:
+        try:
+            fits = compile_tree(conditions).isNotNull()
+        except ConditionError:
+            fits = F.lit(False)
+    return txns.filter(fits).select("id").orderBy("id").limit(limit)
+
+
+#: Labels of the system entries in the order they are shown.
+SYSTEM_ORDER = ["All", "Income", "Spend"]
+
+
+def system_place(label: Column) -> Column:
+    """Place of a label among the system ones; others come after them."""
+    place = F.array_position(F.array(*map(F.lit, SYSTEM_ORDER)), F.coalesce(label, F.lit("")))
+    return F.when(place > 0, place - 1).otherwise(len(SYSTEM_ORDER) + 1).cast("int")
+
+
+def ranked(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """Rows with their ``place`` in the list of their keys, from 1."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))

@@ -32,8 +32,8 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sparse transactions: ``id, entry, date, label, merchant, cents`` of every order; a customer is an entry."""
     sign = F.when(F.col("o_orderstatus") == "F", 1).otherwise(-1)
-    stems = F.array(*map(F.lit, ["Target", "Westerville Market", "Home Depot", "Netflix", "Gas Station", "City View", "Water Works"]))
-    ends = F.array(F.lit(""), F.lit(" Com"), F.concat(F.lit(" T-"), F.col("o_custkey") % 3))
+    stems = F.array(*map(F.lit, ["Harbour Books", "Harbour Cafe", "Lumen Power", "Tallow & Wick", "Corner Grocer", "Ridge View", "Mill Water"]))
+    ends = F.array(F.lit(""), F.lit(" Com"), F.concat(F.lit(" K-"), F.col("o_custkey") % 3))
     return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("id"),
         F.col("o_custkey").alias("entry"),
@@ -79,8 +79,8 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 TXN_SQL = """txn as (select event_id as id, user_id % 5 as entity, user_id as account, cast(ts as date) as date, event_type as merchant,
   cast(user_id % 5 as varchar) || ':' || event_type as entry, cast(round(value * 100) as bigint) * case when event_type = 'signup' then 1 else -1 end as cents from events)"""
 ORDERS_SQL = """ord as (select o_orderkey as id, o_custkey as entry, cast(o_orderdate as date) as date, o_orderpriority as label,
-  ['Target', 'Westerville Market', 'Home Depot', 'Netflix', 'Gas Station', 'City View', 'Water Works'][o_custkey % 7 + 1]
-  || ['', ' Com', ' T-' || (o_custkey % 3)][o_orderkey % 3 + 1] as merchant,
+  ['Harbour Books', 'Harbour Cafe', 'Lumen Power', 'Tallow & Wick', 'Corner Grocer', 'Ridge View', 'Mill Water'][o_custkey % 7 + 1]
+  || ['', ' Com', ' K-' || (o_custkey % 3)][o_orderkey % 3 + 1] as merchant,
   cast(round(o_totalprice * 100) as bigint) * case when o_orderstatus = 'F' then 1 else -1 end as cents from orders)"""
 ENTRIES_SQL = """entries as (select entry, entity, merchant as label, case when merchant = 'signup' then 'income' else 'spend' end as direction,
   case when merchant in ('purchase', 'signup') then 'standing' else 'variable' end as entry_type,
