@@ -87,9 +87,10 @@ def _rows(txns: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     entity = F.col("entity").cast("string") if "entity" in txns.columns else F.lit("")
     rows = txns.withColumn("__entity", entity)
     sound = entries.filter("error is null")
-    every_ones = sound.filter("entity is null").drop("entity")
+    columns = [c for c in sound.columns if c != "entity"]
+    shared = sound.filter("entity is null").agg(F.collect_list(F.struct(*columns)).alias("e"))  # one row: entries that are every entity's, a few system ones
     entities = rows.select(F.col("__entity").alias("entity")).distinct()
-    shared = entities.join(F.broadcast(every_ones.withColumn("all", F.lit(1))), F.lit(1) == F.col("all")).drop("all")
+    shared = entities.crossJoin(F.broadcast(shared)).select("entity", F.inline("e"))
     own = sound.filter("entity is not null").unionByName(shared)
     return rows, own
 
