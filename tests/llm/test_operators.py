@@ -186,11 +186,6 @@ def base_by_force(text):
     return [(k, m.start(), m.end()) for k, (p, ok) in kinds.items() for m in re.finditer(p, text or "") if ok(m[0])]
 
 
-@pytest.fixture(scope="session")
-def models(spark, documents):
-    return pii.fit(documents)
-
-
 def check_pii(frame, texts, models):
     for r in pii.detect(frame, models).collect():
         want = base_by_force(texts[r.doc_id])
