@@ -6,9 +6,11 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, line_crf, packing, pairwise_quality, pii, token_attribution, toxicity, url_reputation
+from . import decontaminate, language_id, license_scan, line_crf, packing, pairwise_quality, pii, token_attribution, toxicity, url_reputation
+from .importance import ImportanceResampler
 from .labelled import text_crc
 from .ngram_join import NgramJaccardJoin
+from .vector_clusters import VectorClusters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,11 +77,27 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(pairwise_quality.quality_scores(_table(spark, sf_dir, "documents"), labels), held_out)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ImportanceResampler().draw(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(text_crc("doc_id", 5) == 0, F.lit(False))
+    model = language_id.fit(documents.filter(text_crc("doc_id", 5) != 0))
+    return language_id.identify(documents, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return VectorClusters().clusters(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filters, op2_ngram_jaccard_join, op3_packing, op4_pii, op5_token_counts,
         op6_quality_rules, op7_decontamination, op8_toxicity, op9_license_scans, op10_quality_classifier,
+        op11_importance_resampling, op12_language_id, op13_centroid_clustering,
     )
 }
 
@@ -151,4 +169,61 @@ select doc_id, cast(len(sets.s) as bigint) as n_shingles, coalesce(component_id,
 from sets left join distinct_sets on list_sort(sets.s) = distinct_sets.s left join classes using (rep)
 """
 
-ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op2_ngram_jaccard_join": OP2_SQL}
+#: CRC32 of the bytes in the list ``b``; the table of a byte's eight steps is made from the polynomial.
+_CRC = "xor(list_reduce(list_prepend(4294967295::bigint, b), lambda c, x: xor(c >> 8, steps[xor(c & 255, x) + 1])), 4294967295::bigint)"
+_STEP = "lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384::bigint) else c >> 1 end"
+
+OP11_SQL = rf"""
+with texts as (
+  select 0 as side, doc_id, text from documents union all select 1, null, text from benchmark),
+numbered as (select row_number() over () as row, * from texts),
+cut as (
+  select row, side, doc_id, regexp_extract_all({_FOLD.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from numbered),
+runs as (
+  select row, side, unnest(list_concat(w,
+    list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+    list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) as f from cut),
+crc_steps as (select list_transform(range(256), lambda x: list_reduce(list_prepend(x, range(8)), {_STEP})) as steps),
+bytes as (select f, list_transform(range(octet_length(encode(f))), lambda i: ('0x' || substr(hex(encode(f)), 2 * i + 1, 2))::bigint) as b from (select distinct f from runs)),
+buckets as (select f, {_CRC} % 10000 as bucket from bytes, crc_steps),
+hit as (select row, side, bucket from runs join buckets using (f)),
+counted as (select bucket, count(*) filter (side = 0) as s, count(*) filter (side = 1) as t from hit group by bucket),
+sums as (select sum(s)::double as all_s, sum(t)::double as all_t from counted),
+gains as (
+  select bucket, floor(1000 * ln(((t + 1)::double * (all_s + 10000)) / ((s + 1)::double * (all_t + 10000))))::bigint as gain from counted, sums),
+weights as (select row, count(*) as n_features, sum(gain)::bigint as weight from hit join gains using (bucket) where side = 0 group by row),
+scored as (
+  select row, doc_id, len(w) >= 20 as fit, coalesce(n_features, 0)::bigint as n_features, coalesce(weight, 0)::bigint as weight,
+    ('0x' || substr(sha256('42:' || doc_id), 1, 8))::bigint::double as h from cut left join weights using (row) where side = 0),
+noisy as (select *, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::bigint as score from scored),
+placed as (select *, row_number() over (partition by fit order by score desc, doc_id) as place, count(*) filter (fit) over () as n from noisy)
+select doc_id, n_features, weight, score, case when fit and place <= 5 * n // 100 then place end as rank from placed
+"""
+
+
+def _clusters_sql() -> str:
+    """All rounds of the centroid clustering, each as the assignment and the means of it."""
+    distance = "list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))::bigint"
+    parts = []
+    for r in range(6):
+        parts.append(f"near{r} as materialized (select vec_id, v.x, arg_min(c.cluster, (d, c.cluster)) as cluster, min(d) as distance from (select v.row, v.vec_id, v.x, c.cluster, {distance} as d from kept v, c{r} c) v join c{r} c using (cluster) group by v.row, vec_id, v.x)")
+        if r < 5:
+            parts.append(f"s{r} as (select cluster, i, sum(x[i]) as total, count(*) as n from near{r}, range(1, 65) t(i) group by cluster, i)")
+            parts.append(f"m{r} as (select cluster, list((total - ((total % n) + n) % n) // n order by i)::bigint[] as x from s{r} group by cluster)")
+            parts.append(f"c{r + 1} as materialized (select c{r}.cluster, coalesce(m{r}.x, c{r}.x) as x from c{r} left join m{r} using (cluster))")
+    return ", ".join(parts)
+
+
+OP13_SQL = f"""
+with sound as (
+  select vec_id, embedding from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda v: v is not null and isfinite(v))) = 64),
+kept as materialized (select row_number() over () as row, vec_id, list_transform(embedding, lambda v: floor(v::double * 256)::bigint) as x from sound),
+c0 as materialized (select row_number() over (order by sha256('2:' || vec_id)) - 1 as cluster, x from kept qualify cluster < 40),
+{_clusters_sql()},
+spread as (select cluster, sum(distance)::bigint as cluster_inertia from near5 group by cluster)
+select vec_id, near5.cluster::integer as cluster, distance, cluster_inertia, (select sum(distance) from near5)::bigint as inertia, sha256(array_to_string(c5.x, ',')) as centroid_sha256
+from near5 join spread using (cluster) join c5 using (cluster)
+"""
+
+ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op2_ngram_jaccard_join": OP2_SQL, "op11_importance_resampling": OP11_SQL, "op13_centroid_clustering": OP13_SQL}
