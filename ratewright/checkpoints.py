@@ -1,21 +1,36 @@
-"""Cutting the lineage of iterative plans in the folder that driver and executors share."""
+"""The folder that driver and executors share: cutting the lineage of iterative plans, and tables of a run."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` read back from a reliable checkpoint in ``spark.checkpoint.dir``.
+def _single_machine(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which is also made the context's own.
 
     Where that is unset, a single machine takes a temporary folder; on a cluster it is an error.
     """
-    spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not spark.sparkContext.master.startswith("local["):
+        if not folder and not _single_machine(spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ratewright-"))
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()).rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` read back from a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ratewright.checkpoints import cut_lineage
+from ratewright.functions.order_stats import expanding_medians
 from ratewright.functions.rates import actual_rate, drift, sign_of, window_days
 
 _EPOCH = "1970-01-01"
-#: Bits of an amount that a step of the expanding median settles.
-_DIGIT = 4
 
 
 def daily(txns: DataFrame, key: str = "entry") -> DataFrame:
@@ -59,48 +59,50 @@ def rolling_by_entry(days: DataFrame, window: str) -> DataFrame:
     return joined.select(*days.columns, total.alias("total"), count.alias("count"), "earliest")
 
 
-def usual_amounts(txns: DataFrame) -> DataFrame:
-    """``(entry, date, median, max)`` of the absolute amounts up to each day with transactions.
+def day_counts(txns: DataFrame) -> DataFrame:
+    """``(entry, date, cents, n)``: how often an entry has an amount on a day; all rates follow from it."""
+    return txns.groupBy("entry", "date", "cents").agg(F.count("*").alias("n"))
 
-    Equal amounts of a day are counted first. Each day then looks for its two middles
-    digit by digit, among the amounts that share the digits found so far: a window
-    holds a few rows per day, however many transactions an entry has.
-    """
-    counts = txns.groupBy("entry", "date", F.abs("cents").alias("amount")).agg(F.count("cents").alias("n"))
-    upto = Window.partitionBy("entry").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    days = counts.groupBy("entry", "date").agg(F.sum("n").alias("n"), F.max("amount").alias("max"))
-    days = days.select("entry", "date", F.sum("n").over(upto).alias("n"), F.max("max").over(upto).alias("max"))
-    asked = days.select("entry", "date", "max", F.posexplode(F.expr("array((n + 1) div 2, n div 2 + 1)")).alias("upper", "place")).withColumn("node", F.lit(0).cast("bigint"))
-    largest = counts.agg(F.max("amount")).first()[0] or 0
-    sums = [f"c{i}" for i in range(1 << _DIGIT)]
-    top = _DIGIT * (max(0, largest.bit_length() - 1) // _DIGIT)
-    for shift in range(top, -1, -_DIGIT):
-        node = F.lit(0).cast("bigint") if shift == top else F.shiftright("amount", shift + _DIGIT)
-        digit = F.shiftright("amount", shift).bitwiseAND(F.lit((1 << _DIGIT) - 1))
-        held = counts.groupBy("entry", node.alias("node"), "date").agg(*(F.sum(F.when(digit <= i, F.col("n")).otherwise(0)).alias(c) for i, c in enumerate(sums)))
-        rows = asked.withColumn("asks", F.lit(True)).unionByName(held, allowMissingColumns=True)
-        so_far = Window.partitionBy("entry", "node").orderBy("date").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        run = rows.select("entry", "date", "max", "upper", "place", "node", "asks", *(F.coalesce(F.sum(c).over(so_far), F.lit(0)).alias(c) for c in sums)).filter("asks")
-        found = F.coalesce(*(F.when(F.col(c) >= F.col("place"), F.lit(i)) for i, c in enumerate(sums)))
-        below = F.coalesce(F.get(F.array(*sums), found - 1), F.lit(0))
-        asked = run.select("entry", "date", "max", "upper", (F.col("place") - below).alias("place"), (F.col("node") * (1 << _DIGIT) + found).alias("node"))
-    middles = asked.groupBy("entry", "date", "max").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("node").alias("found"))
-    return middles.select("entry", "date", F.when(F.col("found") == 2, F.expr("low + (high - low) div 2")).alias("median"), "max")
 
+def daily_of(counts: DataFrame) -> DataFrame:
+    """As :func:`daily`, from counts."""
+    return counts.groupBy("entry", "date").agg(F.sum(F.col("cents") * F.col("n")).alias("cents"), F.sum("n").alias("n"))
 
-def entry_rates(txns: DataFrame, entries: DataFrame, window: int, override: str | None = None) -> DataFrame:
-    """``(entry, label, direction, period_days, date, count, days, total, actual, projected, drift)`` per entry and day.
 
-    The projected rate is the entry's override if it has one; else the usual amount (by
-    the entry's ``rate_method``, over all transactions so far) spread over the window;
-    0 before the first transaction. Rates are rounded to four places as they are stored.
+def usual_of(counts: DataFrame) -> DataFrame:
+    """As :func:`usual_amounts`, from counts."""
+    day = F.when(F.col("n") > 0, _day(F.col("date")))
+    found = expanding_medians(counts.select("entry", day.alias("day"), F.abs("cents").alias("amount"), "n").filter("day is not null"), "entry", "day", "amount", "n")
+    return found.select("entry", F.date_from_unix_date("day").alias("date"), "median", "max")
+
+
+def usual_amounts(txns: DataFrame) -> DataFrame:
+    """``(entry, date, median, max)`` of the absolute amounts up to each day with transactions; those without an amount count nowhere."""
+    return usual_of(txns.filter("cents is not null").groupBy("entry", "date", F.abs("cents").alias("cents")).agg(F.count("*").alias("n")))
+
+
+def rates_of(counts: DataFrame, entries: DataFrame, window: int, override: str | None = None, begin: str | None = None) -> DataFrame:
+    """Rates from :func:`day_counts` and entries with ``as_of``; see :func:`entry_rates`.
+
+    ``begin`` names a column of the entries with the first day that is asked for. Earlier
+    counts then need their own days only within the window before it; older ones may stand
+    together on any earlier day, and the entries hold ``first_date``, their first day with
+    a transaction.
     """
-    today = F.broadcast(as_of(txns))
-    days = grid(entries.crossJoin(today), F.col("as_of"))
-    days = days.join(daily(txns), ["entry", "date"], "left").join(usual_amounts(txns), ["entry", "date"], "left")
+    last = F.least(F.coalesce("end_date", "as_of"), F.col("as_of"))
+    first = F.greatest("start_date", F.date_sub(begin, window)) if begin else F.col("start_date")
+    lives = entries.withColumn("__first", first).withColumn("__last", last).filter("__first <= __last")
+    days = lives.withColumn("date", F.explode(F.sequence("__first", "__last")))
+    usual = usual_of(counts.filter("cents is not null"))
+    if begin:
+        usual = usual.join(lives.select("entry", "__first"), "entry").withColumn("__at", F.greatest("date", "__first"))
+        usual = usual.groupBy("entry", F.col("__at").alias("date")).agg(F.max_by("median", "date").alias("median"), F.max_by("max", "date").alias("max"))
+    days = days.join(daily_of(counts), ["entry", "date"], "left").join(usual, ["entry", "date"], "left")
     upto = Window.partitionBy("entry").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    usual = F.when(F.col("rate_method") == "max", F.col("max")).otherwise(F.col("median"))
-    days = rolling(days.withColumn("usual", F.last(usual, ignorenulls=True).over(upto)), window)
+    amount = F.when(F.col("rate_method") == "max", F.col("max")).otherwise(F.col("median"))
+    days = rolling(days.withColumn("usual", F.last(amount, ignorenulls=True).over(upto)), window)
+    if begin:
+        days = days.withColumn("earliest", F.when(F.col("first_date") <= F.col("date"), F.col("first_date"))).filter(F.col("date") >= F.col(begin))
     rate = F.coalesce(F.col("usual") / window * sign_of(F.col("direction")), F.lit(0.0))
     if override:
         rate = F.coalesce(F.col(override).cast("double"), rate)
@@ -110,6 +112,21 @@ def entry_rates(txns: DataFrame, entries: DataFrame, window: int, override: str
     return days.select("entry", "entity", "label", "direction", "period_days", "status", "date", "count", "days", "total", "actual", "projected", "drift")
 
 
+def entry_rates(txns: DataFrame, entries: DataFrame, window: int, override: str | None = None) -> DataFrame:
+    """``(entry, label, direction, period_days, date, count, days, total, actual, projected, drift)`` per entry and day.
+
+    The projected rate is the entry's override if it has one; else the usual amount (by
+    the entry's ``rate_method``, over all transactions so far) spread over the window;
+    0 before the first transaction. Rates are rounded to four places as they are stored.
+    Transactions before an entry's start are not its own. They are read once: counts by day and
+    amount are written, and all else reads these.
+    """
+    counts = cut_lineage(day_counts(txns))
+    lives = cut_lineage(entries.crossJoin(F.broadcast(as_of(counts))))
+    own = counts.join(lives.select("entry", "start_date"), "entry").filter("date >= start_date").drop("start_date")
+    return rates_of(own, lives, window, override)
+
+
 def label_direction() -> Column:
     """Of a label's entries: mixed if all are, income if any is, else spend."""
     return F.when(F.every(F.col("direction") == "mixed"), "mixed").when(F.some(F.col("direction") == "income"), "income").otherwise("spend")
@@ -141,12 +158,11 @@ def trends(rates: DataFrame, key: str) -> DataFrame:
     parts = {"k": F.count("__y"), "x": F.sum("__x"), "y": F.sum("__y"), "xx": F.sum(F.expr("__x * __x")), "xy": F.sum(F.expr("__x * __y")), "yy": F.sum(F.expr("__y * __y"))}
     sums = F.struct(*(F.coalesce(v.over(upto).cast(whole), F.lit(0).cast(whole)).alias(k) for k, v in parts.items()))
     run = there.withColumn("__upto", sums).drop("__x", "__y")
-    # the last sums before a window begins, for each day that asks: days may be missing, so it is a running last value
-    asks = run.select(key, F.date_sub("date", F.col("period_days") * 3 + 1).alias("day"), F.col("date").alias("of"))
-    known = run.select(key, F.col("date").alias("day"), "__upto").unionByName(asks, allowMissingColumns=True)
-    by = Window.partitionBy(key).orderBy("day", F.col("of").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    before = known.withColumn("__before", F.last("__upto", ignorenulls=True).over(by)).filter("of is not null").select(key, F.col("of").alias("date"), "__before")
-    rows = run.join(before, [key, "date"])
+    # each row is there twice: on its day, and as a question on the day before its window begins
+    days = F.array(F.struct(F.col("date").alias("day"), F.lit(False).alias("asks")), F.struct(F.date_sub("date", F.col("period_days") * 3 + 1).alias("day"), F.lit(True).alias("asks")))
+    twice = run.withColumn("__d", F.explode(days))
+    by = Window.partitionBy(key).orderBy("__d.day", "__d.asks").rowsBetween(Window.unboundedPreceding, 0)
+    rows = twice.withColumn("__before", F.last(F.when(~F.col("__d.asks"), F.col("__upto")), ignorenulls=True).over(by)).filter("__d.asks")
     for m in _MOMENTS:
         rows = rows.withColumn(f"__{m}", F.col(f"__upto.{m}") - F.coalesce(F.col(f"__before.{m}"), F.lit(0).cast(whole)))
     k = F.col("__k").cast("double")
@@ -157,19 +173,28 @@ def trends(rates: DataFrame, key: str) -> DataFrame:
     return rows.select(*rates.columns, F.round(slope, 6).alias("slope"), F.round(fit, 3).alias("r_squared"))
 
 
+SNAPSHOT = ["node", "node_type", "date", "actual", "projected", "drift", "slope", "r_squared", "transactions", "window_days", "total"]
+
+
+def entry_snapshots(trended: DataFrame) -> DataFrame:
+    """Snapshot rows of entries with their trends."""
+    return trended.withColumns({"node": F.col("entry"), "node_type": F.lit("entry"), "transactions": F.col("count"), "window_days": F.col("days")}).select(SNAPSHOT)
+
+
+def label_node() -> Column:
+    return F.concat_ws(":", F.col("entity").cast("string"), "label")
+
+
+def label_snapshots(trended: DataFrame) -> DataFrame:
+    """Snapshot rows of labels with their trends: the window is the period, the count that of entries."""
+    drifted = {"node_type": F.lit("label"), "drift": F.round(F.col("actual") - F.col("projected"), 4), "transactions": F.col("entries"), "window_days": F.col("period_days"), "total": F.lit(0).cast("bigint")}
+    return trended.withColumns(drifted).select(SNAPSHOT)
+
 
 def snapshots(txns: DataFrame, entries: DataFrame, window: int) -> DataFrame:
-    """Snapshot rows of all entries and labels, every day of their life."""
-    rates = entry_rates(txns, entries, window)
-    own = trends(rates, "entry").select(
-        F.col("entry").alias("node"), F.lit("entry").alias("node_type"), "date", "actual", "projected", F.col("drift"), "slope", "r_squared", F.col("count").alias("transactions"), F.col("days").alias("window_days"), "total"
-    )
-    labels = label_rates(rates).withColumn("node", F.concat_ws(":", F.col("entity").cast("string"), "label"))
-    of_labels = trends(labels, "node").select(
-        "node", F.lit("label").alias("node_type"), "date", "actual", "projected", F.round(F.col("actual") - F.col("projected"), 4).alias("drift"), "slope", "r_squared",
-        F.col("entries").alias("transactions"), F.col("period_days").alias("window_days"), F.lit(0).cast("bigint").alias("total"),
-    )
-    return own.unionByName(of_labels)
+    """Snapshot rows of all entries and labels, every day of their life; rates are written once, both read them."""
+    rates = cut_lineage(entry_rates(txns, entries, window))
+    return entry_snapshots(trends(rates, "entry")).unionByName(label_snapshots(trends(label_rates(rates).withColumn("node", label_node()), "node")))
 
 
 def merge_snapshots(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("node", "date")) -> DataFrame:
