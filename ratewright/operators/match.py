@@ -1,8 +1,8 @@
 """Assigning transactions to entries by their conditions.
 
 Entries are rows: each has the shape of its tree and the values of its leaves, and meets
-the transactions of its entity in a join. Only shapes are in the plan, so its size does
-not depend on how many entries there are, and transactions are read once for 50 shapes.
+those transactions of its entity that an index finds for it (:mod:`.entry_index`). Only
+shapes are in the plan, so its size does not depend on how many entries there are.
 """
 
 from __future__ import annotations
@@ -18,11 +18,14 @@ from pyspark.sql import functions as F
 
 from ratewright.checkpoints import cut_lineage
 from ratewright.functions import conditions as C
+from ratewright.operators import entry_index as index
 
 #: Shapes evaluated in one projection; more are split, as one generated class cannot hold any number.
 BATCH = 50
 #: Entries that may be broadcast, a few hundred bytes each; beyond it they meet their entity's transactions in a shuffle.
 BROADCAST_ENTRIES = 1 << 16
+#: The entity of entries that are every entity's; none has this name.
+EVERY = "\x00"
 
 
 @dataclass
@@ -43,18 +46,23 @@ class Entry:
     entity: str | None = None
 
 
-#: Entries with what their conditions are compiled to: ``every`` are the days of an interval anchor, ``facts`` what the second pass sees.
-TABLE = f"entity string, entry string, priority int, label string, shape string, leaf_values array<string>, every int, error string, facts {C.MATCHED[6:-1]}"
+#: Entries with what their conditions are compiled to: ``every`` are the days of an interval anchor, ``access`` is how an index finds them, ``facts`` what the second pass sees.
+TABLE = f"entity string, entry string, priority int, label string, shape string, leaf_values array<string>, every int, access {index.ACCESS}, error string, facts {C.MATCHED[6:-1]}"
 
 
-def _compiled(conditions: dict) -> tuple[str | None, list[str] | None, int | None, str | None]:
-    """Shape, values and interval of a tree, or why it cannot be compiled."""
+def _payees(tree: dict) -> dict:
+    """The payee leaves at the top of a tree: what makes a partner in an interval, whether or not it meets the rest."""
+    return {"op": "AND", "children": [x for x in C.leaves(tree, True) if C.ALIASES.get(x["type"], x["type"]) in C.PAYEE]}
+
+
+def _compiled(conditions: dict) -> tuple[str | None, list[str] | None, int | None, list[tuple] | None, str | None]:
+    """Shape, values, interval and access of a tree, or why it cannot be compiled."""
     try:
         interval = C.interval_of(conditions)
         C.check_tree(conditions)
-        return *C.shape_of(conditions), interval, None
+        return *C.shape_of(conditions), interval, index.access_of(_payees(conditions) if interval else conditions), None
     except (C.ConditionError, ValueError, TypeError) as e:
-        return None, None, None, str(e)
+        return None, None, None, None, str(e)
 
 
 def entry_table(spark: SparkSession, entries: Iterable[Entry]) -> DataFrame:
@@ -62,8 +70,7 @@ def entry_table(spark: SparkSession, entries: Iterable[Entry]) -> DataFrame:
     rows = []
     for e in entries:
         facts = (e.id, e.label, e.direction, e.entry_type, e.period, e.source, *e.fitness, e.rate, e.anchor)
-        shape, values, every, error = _compiled(e.tree)
-        rows.append((e.entity, e.id, e.priority, e.label, shape, values, every, error, facts))
+        rows.append((e.entity, e.id, e.priority, e.label, *_compiled(e.tree), facts))
     return spark.createDataFrame(rows, TABLE)
 
 
@@ -73,9 +80,10 @@ def compile_table(entries: DataFrame) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             found = [_compiled(json.loads(x)) for x in part.pop("conditions")]
-            for k, name in enumerate(("shape", "leaf_values", "every", "error")):
-                part[name] = pd.Series([f[k] for f in found], dtype="Int32" if name == "every" else object, index=part.index)
-            yield part[["entity", "entry", "priority", "label", "shape", "leaf_values", "every", "error", "facts"]]
+            for k, name in enumerate(("shape", "leaf_values", "every", "access", "error")):
+                values = [f[k] if name != "access" or f[k] is None else [dict(zip(("branch", "alt", "kind", "value", "low", "high"), key)) for key in f[k]] for f in found]
+                part[name] = pd.Series(values, dtype="Int32" if name == "every" else object, index=part.index)
+            yield part[["entity", "entry", "priority", "label", "shape", "leaf_values", "every", "access", "error", "facts"]]
 
     rows = entries.select(F.col("entity").cast("string").alias("entity"), "entry", F.col("priority").cast("int").alias("priority"), "label", "conditions", F.to_json("facts").alias("facts"))
     compiled = rows.mapInPandas(run, TABLE.rsplit(", facts", 1)[0] + ", facts string")
@@ -95,11 +103,35 @@ def _rows(txns: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, own
 
 
-def _met(rows: DataFrame, own: DataFrame) -> DataFrame:
-    """Transactions with the entries of their entity, whose columns win over those of the same name."""
-    own = own.withColumnRenamed("entity", "__entity")
-    rows = rows.select(*(c for c in rows.columns if c == "__entity" or c not in own.columns))
-    return rows.join(F.broadcast(own) if own.count() <= BROADCAST_ENTRIES else own, "__entity")
+def _sound(entries: DataFrame) -> DataFrame:
+    """The entries that could be compiled, with their entity as a key and their size; written once."""
+    bytes_ = F.octet_length("shape") + F.octet_length(F.array_join("leaf_values", ""))
+    sound = entries.filter("error is null").withColumn("__entity", F.coalesce("entity", F.lit(EVERY))).drop("entity")
+    return cut_lineage(sound.withColumn("__bytes", F.coalesce(bytes_, F.lit(0))))
+
+
+def _met(rows: DataFrame, sound: DataFrame) -> DataFrame:
+    """Transactions with the entries that an index finds for them, whose columns win over those of the same name.
+
+    Entries that are every entity's are looked up among all transactions, as those of one entity.
+    """
+    shared, keyed = F.col("__entity") == EVERY, F.col("access").isNotNull()
+    count = lambda test, name: F.count_if(test).alias(name)
+    has = sound.agg(F.coalesce(F.sum("__bytes"), F.lit(0)).alias("bytes"), count(F.exists("access", lambda k: k["branch"] > 0) | (F.size("access") > F.array_max(F.transform("access", lambda k: k["alt"])) + 1), "several"), count(~shared & keyed, "own_keyed"), count(~shared & ~keyed, "own_plain"), count(shared & keyed, "shared_keyed"), count(shared & ~keyed, "shared_plain")).first()
+    entity = F.col("entity").cast("string") if "entity" in rows.columns else F.lit("")
+    columns = [c for c in rows.columns if c not in sound.columns]
+    out = []
+    for name, mine, key in (("own", ~shared, entity), ("shared", shared, F.lit(EVERY))):
+        here = rows.withColumn("__key", key).select(*columns, F.col("__key").alias("__entity"))
+        if has[f"{name}_keyed"]:
+            out.append(index.candidates(here, sound.filter(mine & keyed), has.several > 0))
+        if has[f"{name}_plain"]:
+            out.append(index.with_all(here, sound.filter(mine & ~keyed), has.bytes).select(*columns, "__entity", "entry"))
+    own = sound.drop("__bytes", "access")
+    if not out:
+        return rows.select(*columns).join(own, F.lit(False))
+    met = functools.reduce(DataFrame.unionByName, out)
+    return met.join(F.broadcast(own) if has.bytes <= index.BROADCAST_BYTES else own, ["__entity", "entry"])
 
 
 def _fit(shapes: list[str], shape: Column, values: Column) -> Column:
@@ -146,17 +178,18 @@ def first_pass(txns: DataFrame, entries: list[Entry] | DataFrame) -> DataFrame:
     ``entries``: plan-time ones, or a table as :func:`compile_table` makes it.
     """
     table = entries if isinstance(entries, DataFrame) else entry_table(txns.sparkSession, entries)
-    rows, own = _rows(txns, table)
-    own = cut_lineage(own)
+    sound = _sound(table)
+    met = _met(txns, sound)
+    shapes = [_shapes(sound.filter("every is null")), _shapes(sound.filter("every is not null"))]
+    met = cut_lineage(met) if sum(map(len, shapes)) > 1 else met
     out = [txns.select("id", F.lit("").alias("entry"), F.lit(1.0).alias("fit")).filter("false")]
-    single, chained = own.filter("every is null"), own.filter("every is not null")
-    for shapes in _shapes(single):
-        met = _met(rows, single.filter(F.col("shape").isin(shapes)))
-        out.append(met.select("id", "entry", _fit(shapes, F.col("shape"), F.col("leaf_values")).alias("fit")).filter("fit is not null"))
-    for shapes in _shapes(chained):
-        met = _met(rows, chained.filter(F.col("shape").isin(shapes)))
-        by_payee = met.filter(_payee_fit(shapes, F.col("shape"), F.col("leaf_values")).isNotNull())
-        candidates = by_payee.select("id", "date", "entry", "every", _fit(shapes, F.col("shape"), F.col("leaf_values")).alias("fit"))
+    for batch in shapes[0]:
+        one = met.filter(F.col("every").isNull() & F.col("shape").isin(batch))
+        out.append(one.select("id", "entry", _fit(batch, F.col("shape"), F.col("leaf_values")).alias("fit")).filter("fit is not null"))
+    for batch in shapes[1]:
+        chained = met.filter(F.col("every").isNotNull() & F.col("shape").isin(batch))
+        by_payee = chained.filter(_payee_fit(batch, F.col("shape"), F.col("leaf_values")).isNotNull())
+        candidates = by_payee.select("id", "date", "entry", "every", _fit(batch, F.col("shape"), F.col("leaf_values")).alias("fit"))
         out.append(interval_chain(candidates).filter("fit is not null").select("id", "entry", "fit"))
     return functools.reduce(DataFrame.unionByName, out)
 

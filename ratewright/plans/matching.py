@@ -244,3 +244,27 @@ def _m02_table(spark, sf):
     tree = F.concat(F.lit('{"op":"AND","children":[{"type":"payee_exact","value":"'), "merchant", F.lit('"},{"type":"amount_range","max_cents":100000,"min_cents":'), (-2000 * (F.col("entity") + 1)).cast("string"), F.lit("}]}"))
     rows = t.select("entity", "merchant", "entry").distinct().select("entity", "entry", F.lit(100).alias("priority"), F.lit(None).cast("string").alias("label"), tree.alias("conditions"), F.lit(None).cast(C.MATCHED[6:-1]).alias("facts"))
     return match.first_pass(t, match.compile_table(rows))
+
+
+_INDEX_SQL = Q.O + """, c as (select c_custkey as k, c_custkey % 3 as kind from customer)
+    select id, 'r' || k as entry, 1.0::double as fit from ord join c on kind = 0 and cents between -20000 * k - 4000 and -20000 * k
+    union all select id, 'a' || k, case when starts_with(merchant, 'Harbour') then least(1.0, 0.85 + 0.15 * (7 / length(merchant))) end from ord join c on kind = 1 and entry = k and starts_with(merchant, 'Harbour')
+    union all select id, 'd' || k, 1.0::double from ord join c on kind = 2 and (date between date '1992-01-01' + cast(k as integer) and date '1992-01-03' + cast(k as integer) or (merchant = 'Ridge View' and entry = k))"""
+
+
+@query("J13_entry_index", _INDEX_SQL)
+def _j13(spark, sf):
+    """An entry per customer, all of one entity: by a range of amounts, by name and account, by days or name and account."""
+    k = F.col("c_custkey")
+    leaf = lambda kind, **v: F.struct(F.lit(kind).alias("type"), *(x.alias(n) for n, x in v.items()))
+    amounts = F.to_json(leaf("amount_range", min_cents=-20000 * k - 4000, max_cents=-20000 * k))
+    name, other = F.to_json(leaf("payee_starts_with", value=F.lit("harbour"))), F.to_json(leaf("payee_exact", value=F.lit("ridge view")))
+    account = F.to_json(leaf("account_id", value=k.cast("string")))
+    day = lambda n: F.date_add(F.lit("1992-01-01").cast("date"), (k + n).cast("int")).cast("string")
+    days = F.to_json(leaf("date_range", start=day(0), end=day(2)))
+    both = lambda op, *parts: F.concat(F.lit(f'{{"op":"{op}","children":['), F.concat_ws(",", *parts), F.lit("]}"))
+    kind = (k % 3).cast("int")
+    conditions = F.when(kind == 0, amounts).when(kind == 1, both("AND", name, account)).otherwise(both("OR", days, both("AND", other, account)))
+    entries = A.table(spark, sf, "customer").select(F.lit("all").alias("entity"), F.concat(F.get(F.array(*map(F.lit, "rad")), kind), k.cast("string")).alias("entry"), F.lit(100).alias("priority"), F.lit(None).cast("string").alias("label"), conditions.alias("conditions"), F.lit(None).cast(C.MATCHED[6:-1]).alias("facts"))
+    orders = A.orders(spark, sf).withColumn("account", F.col("entry")).withColumn("institution", F.lit(None).cast("string")).withColumn("entity", F.lit("all")).drop("entry", "label")
+    return match.first_pass(orders, match.compile_table(entries))
