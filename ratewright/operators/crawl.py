@@ -37,12 +37,14 @@ class SnapshotStore:
 
     ``days``: counts by (entry, date, cents). ``months``: the same by (entry, month, cents). ``entries``:
     the entries of the last run, with its ``as_of``. ``snapshots``: rows of entries and labels.
+    ``dirty``: first days that a run has changed and not yet computed; empty but for runs that broke off.
     """
 
     days: StoredTable
     months: StoredTable
     entries: StoredTable
     snapshots: StoredTable
+    dirty: StoredTable
 
     @classmethod
     def at(cls, spark: SparkSession, path: str, buckets: int = BUCKETS) -> SnapshotStore:
@@ -54,28 +56,55 @@ class SnapshotStore:
             StoredTable(spark, f"{path}/months", "entry string, month date, cents bigint, n bigint", ["entry", "month", "cents"], {"bucket": _bucket("entry", buckets)}),
             StoredTable(spark, f"{path}/entries", entry, ["entry"]),
             StoredTable(spark, f"{path}/snapshots", row, ["node", "node_type", "date"], {"kind": "node_type", "bucket": _bucket("node", buckets), "month": month}),
+            StoredTable(spark, f"{path}/dirty", "entry string, date date", ["entry"]),
         )
 
 
-def change_days(store: SnapshotStore, inserted: DataFrame | None, deleted: DataFrame | None, batch: int) -> DataFrame:
-    """Bring the stored counts up to date; ``(entry, date)`` of all days that the change touches.
-
-    Both inputs are transactions ``(entry, date, cents)``. Counts that fall to nothing go.
-    """
+def moved_counts(inserted: DataFrame | None, deleted: DataFrame | None) -> DataFrame:
+    """``(entry, date, cents, n)``: by how much a change of transactions ``(entry, date, cents)`` moves each count."""
     parts = [rows.select("entry", "date", "cents", F.lit(sign).cast("bigint").alias("n")) for rows, sign in ((inserted, 1), (deleted, -1)) if rows is not None]
     moved = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    moved = cut_lineage(moved.groupBy("entry", "date", "cents").agg(F.sum("n").alias("n")))
+    return moved.groupBy("entry", "date", "cents").agg(F.sum("n").alias("n"))
+
+
+def difference(store: SnapshotStore, counts: DataFrame, entries: DataFrame) -> DataFrame:
+    """``(entry, date, cents, n)``: what leads from the stored counts of ``entries(entry)`` to ``counts``."""
+    old = store.days.read(only=[p for p in store.days.manifest().folders if p[0] in _buckets(store, entries)]).join(entries.select("entry"), "entry", "left_semi")
+    both = counts.select("entry", "date", "cents", "n").unionByName(old.select("entry", "date", "cents", (-F.col("n")).alias("n")))
+    return both.groupBy("entry", "date", "cents").agg(F.sum("n").alias("n")).filter("n <> 0")
+
+
+def _buckets(store: SnapshotStore, entries: DataFrame) -> set[str]:
+    return {p[0] for p in store.months.partitions_of(entries.select("entry"))}
+
+
+def change_days(store: SnapshotStore, moved: DataFrame, batch: int) -> DataFrame:
+    """Bring the stored counts up to date; ``(entry, date)``: the first day of each entry that this or a broken run has touched.
+
+    Touched days are written down before anything else is, so that no break loses them.
+    Counts that fall to nothing go.
+    """
+    moved, pending = cut_lineage(moved), cut_lineage(store.dirty.read())
     keys = ["entry", "date", "cents"]
-    touched = moved.select("entry", "date").distinct()
+    touched = moved.select("entry", "date").unionByName(pending).groupBy("entry").agg(F.min("date").alias("date"))
+    touched = cut_lineage(touched)
+    store.dirty.commit(touched)
     if batch > store.days.manifest().batches.get("crawl", -1):
-        old = store.days.read(only=store.days.partitions_of(touched)).withColumnRenamed("n", "old")
+        old = store.days.read(only=store.days.partitions_of(moved)).withColumnRenamed("n", "old")
         new = moved.join(old, keys, "left").withColumn("n", F.col("n") + F.coalesce("old", F.lit(0))).drop("old")
         new = cut_lineage(new)
         store.days.commit(new.filter("n > 0"), new.filter("n <= 0").select(keys), "crawl", batch)
-    months = cut_lineage(touched.select("entry", F.trunc("date", "month").alias("month")).distinct())
+    months = moved.select("entry", F.trunc("date", "month").cast("date").alias("month"))
+    if not pending.isEmpty():  # a broken run may have left any month from its first day on
+        late = pending.select("entry", F.trunc("date", "month").cast("date").alias("from"))
+        parts = _buckets(store, pending)
+        held = store.months.read(only=[(p,) for p in parts]).select("entry", "month")
+        held = held.unionByName(store.days.read(only=[p for p in store.days.manifest().folders if p[0] in parts]).select("entry", F.trunc("date", "month").cast("date").alias("month")))
+        months = months.unionByName(held.join(late, "entry").filter(F.col("month") >= F.col("from")).select("entry", "month"))
+    months = cut_lineage(months.distinct())
     days = store.days.read(only=store.days.partitions_of(months.withColumn("date", F.col("month"))))
     counted = days.withColumn("month", F.trunc("date", "month").cast("date")).join(months, ["entry", "month"], "left_semi").groupBy("entry", "month", "cents").agg(F.sum("n").alias("n"))
-    store.months.commit(counted, months, "crawl", batch)
+    store.months.commit(counted, months)
     return touched
 
 
@@ -109,14 +138,15 @@ def _stored(store: SnapshotStore, nodes: DataFrame, kind: str, first: Column, la
     return rows.join(nodes, "node").filter(F.col("date") >= first)
 
 
-def crawl(store: SnapshotStore, entries: DataFrame, inserted: DataFrame | None, deleted: DataFrame | None, window: int, batch: int) -> DataFrame:
-    """Bring all stored tables up to date with a batch of changed transactions; ``(entry, since)`` of what was computed anew.
+def crawl(store: SnapshotStore, entries: DataFrame, moved: DataFrame, window: int, batch: int) -> DataFrame:
+    """Bring all stored tables up to date with a batch of moved counts (:func:`moved_counts`, :func:`difference`); ``(entry, since)`` of what was computed anew.
 
-    ``entries`` are all entries as they are after the change. Tables are committed one after
-    the other, the entries last, each once per ``batch``: a run that broke off is repeated
-    with the same batch and ends in the same tables.
+    ``entries`` are all entries as they are after the change; ``window`` is that of all runs.
+    Tables are committed one after the other: a run that broke off is repeated with the same
+    batch and ends in the same tables, and what it had touched is computed by whatever run
+    comes next.
     """
-    touched = change_days(store, inserted, deleted, batch)
+    touched = change_days(store, moved, batch)
     newest = max((p[1] for p in store.days.manifest().folders), default=None)
     of_newest = store.days.read(only=[p for p in store.days.manifest().folders if p[1] == newest])
     before = store.entries.read()
@@ -165,6 +195,7 @@ def crawl(store: SnapshotStore, entries: DataFrame, inserted: DataFrame | None,
     asked = labels.select("node", F.col("from").alias("since"), F.col("as_of").alias("reach"))
     stale = stale.unionByName(_stored(store, asked, "label", F.col("since"), F.col("reach")).select("node", "node_type", "date"))
     stale = stale.join(rows.select("node", "node_type", "date"), ["node", "node_type", "date"], "left_anti")
-    store.snapshots.commit(rows, cut_lineage(stale), "crawl", batch)
-    store.entries.commit(entries, before.join(entries.select("entry"), "entry", "left_anti").select("entry"), "crawl", batch)
+    store.snapshots.commit(rows, cut_lineage(stale))
+    store.entries.commit(entries, before.join(entries.select("entry"), "entry", "left_anti").select("entry"))
+    store.dirty.commit(deletes=touched.select("entry"))
     return dirty

@@ -26,8 +26,9 @@ def _m17(spark, sf):
     store = crawl.SnapshotStore.at(spark, new_folder(spark, "crawl"), 4)
     wrong = _wrong(txns).select(rows.columns)
     right = txns.filter("entity = 2 and date >= date'2024-01-20'").select(rows.columns)
-    crawl.crawl(store, entries, txns.filter("not (entity = 2 and date >= date'2024-01-20')").select(rows.columns).unionByName(wrong), None, Q.WINDOW, 0)
-    crawl.crawl(store, entries, right, wrong, Q.WINDOW, 1)
+    first = txns.filter("not (entity = 2 and date >= date'2024-01-20')").select(rows.columns).unionByName(wrong)
+    crawl.crawl(store, entries, crawl.moved_counts(first, None), Q.WINDOW, 0)
+    crawl.crawl(store, entries, crawl.moved_counts(right, wrong), Q.WINDOW, 1)
     return store.snapshots.read().select(ops.SNAPSHOT)
 
 
