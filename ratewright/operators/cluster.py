@@ -13,27 +13,27 @@ from ratewright.functions.text import canonical_merchant, title_case
 STANDING, PROPOSED = 0.45, 0.30
 
 
-def cluster_keys(merchants: DataFrame) -> DataFrame:
-    """``(canonical, cluster)``: each canonical name with the word that it shares with others.
+def cluster_keys(merchants: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``(*by, canonical, cluster)``: each canonical name with the word that it shares with others of the same ``by``.
 
     A word of two or more names is a signal. Among a name's signals the most frequent
     one wins; then one without a hyphen, then the longer, then the first by alphabet.
     A name without a signal is a cluster of its own.
     """
-    names = merchants.select(canonical_merchant(F.col("merchant")).alias("canonical")).distinct()
-    words = names.select("canonical", F.explode(F.split(F.lower("canonical"), r"\s+")).alias("word"))
-    often = words.groupBy("word").agg(F.count("*").alias("df")).filter("df >= 2")
+    names = merchants.select(*by, canonical_merchant(F.col("merchant")).alias("canonical")).distinct()
+    words = names.select(*by, "canonical", F.explode(F.split(F.lower("canonical"), r"\s+")).alias("word"))
+    often = words.groupBy(*by, "word").agg(F.count("*").alias("df")).filter("df >= 2")
     rank = F.struct("df", (~F.col("word").contains("-")).cast("int").alias("plain"), F.length("word").alias("size"))
-    ranked = words.join(often, "word").withColumn("rank", rank)
-    first = Window.partitionBy("canonical").orderBy(F.col("rank").desc(), "word")
-    best = ranked.withColumn("__k", F.row_number().over(first)).filter("__k = 1").select("canonical", title_case(F.col("word")).alias("signal"))
-    return names.join(best, "canonical", "left").select("canonical", F.coalesce("signal", "canonical").alias("cluster"))
+    ranked = words.join(often, [*by, "word"]).withColumn("rank", rank)
+    first = Window.partitionBy(*by, "canonical").orderBy(F.col("rank").desc(), "word")
+    best = ranked.withColumn("__k", F.row_number().over(first)).filter("__k = 1").select(*by, "canonical", title_case(F.col("word")).alias("signal"))
+    return names.join(best, [*by, "canonical"], "left").select(*by, "canonical", F.coalesce("signal", "canonical").alias("cluster"))
 
 
-def clustered(txns: DataFrame) -> DataFrame:
+def clustered(txns: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Transactions with their ``canonical`` name and ``cluster``."""
     named = txns.withColumn("canonical", canonical_merchant(F.col("merchant")))
-    return named.join(cluster_keys(txns.select("merchant").distinct()), "canonical")
+    return named.join(cluster_keys(txns.select(*by, "merchant").distinct(), by), [*by, "canonical"])
 
 
 def gaps(txns: DataFrame, key: str) -> DataFrame:
@@ -110,24 +110,24 @@ def conditions_json(cluster: Column, all_start: Column, entry_type: Column, anch
     return F.concat(F.lit('{"op":"AND","children":['), F.concat_ws(",", payee, timing, amount), F.lit("]}"))
 
 
-def propose(txns: DataFrame) -> DataFrame:
-    """Entries proposed from unmatched transactions: one row per cluster that scores at least :data:`PROPOSED`."""
-    rows = clustered(txns)
-    starts = rows.groupBy("cluster").agg(
+def propose(txns: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Entries proposed from unmatched transactions: one row per ``by`` and cluster that scores at least :data:`PROPOSED`."""
+    rows = clustered(txns, by).withColumn("key", F.struct(*by, "cluster"))
+    starts = rows.groupBy("key").agg(
         F.every(F.lower("merchant").startswith(F.lower("cluster"))).alias("all_start"), F.min("date").alias("start_date"), F.max("date").alias("last_date")
     )
-    samples = rows.select("cluster", "merchant").distinct()
-    first = Window.partitionBy("cluster").orderBy("merchant")
-    samples = samples.withColumn("__k", F.row_number().over(first)).filter("__k <= 5").groupBy("cluster").agg(F.array_sort(F.collect_list("merchant")).alias("sample_merchants"))
-    found = score(rows, "cluster").join(anchors(rows, "cluster"), "cluster").join(starts, "cluster").join(samples, "cluster").filter(F.col("fitness") >= PROPOSED)
+    samples = rows.select("key", "merchant").distinct()
+    first = Window.partitionBy("key").orderBy("merchant")
+    samples = samples.withColumn("__k", F.row_number().over(first)).filter("__k <= 5").groupBy("key").agg(F.array_sort(F.collect_list("merchant")).alias("sample_merchants"))
+    found = score(rows, "key").join(anchors(rows, "key"), "key").join(starts, "key").join(samples, "key").filter(F.col("fitness") >= PROPOSED)
     period = F.coalesce(F.greatest(F.round("mean_gap").cast("int"), F.lit(1)), F.lit(30))
     return found.select(
-        "cluster",
+        "key.*",
         F.when(F.col("median") < 0, "spend").otherwise("income").alias("direction"),
         "entry_type",
         period.alias("period_days"),
         (F.col("median") / period).alias("projected_rate_per_day"),
-        conditions_json(F.col("cluster"), F.col("all_start"), F.col("entry_type"), F.col("anchor"), F.col("low"), F.col("high")).alias("conditions"),
+        conditions_json(F.col("key.cluster"), F.col("all_start"), F.col("entry_type"), F.col("anchor"), F.col("low"), F.col("high")).alias("conditions"),
         "anchor", "fitness", "timing_fit", "amount_fit", "n", "start_date", "last_date", "sample_merchants",
     )
 
