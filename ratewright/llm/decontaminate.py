@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -64,7 +64,7 @@ def _ngram_rows(n: int, only: np.ndarray | None):
                 if len(at):
                     begin = w.bounds(s.n)[w.doc[at]]
                     ids = batch.column(0).slice(s.first, s.n).take(pa.array(w.doc[at]))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(at - begin), pa.array(h.view(np.int64))], names=["doc_id", "at", "gram"])
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(at - begin), pa.array(h.view(np.int64))], names=["key", "at", "gram"])
 
     return run
 
@@ -110,10 +110,9 @@ def _score(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             items = batch.column(2).to_pylist()
-            rows: dict[str, list] = {k: [] for k in ("doc_id", "item_id", "score", "similarity", "start_word", "end_word")}
+            rows: dict[str, list] = {k: [] for k in ("row", "item_id", "score", "similarity", "start_word", "end_word")}
             for s, w in _words(batch.column(1)):
                 cut = w.bounds(s.n)
-                ids = batch.column(0).slice(s.first, s.n).to_pylist()
                 for i in range(s.n):
                     text = w.hash[cut[i] : cut[i + 1]].view(np.int64)
                     for found in items[s.first + i]:
@@ -128,10 +127,12 @@ def _score(similarity: float):
                         share = score / (MATCH * len(item))
                         if share >= similarity:
                             start = lo + begin(item, text[lo:], item_end, end)
-                            for k, v in zip(rows, (ids[i], found["item_id"], score, share, start, lo + end)):
+                            for k, v in zip(rows, (s.first + i, found["item_id"], score, share, start, lo + end)):
                                 rows[k].append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), kinds)], names=list(rows))
+            of = pa.array(rows.pop("row"), pa.int64())
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+            found = [pa.array(v, t) for v, t in zip(rows.values(), kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(3).take(of), *found], names=["key", "doc_id", *rows])
 
     return run
 
@@ -143,45 +144,52 @@ def contaminated(
 
     Of several equal copies in a text the first is given. Null and empty texts match nothing; an item of fewer than ``n`` words has no seed
     and matches nothing; an empty table on either side gives no rows. Equal items and
-    repeated rows match each on its own; ids are unique where they are not null.
-    Other columns are ignored.
+    repeated rows match each on its own. Rows without an id, and rows that share one, are
+    judged each by its own text. Other columns are ignored.
     """
-    return _contaminated(documents, benchmark, similarity, n, id_col, text_col)[0]
+    return _contaminated(documents, benchmark, similarity, n, id_col, text_col)[0].drop("key")
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """What a row is known by within the operator: its id and its text, or its text alone; rows equal in both are judged alike."""
+    own = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.lit("text"), text_col))
+    return F.struct(own.alias("id"), F.xxhash64(text_col).alias("text"))
 
 
 def _contaminated(documents: DataFrame, benchmark: DataFrame, similarity: float, n: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """The result of :func:`contaminated`, and the written table of seeds that it reads."""
-    texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null")
+    """The result of :func:`contaminated` with each row's key, and the written table of seeds that it reads."""
+    texts = documents.select(row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("doc_id")).filter("text is not null")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null").dropDuplicates(["item_id"])
     item_words = items.mapInArrow(K.released(_item_rows), "item_id long, item_words array<long>").filter(F.size("item_words") >= n)
-    grams = items.select(F.col("item_id").alias("doc_id"), "text").mapInArrow(K.released(_ngram_rows(n, None)), "doc_id long, at long, gram long").withColumnRenamed("doc_id", "item_id")
+    grams = items.select("item_id", "text").mapInArrow(K.released(_ngram_rows(n, None)), "key long, at long, gram long").withColumnRenamed("key", "item_id")
     distinct = grams.select("gram").distinct()
     only = None
     if distinct.count() <= BROADCAST_NGRAMS:
         only = np.unique(distinct.toArrow().column("gram").to_numpy().astype(np.int64).view(np.uint64))
-    hits = texts.mapInArrow(K.released(_ngram_rows(n, only)), "doc_id long, at long, gram long")
-    hits = hits if only is not None else hits.join(distinct, "gram", "left_semi").select("doc_id", "at", "gram")
+    hits = texts.select("key", "text").mapInArrow(K.released(_ngram_rows(n, only)), "key struct<id:long,text:long>, at long, gram long")
+    hits = hits if only is not None else hits.join(distinct, "gram", "left_semi").select("key", "at", "gram")
     hits = materialize(hits, "hits")  # read by the join and by the choice of texts
     seeds = grams.select("item_id", "gram").distinct()
     if seeds.count() <= BROADCAST_SEEDS:
         met = hits.join(F.broadcast(seeds), "gram")
     else:
         salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-        met = hits.withColumn("salt", F.pmod(F.xxhash64("doc_id", "at"), F.lit(SALTS)).cast("int")).join(seeds.withColumn("salt", salts), ["gram", "salt"])
-    pairs = met.groupBy("doc_id", "item_id").agg(F.collect_list("at").alias("places"))
-    listed = pairs.join(item_words, "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "item_words", "places")).alias("items"))
-    ids = hits.select("doc_id").distinct()
-    size = ids.count()
-    wanted = texts.join(F.broadcast(ids) if size <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-    schema = "doc_id long, item_id long, score long, similarity double, start_word long, end_word long"
-    return wanted.join(listed, "doc_id").select("doc_id", "text", "items").mapInArrow(K.released(_score(similarity)), schema), hits
+        met = hits.withColumn("salt", F.pmod(F.xxhash64("key", "at"), F.lit(SALTS)).cast("int")).join(seeds.withColumn("salt", salts), ["gram", "salt"])
+    pairs = met.groupBy("key", "item_id").agg(F.collect_list("at").alias("places"))
+    listed = pairs.join(item_words, "item_id").groupBy("key").agg(F.collect_list(F.struct("item_id", "item_words", "places")).alias("items"))
+    keys = hits.select("key").distinct()
+    size = keys.count()
+    wanted = texts.join(F.broadcast(keys) if size <= BROADCAST_IDS else keys, "key", "left_semi")
+    schema = "key struct<id:long,text:long>, doc_id long, item_id long, score long, similarity double, start_word long, end_word long"
+    return wanted.join(listed, "key").select("key", "text", "items", "doc_id").mapInArrow(K.released(_score(similarity)), schema), hits
 
 
 def drop_contaminated(
     documents: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, n: int = SEED_WORDS, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """The rows of ``documents`` that hold no copy of a benchmark item, with their own columns."""
+    """The rows of ``documents`` that hold no copy of a benchmark item, with their own columns; each row by its own text, with an id or without."""
     found, hits = _contaminated(documents, benchmark, similarity, n, id_col, text_col)
-    found = materialize(found.select(F.col("doc_id").alias(id_col)).distinct(), "contaminated")
+    found = materialize(found.select(F.col("key").alias("__key")).distinct(), "contaminated")
     discard(hits)
-    return documents.join(F.broadcast(found) if found.count() <= BROADCAST_IDS else found, id_col, "left_anti").select(documents.columns)
+    keyed = documents.withColumn("__key", row_key(id_col, text_col))
+    return keyed.join(F.broadcast(found) if found.count() <= BROADCAST_IDS else found, "__key", "left_anti").select(documents.columns)

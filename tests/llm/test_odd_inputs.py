@@ -109,16 +109,24 @@ def test_empty_fits(spark, models):
 
 def test_odd_benchmarks(spark):
     item = "seven wizards quietly boil green tea near an old harbour"
-    texts = [(1, None), (2, ""), (3, f"x {item} y"), (3, f"x {item} y"), (None, item), (4, f"{item} {item}"), (5, LONG + " " + item)]
+    texts = [(1, None), (2, ""), (3, f"x {item} y"), (3, f"x {item} y"), (None, item), (None, "a clean text without an id"), (None, None), (4, f"{item} {item}"), (4, "a clean text of the same id"), (5, LONG + " " + item)]
     items = spark.createDataFrame([(7, item, "k"), (7, item, "k"), (8, item, None), (None, item, "k"), (9, None, "k"), (10, "", "k")], "item_id long, text string, score string")
     found = decontaminate.contaminated(frame(spark, texts), items).collect()
-    assert {(r.doc_id, r.item_id) for r in found} == {(d, i) for d in (3, 4, 5) for i in (7, 8)}
+    assert sorted((r.doc_id or 0, r.item_id) for r in found) == sorted((d, i) for d in (0, 3, 3, 4, 5) for i in (7, 8))
     left = decontaminate.drop_contaminated(frame(spark, texts), items)
-    assert sorted((r.doc_id or 0) for r in left.collect()) == [0, 1, 2]
+    assert sorted(((r.doc_id or 0), (r.text or "")[:7]) for r in left.collect()) == [(0, ""), (0, "a clean"), (1, ""), (2, ""), (4, "a clean")]
     # of two equal copies in a text the first is given
     assert {r.start_word for r in found if r.doc_id == 4} == {0}
 
 
+def test_long_secrets_are_covered_whole(spark, models):
+    long = "aZ9" * 4000
+    secrets = [f"password={long}", f"token = {long[:800]}", f"xoxb-{long[:300]}", f"eyJ{long}.{long[:900]}.{long[:700]}", f"github_pat_{long[:70]}", f"sk-{long[:48]}", f"{long[:200]} (at) {long[:90]}.a1.b2.c3.d4.e5.f6.com"]
+    rows = pii.detect(frame(spark, [(k, f"see {x} there") for k, x in enumerate(secrets)]), models).collect()
+    for r in rows:
+        assert [(s.start, s.end) for s in r.spans] == [(4, 4 + len(secrets[r.doc_id]))], secrets[r.doc_id][:20]
+
+
 def test_ties_in_ranking(spark):
     """Equal texts score the same, whatever their labels; a score on the threshold is a half."""
     rows = [(i, "same words in every text of this table") for i in range(20)]
