@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,20 +15,56 @@ from ratewright.functions.text import lcs_ratio
 
 #: Least share of a common subsequence for names that count as the same.
 SIMILAR = 0.70
+#: Pairs of a piece that one task solves, at most.
+PIECE_PAIRS = 100_000
 #: Rows that agree in these are equals; any of them answers for any other.
 EQUAL = ["account", "merchant", "date", "cents"]
 
 
+def _level(size: Column, share: float) -> Column:
+    """Bits of the tolerance of an amount of some size; it grows with the size."""
+    tolerance = F.floor(size * share).cast("bigint")
+    return F.when(tolerance > 0, F.length(F.bin(tolerance))).otherwise(0)
+
+
+def _block(cents: Column, level: Column) -> Column:
+    return F.call_function("shiftright", cents, level)
+
+
 def _band_join(candidates: DataFrame, stored: DataFrame, keys: list[str], days: int, share: float) -> DataFrame:
     """Pairs with equal keys whose dates are within ``days`` and amounts within a share.
 
-    The candidate goes to every day of its band, so the join is one of equal
-    (keys, date): its cost follows the matches, not the history of an account.
+    A stored row lies in one block of amounts, as wide as its own tolerance. A candidate goes
+    to every day of its band and every block that its amounts can lie in, so the join is one
+    of equal (keys, date, block): its cost follows the matches, not the history of an account
+    nor the rows of a busy day.
     """
     around = F.sequence(F.date_sub("date", days), F.date_add("date", days))
     spread = candidates.withColumn("s_date", F.explode(around))
+    cents = F.col("cents").cast("bigint")
     there = stored.select(*keys, F.col("date").alias("s_date"), F.col("id").alias("s_id"), F.col("cents").alias("s_cents"), F.col("merchant").alias("s_merchant"), F.col("settlement_status").alias("s_status"))
-    return spread.join(there, [*keys, "s_date"]).filter(within_tolerance(F.col("cents"), F.col("s_cents"), share))
+    on = [*keys, "s_date"]
+    if share < 1:  # else a band may reach down to nothing, and every block with it
+        tolerance = F.floor(F.abs(cents) * share).cast("bigint")
+        levels = F.sequence(_level(F.abs(cents) - tolerance, share), _level(F.abs(cents) + tolerance, share))
+        blocks = F.flatten(F.transform(levels, lambda l: F.transform(F.sequence(_block(cents - tolerance, l), _block(cents + tolerance, l)), lambda b: F.struct(l.alias("level"), b.alias("block")))))
+        spread = spread.withColumn("__b", F.explode(blocks)).withColumn("__level", F.col("__b.level")).withColumn("__block", F.col("__b.block")).drop("__b")
+        own = _level(F.abs(F.col("s_cents").cast("bigint")), share)
+        there = there.withColumn("__level", own).withColumn("__block", _block(F.col("s_cents").cast("bigint"), own))
+        on += ["__level", "__block"]
+    return spread.join(there, on).drop("__level", "__block").filter(within_tolerance(F.col("cents"), F.col("s_cents"), share))
+
+
+def _may_be_similar(a: Column, b: Column) -> Column:
+    """Whether two names can have a common subsequence of the least share: no longer than the shorter, nor than what letters they share."""
+    longer, shorter = F.greatest(F.length(a), F.length(b)), F.least(F.length(a), F.length(b))
+
+    def count(text: Column, letter: Column) -> Column:
+        return F.length(text) - F.length(F.replace(text, letter, F.lit("")))
+
+    letters = F.array_distinct(F.filter(F.split(a, ""), lambda c: c != ""))
+    shared = F.aggregate(letters, F.lit(0), lambda n, c: n + F.least(count(a, c), count(b, c)))
+    return F.when(shorter < longer * SIMILAR, False).otherwise(shared >= longer * SIMILAR)
 
 
 def _equals(rows: DataFrame, number: str) -> DataFrame:
@@ -60,6 +97,50 @@ def _pairing(pairs: DataFrame) -> DataFrame:
             return functools.reduce(DataFrame.unionByName, taken)
 
 
+def _take(pairs: pa.Table) -> pa.Table:
+    """All pairs of a piece, nearest first, each taking what both sides have left: what :func:`_pairing` does in rounds."""
+    rows = pairs.sort_by([(c, "ascending") for c in ("pass", "distance", "s_first", "c_first")]).to_pylist()
+    c_used: dict = {}
+    s_used: dict = {}
+    out = []
+    for r in rows:
+        c, s = c_used.get(r["c_first"], 0), s_used.get(r["s_first"], 0)
+        take = min(r["n"] - c, r["m"] - s)
+        if take > 0:
+            out.append((r["c_first"], r["s_first"], r["pass"], c, s, take))
+            c_used[r["c_first"]], s_used[r["s_first"]] = c + take, s + take
+    fields = [pairs.schema.field("c_first"), pairs.schema.field("s_first"), pairs.schema.field("pass"), ("c_from", pa.int64()), ("s_from", pa.int64()), ("take", pa.int64())]
+    columns = list(zip(*out)) or [()] * 6
+    return pa.table([pa.array(c, f.type if isinstance(f, pa.Field) else f[1]) for c, f in zip(columns, fields)], names=["c_first", "s_first", "pass", "c_from", "s_from", "take"])
+
+
+def _pieces(rows: DataFrame, days: int, share: float) -> DataFrame:
+    """``(account, date, cents, piece)``: pieces that no pair crosses, as between them lie more days, or more cents, than a pair may be apart.
+
+    Only distinct days of an account, and distinct amounts of a run of days, are ordered.
+    """
+    by_day = Window.partitionBy("account").orderBy("date")
+    dates = rows.select("account", "date").distinct().withColumn("new", F.date_diff("date", F.lag("date").over(by_day)) > days)
+    dates = dates.select("account", "date", F.sum(F.coalesce(F.col("new").cast("int"), F.lit(0))).over(by_day).alias("run"))
+    by_amount = Window.partitionBy("account", "run").orderBy("cents")
+    before = F.lag("cents").over(by_amount)
+    apart = F.col("cents") - before > F.floor(F.greatest(F.abs("cents"), F.abs(before)) * share)
+    amounts = rows.join(dates, ["account", "date"]).select("account", "run", "cents").distinct().withColumn("new", apart)
+    amounts = amounts.select("account", "run", "cents", F.sum(F.coalesce(F.col("new").cast("int"), F.lit(0))).over(by_amount).alias("step"))
+    return rows.join(dates, ["account", "date"]).join(amounts, ["account", "run", "cents"]).select("account", "date", "cents", F.struct("account", "run", "step").alias("piece"))
+
+
+def _assigned(pairs: DataFrame) -> DataFrame:
+    """Pairs taken, piece by piece in one pass; a piece with more than :data:`PIECE_PAIRS` pairs is solved in rounds of plans instead, to the same end."""
+    sizes = pairs.groupBy("piece").agg(F.count("*").alias("pairs"))
+    sized = cut_lineage(pairs.join(sizes, "piece"))
+    kinds = {c: sized.schema[c].dataType.simpleString() for c in ("c_first", "s_first", "pass")}
+    schema = ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", c_from bigint, s_from bigint, take bigint"
+    small = sized.filter(F.col("pairs") <= PIECE_PAIRS).groupBy("piece").applyInArrow(_take, schema)
+    large = sized.filter(F.col("pairs") > PIECE_PAIRS).drop("piece", "pairs")
+    return small if large.isEmpty() else small.unionByName(_pairing(large))
+
+
 def classify(candidates: DataFrame, stored: DataFrame, days: int = 3, share: float = 0.005, settlement_window: int = 14) -> DataFrame:
     """``(row, pass, stored_id, action)`` for each candidate: insert, skip or supersede.
 
@@ -83,14 +164,18 @@ def classify(candidates: DataFrame, stored: DataFrame, days: int = 3, share: flo
     groups, there = mine.filter("k = 0"), theirs.filter("k = 0")
     same = _band_join(groups, there, ["account", "merchant"], days, share)
     near = _band_join(groups, there, ["account"], days, share).filter(F.col("merchant") != F.col("s_merchant"))
-    near = near.filter(lcs_ratio(F.lower("merchant"), F.lower("s_merchant")) >= SIMILAR)
+    near = near.withColumn("a", F.lower("merchant")).withColumn("b", F.lower("s_merchant"))
+    near = near.filter(_may_be_similar(F.col("a"), F.col("b"))).filter(lcs_ratio(F.col("a"), F.col("b")) >= SIMILAR).drop("a", "b")
 
     def tagged(rows: DataFrame, number: int) -> DataFrame:
         distance = F.abs(F.date_diff("date", "s_date")) * F.lit(1 << 40) + F.abs(F.col("cents") - F.col("s_cents"))
         return rows.select(F.col("first").alias("c_first"), F.col("s_id").alias("s_first"), F.lit(number).alias("pass"), distance.alias("distance"), "n")
 
     sizes = there.select(F.col("first").alias("s_first"), F.col("n").alias("m"))
-    taken = _pairing(tagged(same, 3).unionByName(tagged(near, 4)).join(sizes, "s_first"))
+    where = _pieces(groups.select("account", "date", "cents").unionByName(there.select("account", "date", "cents")).distinct(), days, share)
+    placed = groups.join(where, ["account", "date", "cents"]).select(F.col("first").alias("c_first"), "piece")
+    pairs = tagged(same, 3).unionByName(tagged(near, 4)).join(sizes, "s_first").join(placed, "c_first")
+    taken = cut_lineage(_assigned(pairs))
 
     def slots(rows: DataFrame, side: str, *columns: Column) -> DataFrame:
         slot = F.col("k") - F.col(f"{side}_from")

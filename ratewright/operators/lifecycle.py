@@ -99,25 +99,29 @@ def changes(before: DataFrame, after: DataFrame, key: str = "id") -> DataFrame:
     return fresh.select(key, F.to_json(F.struct(*(F.col(c) for c in after.columns))).alias("payload"))
 
 
-def label_cycle_nodes(edges: DataFrame, rounds: int) -> DataFrame:
+def label_cycle_nodes(edges: DataFrame) -> DataFrame:
     """``(entity, label)`` on or behind a cycle of ``edges(entity, label, input)``, for all entities at once.
 
-    Labels without a pending input are taken away, at most ``rounds`` times; those that stay
-    after as many rounds as an entity has labels wait on a cycle. Each round is checkpointed.
+    Labels without a pending input are taken away until none is left to take: those that stay
+    have a way that never ends. There are as many rounds as the longest way that does, each
+    checkpointed. Edges with a null are none.
     """
-    left = edges.select("entity", "label", "input").distinct()
-    for _ in range(rounds):
+    left = cut_lineage(edges.select("entity", "label", "input").filter("label is not null and input is not null").distinct())
+    size = left.count()
+    while size:
         pending = left.select("entity", F.col("label").alias("input")).distinct()
-        fewer = cut_lineage(left.join(pending, ["entity", "input"], "left_semi").select("entity", "label", "input"))
-        if fewer.count() == left.count():
+        left = cut_lineage(left.join(pending, ["entity", "input"], "left_semi").select("entity", "label", "input"))
+        before, size = size, left.count()
+        if before == size:
             break
-        left = fewer
     return left.select("entity", "label").distinct()
 
 
 def create_job(jobs: DataFrame, job: DataFrame) -> DataFrame:
-    """Jobs with a new one, unless one of its kind waits or runs for the entity."""
-    return jobs.unionByName(job.join(active_jobs(jobs), ["entity_id", "job_type"], "left_anti").select(jobs.columns))
+    """Jobs with new ones, unless one of its kind waits or runs for the entity; of several new ones of a kind the first by id."""
+    first = job.groupBy("entity_id", "job_type").agg(F.min("id").alias("id"))
+    one = job.join(first, ["entity_id", "job_type", "id"], "left_semi").dropDuplicates(["entity_id", "job_type"])
+    return jobs.unionByName(one.join(active_jobs(jobs), ["entity_id", "job_type"], "left_anti").select(jobs.columns))
 
 
 def job_transition(jobs: DataFrame, job_id: str, status: str, now: Column, error: str | None = None) -> DataFrame:
@@ -141,17 +145,3 @@ def settlement_window(accounts: DataFrame, mappings: DataFrame, default: int = 7
     """One row: the longest settlement window of the institutions of active accounts."""
     used = accounts.filter("status = 'active'").join(mappings, "institution")
     return used.agg(F.coalesce(F.max("settlement_window_days"), F.lit(default)).alias("days"))
-
-
-def label_cycles(edges: DataFrame, spark: SparkSession) -> bool:
-    """Whether the small graph ``edges(label, input)`` holds a cycle: nodes without inputs are taken away until none is left."""
-    inputs: dict[str, set[str]] = {}
-    for r in edges.select("label", "input").distinct().collect():  # an entity's labels, tens
-        inputs.setdefault(r.label, set()).add(r.input)
-    while inputs:
-        free = [k for k, v in inputs.items() if not any(x in inputs for x in v)]
-        if not free:
-            return True
-        for k in free:
-            del inputs[k]
-    return False

@@ -43,7 +43,8 @@ def _jobs(spark, sf):
 @query("K14_create_jobs", _JOBS + " select * from job union all select c_custkey + 1000000, cast(c_custkey as varchar), 'export.report', 'queued' from customer where not exists (select 1 from job where entity_id = cast(c_custkey as varchar) and job_type = 'export.report' and status = 'queued')")
 def _k14(spark, sf):
     c = A.table(spark, sf, "customer")
-    wanted = c.select((F.col("c_custkey") + 1000000).alias("id"), F.col("c_custkey").cast("string").alias("entity_id"), F.lit("export.report").alias("job_type"), F.lit("queued").alias("status"))
+    twice = c.withColumn("more", F.explode(F.array(F.lit(2000000), F.lit(1000000))))  # two new ones of a kind: one comes in
+    wanted = twice.select((F.col("c_custkey") + F.col("more")).alias("id"), F.col("c_custkey").cast("string").alias("entity_id"), F.lit("export.report").alias("job_type"), F.lit("queued").alias("status"))
     return lifecycle.create_job(_jobs(spark, sf), wanted)
 
 
@@ -59,14 +60,16 @@ def _k17(spark, sf):
     return lifecycle.recalculated_balances(A.accounts(spark, sf), A.transactions(spark, sf)).select("account", "balance")
 
 
-@query("M14_label_cycles", """with recursive e as (select n_regionkey as entity, n_nationkey as label, (n_nationkey * 3 + 1) % 25 as input from nation where n_nationkey % 5 <> 2 or n_regionkey = 1),
+@query("M14_label_cycles", """with recursive e as (select c_custkey // 50 as entity, c_custkey as label, c_custkey + [0, 1, 1, -2, -1, 1, 1, 9000000, -3, -9][c_custkey % 10 + 1] as input from customer),
 r as (select entity, label, input from e union select r.entity, r.label, e.input from r join e on e.entity = r.entity and e.label = r.input),
 c as (select distinct entity, label from r where label = input)
 select distinct e.entity, e.label from e where exists (select 1 from r join c on c.entity = r.entity and c.label = r.input where r.entity = e.entity and r.label = e.label)""")
 def _m14(spark, sf):
-    n = A.table(spark, sf, "nation").filter("n_nationkey % 5 <> 2 or n_regionkey = 1")
-    edges = n.select(F.col("n_regionkey").alias("entity"), F.col("n_nationkey").alias("label"), ((F.col("n_nationkey") * 3 + 1) % 25).alias("input"))
-    return lifecycle.label_cycle_nodes(edges, 25)
+    """Of ten labels in a row: one that is its own input, a ring of three, a way into it, two ways that end, a way into one of these, a way into the first."""
+    k = F.col("c_custkey")
+    step = F.get(F.array(*map(F.lit, (0, 1, 1, -2, -1, 1, 1, 9_000_000, -3, -9))), (k % 10).cast("int"))
+    edges = A.table(spark, sf, "customer").select(F.expr("c_custkey div 50").alias("entity"), k.alias("label"), (k + step).alias("input"))
+    return lifecycle.label_cycle_nodes(edges)
 
 
 @query("S12_S13_messages", """with m as (select event_id, event_id % 4 as k, user_id from events) select event_id as id, case k when 1 then null else cast(event_id as varchar) end as job_id,

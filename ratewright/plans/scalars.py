@@ -28,9 +28,16 @@ def _f01(spark, sf):
     return _parts(spark, sf).select("p_partkey", T.normalize_merchant(F.col("payee")).alias("merchant"))
 
 
-@query("F02_F03_lcs")
+_LCS_SQL = f"""with recursive t as (select p_partkey, lower(p_name) as a, lower({_NORMAL_SQL}) as b from part),
+    r as (select p_partkey, 0 as i, list_transform(range(length(b) + 1), lambda x: 0) as row from t
+      union all select p_partkey, i + 1, list_transform(range(1, length(b) + 2), lambda j: list_max(best[1:j])) from (
+        select p_partkey, i, b, list_concat([0], list_transform(range(1, length(b) + 1), lambda j: case when b[j:j] = a[i + 1:i + 1] then row[j] + 1 else row[j + 1] end)) as best from r join t using (p_partkey) where i < length(a)) s)
+    select p_partkey, row[-1]::integer as lcs, case when greatest(length(a), length(b)) = 0 then 0.0 else round(row[-1] / greatest(length(a), length(b)), 6) end as ratio from r join t using (p_partkey) where i = length(a)"""
+
+
+@query("F02_F03_lcs", _LCS_SQL)
 def _f02(spark, sf):
-    p = _parts(spark, sf).filter("p_partkey > 0").select("p_partkey", F.lower("p_name").alias("a"), F.lower(T.normalize_merchant(F.col("payee"))).alias("b"))
+    p = _parts(spark, sf).select("p_partkey", F.lower("p_name").alias("a"), F.lower(T.normalize_merchant(F.col("payee"))).alias("b"))
     return p.select("p_partkey", T.lcs_length(F.col("a"), F.col("b")).alias("lcs"), F.round(T.lcs_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
 
 

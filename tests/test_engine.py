@@ -306,9 +306,9 @@ def test_equal_purchases_pair_one_to_one(spark):
 
 
 def test_lifecycle(spark):
-    edges = lambda *e: spark.createDataFrame(e, "label string, input string")
-    assert lifecycle.label_cycles(edges(("A", "B"), ("B", "A")), spark) and lifecycle.label_cycles(edges(("A", "A")), spark)
-    assert not lifecycle.label_cycles(edges(("A", "B"), ("C", "A")), spark)
+    edges = spark.createDataFrame([(e, *x) for e in (1, 2) for x in (("A", "B"), ("B", "C"), ("C", "D"), ("D", "E"), ("E", "F"), ("S", None))] + [(2, "F", "D"), (3, "S", "S"), (3, "T", "S"), (3, "U", "V")], "entity int, label string, input string")
+    assert sorted(map(tuple, lifecycle.label_cycle_nodes(edges).collect())) == [*((2, x) for x in "ABCDEF"), (3, "S"), (3, "T")]
+    assert lifecycle.label_cycle_nodes(edges.limit(0)).count() == 0
     jobs_ = spark.createDataFrame([("1", "e", "k", "queued", None, None, None)], "id string, entity_id string, job_type string, status string, started_at timestamp, completed_at timestamp, error string")
     assert lifecycle.create_job(jobs_, jobs_.withColumn("id", F.lit("2"))).count() == 1
     done = lifecycle.job_transition(jobs_, "1", "complete", F.current_timestamp())
