@@ -173,6 +173,34 @@ def trends(rates: DataFrame, key: str) -> DataFrame:
     return rows.select(*rates.columns, F.round(slope, 6).alias("slope"), F.round(fit, 3).alias("r_squared"))
 
 
+def regression(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """``(key, slope, r_squared)`` of a value over days; fewer than two points have no trend."""
+    day, enough = _day(F.col("date")), F.count("*") >= 2
+    slope, fit = F.when(enough, F.regr_slope(value, day)).otherwise(0.0), F.when(enough, F.regr_r2(value, day)).otherwise(0.0)
+    return rows.groupBy(key).agg(F.round(slope, 6).alias("slope"), F.round(fit, 3).alias("r_squared"))
+
+
+def with_prior(rates: DataFrame, key: str = "entry") -> DataFrame:
+    """Rates with the actual rate of the snapshot before, ``prior``."""
+    return rates.withColumn("prior", F.lag("actual").over(Window.partitionBy(key).orderBy("date")))
+
+
+def viewport(shown: DataFrame, more: DataFrame, size: int, offset: int, key: str = "entry") -> DataFrame:
+    """The ``size`` latest days of each key that come after the ``offset`` latest, of what is shown and what is loaded more; a day that both have counts once, as shown."""
+    both = shown.withColumn("__o", F.lit(0)).unionByName(more.withColumn("__o", F.lit(1)))  # 0 is what is shown
+    first = F.row_number().over(Window.partitionBy(key, "date").orderBy("__o"))
+    once = both.withColumn("__k", first).filter("__k = 1").drop("__k", "__o")
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.col("date").desc()))
+    return once.withColumn("__k", place).filter(F.col("__k").between(offset + 1, offset + size)).drop("__k")
+
+
+def synced_rates(entries: DataFrame, latest: DataFrame, rate: str) -> DataFrame:
+    """Entries whose live system ones have taken the projected rate of their latest snapshot, in the column ``rate``."""
+    system = F.col("source") == "system"
+    joined = entries.join(latest.select("entry", F.col("projected").alias("__p")), "entry", "left")
+    return joined.withColumn(rate, F.when(system & (F.col("status") == "live"), F.coalesce("__p", rate)).otherwise(F.col(rate))).drop("__p")
+
+
 SNAPSHOT = ["node", "node_type", "date", "actual", "projected", "drift", "slope", "r_squared", "transactions", "window_days", "total"]
 
 

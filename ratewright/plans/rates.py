@@ -66,15 +66,13 @@ def _w07(spark, sf):
 
 @query("W10_prior_rate", Q.RATES + " select entry, date, lag(actual) over (partition by entry order by date) as prior from rates")
 def _w10(spark, sf):
-    return rates(spark, sf).select("entry", "date", F.lag("actual").over(Window.partitionBy("entry").orderBy("date")).alias("prior"))
+    return ops.with_prior(rates(spark, sf)).select("entry", "date", "prior")
 
 
 @query("W11_W12_viewport", Q.RATES + ", b as (select entry, date, actual, row_number() over (partition by entry order by date desc) as k from rates) select entry, date, actual from b where k between 3 and 16")
 def _w11(spark, sf):
     recent = rates(spark, sf).select("entry", "date", "actual")
-    shown = recent.unionByName(recent.filter("date > date'2024-01-20'")).dropDuplicates(["entry", "date"])
-    place = F.row_number().over(Window.partitionBy("entry").orderBy(F.col("date").desc()))
-    return shown.withColumn("k", place).filter("k between 3 and 16").drop("k")
+    return ops.viewport(recent.filter("date > date'2024-01-20'"), recent, 14, 2)
 
 
 _LABELS = """, labels_ as (select entity, label, date, round(sum(actual), 4) as actual, round(sum(projected), 4) as projected, cast(sum(count) as bigint) as count, max(period_days) as period_days,
@@ -153,9 +151,30 @@ def _m07(spark, sf):
     return cluster.anchors(o.withColumn("date", date), "entry")
 
 
-@query("M08_M09_proposals")
+_PROPOSALS = _CANON + """, o3 as (select ord.*, cluster, case when day(date) > 28 then day(date) - day(last_day(date)) - 1 else day(date) end as dom from ord join k using (merchant)),
+    g as (select *, date_diff('day', lag(date) over (partition by cluster order by date, id), date) as gap from o3),
+    st as (select cluster, count(*) as n, avg(gap) as mean_gap, stddev_pop(gap) as spread, list_sort(list(cents)) as a, count(distinct isodow(date)) as nd, min(isodow(date) - 1) as dow, list_sort(list(distinct dom)) as doms,
+      bool_and(starts_with(lower(merchant), lower(cluster))) as all_start, min(date) as start_date, max(date) as last_date, list_sort(list(distinct merchant))[1:5] as sample_merchants from g group by cluster),
+    mo as (select cluster, dom as mode from (select cluster, dom, count(*) as c from g group by all) qualify row_number() over (partition by cluster order by c desc, dom) = 1),
+    md as (select *, (a[(len(a) + 1) // 2] + a[len(a) // 2 + 1]) // 2 as median from st join mo using (cluster)),
+    ft as (select *, case when n < 2 then 0.0 when spread <= 5 then 1.0 else 5.0::double / spread end as timing_fit,
+      case when n = 1 or median = 0 then 1.0 else greatest(0.0, 1.0 - least(greatest(abs(a[1] - median), abs(a[-1] - median)) / abs(median), 1.0)) end as amount_fit,
+      case when n < 2 or mean_gap is null then null when mean_gap between 5 and 9 and nd = 1 then 'dow:' || dow when mean_gap between 13 and 17 and len(doms) = 2 then 'dom:' || array_to_string(list_concat(list_filter(doms, lambda d: d > 0), list_filter(doms, lambda d: d < 0)), ',')
+        when mean_gap between 20 and 45 and len(list_filter(doms, lambda d: abs(d - mode) > 5)) = 0 then 'dom:' || mode else 'interval:' || cast(round(mean_gap) as integer) end as anchor from md),
+    fi as (select *, case when n >= 2 and timing_fit >= 0.45 then 'standing' else 'variable' end as entry_type, coalesce(greatest(cast(round(mean_gap) as integer), 1), 30) as period_days,
+      case when n >= 2 and timing_fit >= 0.45 then 0.3::double + 0.55::double * timing_fit + 0.15::double * amount_fit else 0.6::double + 0.2::double * timing_fit + 0.2::double * amount_fit end as fitness from ft)
+    select cluster, case when median < 0 then 'spend' else 'income' end as direction, entry_type, period_days, round(median / period_days, 4) as projected_rate_per_day,
+      '{"op":"AND","children":[{"type":"' || case when all_start then 'payee_starts_with' else 'payee_contains' end || '","value":"' || cluster || '"}'
+        || case when entry_type = 'standing' and anchor is not null then ',{"type":"recurrence_anchor","recurrence_anchor":"' || anchor || '","tolerance_days":5}' else '' end
+        || case when entry_type = 'standing' then ',{"type":"amount_range","min_cents":' || a[1] || ',"max_cents":' || a[-1] || '}' else '' end || ']}' as conditions,
+      anchor, round(fitness, 6) as fitness, round(timing_fit, 6) as timing_fit, round(amount_fit, 6) as amount_fit, n, start_date, last_date, sample_merchants from fi where fitness >= 0.3"""
+
+
+@query("M08_M09_proposals", _PROPOSALS)
 def _m08(spark, sf):
-    return cluster.propose(A.orders(spark, sf))
+    rows = cluster.propose(A.orders(spark, sf))
+    places = {"projected_rate_per_day": 4, "fitness": 6, "timing_fit": 6, "amount_fit": 6}
+    return rows.withColumns({c: F.round(c, k) for c, k in places.items()})
 
 
 _DUE = """case when anchor = 'dow:0' then cast(last_date + 1 + cast((0 - (isodow(last_date + 1) - 1) + 7) % 7 as integer) as date)
@@ -200,9 +219,8 @@ def _m20(spark, sf):
 @query("M21_system_sync", Q.RATES + " select e.entry, case when e.label = 'signup' then s.projected else -1.0 end as rate from entries e left join (select * from rates qualify row_number() over (partition by entry order by date desc) = 1) s using (entry)")
 def _m21(spark, sf):
     _, entries = _both(spark, sf)
-    latest = summary.latest_per_entry(rates(spark, sf)).select("entry", "projected")
-    system = F.col("label") == "signup"
-    return entries.join(latest, "entry", "left").select("entry", F.when(system, F.coalesce("projected", F.lit(-1.0))).otherwise(-1.0).alias("rate"))
+    entries = entries.withColumns({"source": F.when(F.col("label") == "signup", "system").otherwise("user"), "rate": F.lit(-1.0)})
+    return ops.synced_rates(entries, summary.latest_per_entry(rates(spark, sf)), "rate").select("entry", "rate")
 
 
 @query("M22_settlement_window", Q.T + ", accounts as (select c_custkey, c_nationkey as institution from customer where c_acctbal > 0), m as (select n_nationkey as institution, n_nationkey % 9 + 3 as d from nation where n_regionkey = 1) select cast(coalesce(max(d), 7) as integer) as days from accounts join m using (institution)")

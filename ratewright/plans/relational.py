@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ratewright.functions.money import grouped_median
-from ratewright.operators import lifecycle, match
+from ratewright.operators import lifecycle, match, proposals
+from ratewright.operators import rates as ops
 from ratewright.registry import query
 from ratewright.reports import pages, summary
 from ratewright.sources import adapters as A
@@ -70,9 +71,9 @@ def _j07(spark, sf):
 
 @query("J09_prune_unassigned", Q.TE + " select entry from entries where status <> 'pending' or exists (select 1 from txn t where t.entry = entries.entry and cents < -20000)")
 def _j09(spark, sf):
-    e = _e(spark, sf)
-    assigned = _t(spark, sf).filter("cents < -20000").select("entry").distinct()
-    return e.filter("status <> 'pending'").select("entry").unionByName(e.filter("status = 'pending'").join(assigned, "entry", "left_semi").select("entry"))
+    e = _e(spark, sf).withColumn("source", F.lit("engine"))
+    gone = proposals.unbacked(e, _t(spark, sf).filter("cents < -20000").select("entry").distinct())
+    return e.join(gone, "entry", "left_anti").select("entry")
 
 
 @query("J14_cross", "select r_name as role, n_name as permission from region, nation")
@@ -83,15 +84,13 @@ def _j14(spark, sf):
 
 @query("J15_calendar", Q.RATES.rsplit(",\ndaily as", 1)[0] + " select entry, date from grid")
 def _j15(spark, sf):
-    from ratewright.operators import rates as ops
-
     return ops.grid(_e(spark, sf).crossJoin(F.broadcast(ops.as_of(_t(spark, sf)))), F.col("as_of")).select("entry", "date")
 
 
 @query("J17_A10_start_sync", Q.TE + ", s as (select entry, min(date) as d from txn where cents < -1000 group by entry) select entry, least(start_date + 3, coalesce(d, start_date + 3)) as start_date from entries left join s using (entry)")
 def _j17(spark, sf):
-    first = _t(spark, sf).filter("cents < -1000").groupBy("entry").agg(F.min("date").alias("d"))
-    return _e(spark, sf).join(first, "entry", "left").select("entry", F.least(F.date_add("start_date", 3), "d").alias("start_date"))
+    later = _e(spark, sf).withColumn("start_date", F.date_add("start_date", 3))
+    return proposals.pulled_back(later, _t(spark, sf).filter("cents < -1000").select("entry", "date")).select("entry", "start_date")
 
 
 @query("J18_A04_balances", Q.A + " select a.account, cast(starting + coalesce((select sum(cents) from txn t where t.account = a.account), 0) as bigint) as balance from accounts a")
@@ -165,11 +164,7 @@ def _a13(spark, sf):
 
 @query("A15_regression", Q.RATES + " select entry, round(case when count(*) >= 2 then regr_slope(actual, date_diff('day', date '1970-01-01', date)) else 0.0 end, 6) as slope, round(case when count(*) >= 2 then regr_r2(actual, date_diff('day', date '1970-01-01', date)) else 0.0 end, 3) as r_squared from rates group by entry")
 def _a15(spark, sf):
-    day = F.date_diff("date", F.lit("1970-01-01").cast("date"))
-    enough = F.count("*") >= 2
-    return rates(spark, sf).groupBy("entry").agg(
-        F.round(F.when(enough, F.regr_slope("actual", day)).otherwise(0.0), 6).alias("slope"), F.round(F.when(enough, F.regr_r2("actual", day)).otherwise(0.0), 3).alias("r_squared")
-    )
+    return ops.regression(rates(spark, sf), "entry", "actual")
 
 
 @query("A20_word_frequency", "with w as (select unnest(string_split(lower(p_name), ' ')) as word from part) select word, count(*) as df from w group by word having count(*) >= 2")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from ratewright.checkpoints import new_folder
@@ -9,6 +11,7 @@ from ratewright.operators import crawl, persist
 from ratewright.operators import rates as ops
 from ratewright.registry import QUERIES, query
 from ratewright.sources import adapters as A
+from ratewright.sources import folder
 
 from . import sql as Q
 
@@ -71,3 +74,26 @@ def _k01(spark, sf):
     for batch in (0, 0):
         persist.save_import(transactions, batches, candidates, actions, batch)
     return transactions.read().select("id", "account", "cents", "settlement_status")
+
+
+#: Layouts that orders are written in, a third each: mapping, and columns by name.
+_LAYOUTS = {
+    "signed": ({"date": "Date", "merchant": "Payee", "amount": "Amount", "imported_id": "Ref"}, {"Date": "cast(date as string)", "Payee": "merchant", "Amount": "amount", "Ref": "cast(id as string)"}),
+    "indicator": ({"date": "When", "merchant": "What", "amount": "Sum", "dc_indicator": "Type", "imported_id": "No"}, {"When": "date_format(date, 'M/d/yyyy')", "What": "merchant", "Type": "if(cents < 0, 'DR', 'CR')", "Sum": "ltrim('-', amount)", "No": "cast(id as string)"}),
+    "split": ({"date": "day", "merchant": "text", "debit": "out", "credit": "in", "imported_id": "id"}, {"id": "cast(id as string)", "out": "if(cents < 0, ltrim('-', amount), '')", "in": "if(cents < 0, '', amount)", "text": "merchant", "day": "date_format(date, 'd-MMM-yyyy')"}),
+}
+
+
+@query("S01_S05_statement_folder", Q.O + " select cast(id as varchar) as imported_id, date, cents, merchant as imported_payee from ord")
+def _s01(spark, sf):
+    """All orders written as statement files of three layouts, and read back in one scan."""
+    amount = "concat(if(cents < 0, '-', ''), cast(abs(cents) div 100 as string), '.', lpad(cast(abs(cents) % 100 as string), 2, '0'))"
+    orders, path = A.orders(spark, sf).withColumn("amount", F.expr(amount)), new_folder(spark, "statements")
+    mappings = []
+    for k, (layout, (fields, columns)) in enumerate(_LAYOUTS.items()):
+        third = orders.filter(F.pmod("id", F.lit(3)) == k)
+        third.select(*(F.expr(e).alias(c) for c, e in columns.items())).write.csv(f"{path}/{layout}", header=True)
+        names = spark.read.format("binaryFile").load(f"{path}/{layout}").select(F.element_at(F.split("path", "/"), -1).alias("file"))
+        mappings.append(names.withColumn("mapping", F.lit(json.dumps({"layout": layout, "fields": fields}))))
+    records = folder.scan_folder(spark, f"{path}/*", mappings[0].unionByName(mappings[1]).unionByName(mappings[2]))
+    return folder.transactions(records).select("imported_id", "date", "cents", "imported_payee")

@@ -204,6 +204,8 @@ class StoredTable:
         except Exception as e:  # the names lack a column of the partitions' expressions
             if "UNRESOLVED_COLUMN" not in str(e):
                 raise
+        if not parts:
+            return set()
         rows = self._rows(base, parts)
         same = named.select(*(F.col(c).cast(self.schema[c].dataType).alias(c) for c in columns))
         return self.partitions_of(rows.join(same, columns, "left_semi"))

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ratewright.checkpoints import cut_lineage
 from ratewright.functions.conditions import MATCHED
 from ratewright.functions.dates import next_due_date
-from ratewright.operators import cluster, crawl, match, persist, projection
+from ratewright.operators import cluster, crawl, match, persist, projection, proposals
 from ratewright.operators import rates as R
 from ratewright.reports.summary import latest_per_entry
 from ratewright.settings import Settings
@@ -23,7 +23,6 @@ from ratewright.sources import folder
 from ratewright.store import StoredTable
 from ratewright.streaming import corrections, jobs
 
-ENTRY = "entity bigint, entry string, label string, direction string, rate_method string, period_days int, status string, conditions string, anchor string, start_date date, end_date date, source string"
 #: Numbers that a batch has for the jobs of one entity.
 ROUNDS = 1 << 20
 #: Kinds of jobs, and those that begin with a statement file.
@@ -38,7 +37,7 @@ class Engine:
         self.settings = settings or Settings()
         self.transactions = persist.transactions_at(spark, f"{path}/transactions", buckets)
         self.batches = persist.batches_at(spark, f"{path}/batches")
-        self.entries = StoredTable(spark, f"{path}/entries", ENTRY, ["entry"], {"entity": "entity"})
+        self.entries = StoredTable(spark, f"{path}/entries", proposals.ENTRY, ["entry"], {"entity": "entity"})
         self.assignments = persist.assignments_at(spark, f"{path}/assignments")
         self.snapshots = crawl.SnapshotStore.at(spark, f"{path}/rates", buckets)
         self.projections = persist.projections_at(spark, f"{path}/projections")
@@ -92,35 +91,35 @@ class Engine:
         return corrections.of_accounts(self.transactions, own).join(own, "account").withColumn("institution", F.lit(None).cast("string"))
 
     def assign(self, entities: DataFrame, batch: int) -> None:
-        """Match all transactions of the entities, propose entries for what no entry takes, and match those too."""
+        """Match all transactions of the entities, keep proposals for what no entry takes, match those too, and split interrupted entries."""
         txns = cut_lineage(self.of_entities(entities))
-        mine = self.entries.read().join(entities, "entity", "left_semi")
-        first = cut_lineage(self._matched(txns, mine))
-        rest = txns.join(first.select("id"), "id", "left_anti")
-        self.entries.commit(self._proposed(rest, mine), writer="detect", batch=batch)
-        mine = self.entries.read().join(entities, "entity", "left_semi")
-        every = self._matched(txns, mine).join(txns.select("id", "entity"), "id")
-        persist.save_assignments(self.assignments, every.select("entity", F.col("id").alias("transaction"), "entry", "fit"), entities, batch)
+        known = cut_lineage(self.entries.read().join(entities, "entity", "left_semi"))
+        settled = known.filter("not (source = 'engine' and status = 'pending')")
+        rest = txns.join(self._matched(txns, settled).select("id"), "id", "left_anti")  # what is pending is proposed anew, under its old id
+        as_of = txns.agg(F.max("date").alias("as_of"))  # one row
+        found = cluster.propose(rest, ("entity",)).crossJoin(F.broadcast(as_of))
+        fresh = cut_lineage(proposals.keep(known, found, F.col("as_of")))
+        mine = settled.unionByName(fresh)
+        taken = cut_lineage(self._matched(txns, mine).join(txns.select("id", "entity", "date"), "id"))
+        rows, parts = map(cut_lineage, proposals.split(proposals.pulled_back(mine, taken), taken))
+        self.entries.commit(rows.join(proposals.unbacked(rows, parts), "entry", "left_anti"), known.select("entity").distinct(), "detect", batch)
+        persist.save_assignments(self.assignments, parts.select("entity", F.col("id").alias("transaction"), "entry", "fit"), entities, batch)
 
     def _matched(self, txns: DataFrame, entries: DataFrame) -> DataFrame:
-        table = entries.select("entity", "entry", F.lit(100).alias("priority"), "label", "conditions", F.lit(None).cast(MATCHED[6:-1]).alias("facts"))
+        """Matches of entries that are no parts: those follow from their entry's."""
+        table = entries.filter("part_of is null").select("entity", "entry", F.lit(100).alias("priority"), "label", "conditions", F.lit(None).cast(MATCHED[6:-1]).alias("facts"))
         return match.first_pass(txns.drop("entry", "label"), match.compile_table(table))
 
-    def _proposed(self, rest: DataFrame, known: DataFrame) -> DataFrame:
-        """New pending entries of each entity; one with the same label that is there already stays as it is."""
-        found = cluster.propose(rest, ("entity",))
-        ids = F.concat_ws(":", F.col("entity").cast("string"), "cluster")
-        rows = found.select("entity", ids.alias("entry"), F.col("cluster").alias("label"), "direction", F.lit("median").alias("rate_method"), "period_days", F.lit("pending").alias("status"), "conditions", "anchor", "start_date", F.lit(None).cast("date").alias("end_date"), F.lit("engine").alias("source"))
-        return rows.join(known.select("entry"), "entry", "left_anti")
-
     def rate(self, entities: DataFrame, batch: int) -> None:
         """Bring the entities' snapshots up to date."""
         txns = self.of_entities(entities).select("id", "date", "cents")
         taken = self.assignments.read().join(entities, "entity", "left_semi").select(F.col("transaction").alias("id"), "entry")
         mine = self.entries.read()
         counts = R.day_counts(txns.join(taken, "id"))
-        moved = cut_lineage(crawl.difference(self.snapshots, counts, mine.join(entities, "entity", "left_semi")))
-        crawl.crawl(self.snapshots, mine.drop("conditions", "anchor", "source"), moved, self.settings.window_days, batch)
+        before = self.snapshots.entries.read().join(entities, "entity", "left_semi")
+        every = mine.join(entities, "entity", "left_semi").select("entry").unionByName(before.select("entry")).distinct()
+        moved = cut_lineage(crawl.difference(self.snapshots, counts, every))
+        crawl.crawl(self.snapshots, mine, moved, self.settings.window_days, batch)
 
     def project(self, entities: DataFrame, batch: int) -> None:
         """All projected days of the entities anew, from their latest snapshots."""

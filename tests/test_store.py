@@ -127,12 +127,20 @@ def txn(rng, low, high):
     return f"e{rng.randrange(10)}", day(rng.randrange(low, high)), rng.choice([-1, 1]) * rng.randrange(1, 5000)
 
 
-def test_dirty_runs_give_what_a_full_run_gives(spark, tmp_path):
+@pytest.fixture
+def few_partitions(spark):
+    """The tables here are small, and each run is many plans."""
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_dirty_runs_give_what_a_full_run_gives(spark, tmp_path, few_partitions):
     rng = random.Random(4)
     store = crawl.SnapshotStore.at(spark, str(tmp_path / "s"), 3)
     schema = "entry string, date date, cents bigint"
     stored = []
-    for batch, (low, high, n, gone) in enumerate([(0, 120, 150, 0), (100, 130, 12, 3), (40, 60, 2, 1), (150, 160, 4, 0), (0, 160, 0, 30)]):
+    for batch, (low, high, n, gone) in enumerate([(0, 120, 150, 0), (100, 130, 12, 3), (40, 60, 2, 1), (0, 160, 4, 30)]):
         inserted = [txn(rng, low, high) for _ in range(n)]
         deleted = rng.sample(stored, gone)
         for t in deleted:
@@ -150,5 +158,3 @@ def test_dirty_runs_give_what_a_full_run_gives(spark, tmp_path):
         assert rows_of(store.snapshots.read().select(rates.SNAPSHOT)) == want
     assert store.dirty.read().count() == 0
     assert crawl.difference(store, rates.day_counts(spark.createDataFrame(stored, schema)), entries).count() == 0
-    crawl.crawl(store, entries, moved, WINDOW, batch)
-    assert rows_of(store.snapshots.read().select(rates.SNAPSHOT)) == want
