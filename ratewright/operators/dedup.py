@@ -22,9 +22,9 @@ EQUAL = ["account", "merchant", "date", "cents"]
 
 
 def _level(size: Column, share: float) -> Column:
-    """Bits of the tolerance of an amount of some size; it grows with the size."""
+    """Bits of a few times the tolerance of an amount of some size; they grow with the size."""
     tolerance = F.floor(size * share).cast("bigint")
-    return F.when(tolerance > 0, F.length(F.bin(tolerance))).otherwise(0)
+    return F.when(tolerance > 0, F.length(F.bin(tolerance)) + 2).otherwise(2)
 
 
 def _block(cents: Column, level: Column) -> Column:
@@ -34,24 +34,23 @@ def _block(cents: Column, level: Column) -> Column:
 def _band_join(candidates: DataFrame, stored: DataFrame, keys: list[str], days: int, share: float) -> DataFrame:
     """Pairs with equal keys whose dates are within ``days`` and amounts within a share.
 
-    A stored row lies in one block of amounts, as wide as its own tolerance. A candidate goes
+    A stored row lies in one block of amounts, some times as wide as its own tolerance. A candidate goes
     to every day of its band and every block that its amounts can lie in, so the join is one
     of equal (keys, date, block): its cost follows the matches, not the history of an account
     nor the rows of a busy day.
     """
     around = F.sequence(F.date_sub("date", days), F.date_add("date", days))
-    spread = candidates.withColumn("s_date", F.explode(around))
-    cents = F.col("cents").cast("bigint")
+    cents, spread = F.col("cents").cast("bigint"), candidates
     there = stored.select(*keys, F.col("date").alias("s_date"), F.col("id").alias("s_id"), F.col("cents").alias("s_cents"), F.col("merchant").alias("s_merchant"), F.col("settlement_status").alias("s_status"))
     on = [*keys, "s_date"]
     if share < 1:  # else a band may reach down to nothing, and every block with it
         tolerance = F.floor(F.abs(cents) * share).cast("bigint")
-        levels = F.sequence(_level(F.abs(cents) - tolerance, share), _level(F.abs(cents) + tolerance, share))
-        blocks = F.flatten(F.transform(levels, lambda l: F.transform(F.sequence(_block(cents - tolerance, l), _block(cents + tolerance, l)), lambda b: F.struct(l.alias("level"), b.alias("block")))))
-        spread = spread.withColumn("__b", F.explode(blocks)).withColumn("__level", F.col("__b.level")).withColumn("__block", F.col("__b.block")).drop("__b")
+        spread = spread.withColumn("__t", tolerance).withColumn("__level", F.explode(F.sequence(_level(F.abs(cents) - tolerance, share), _level(F.abs(cents) + tolerance, share))))
+        spread = spread.withColumn("__block", F.explode(F.sequence(_block(cents - F.col("__t"), F.col("__level")), _block(cents + F.col("__t"), F.col("__level"))))).drop("__t")
         own = _level(F.abs(F.col("s_cents").cast("bigint")), share)
         there = there.withColumn("__level", own).withColumn("__block", _block(F.col("s_cents").cast("bigint"), own))
         on += ["__level", "__block"]
+    spread = spread.withColumn("s_date", F.explode(around))
     return spread.join(there, on).drop("__level", "__block").filter(within_tolerance(F.col("cents"), F.col("s_cents"), share))
 
 
@@ -130,15 +129,27 @@ def _pieces(rows: DataFrame, days: int, share: float) -> DataFrame:
     return rows.join(dates, ["account", "date"]).join(amounts, ["account", "run", "cents"]).select("account", "date", "cents", F.struct("account", "run", "step").alias("piece"))
 
 
-def _assigned(pairs: DataFrame) -> DataFrame:
-    """Pairs taken, piece by piece in one pass; a piece with more than :data:`PIECE_PAIRS` pairs is solved in rounds of plans instead, to the same end."""
-    sizes = pairs.groupBy("piece").agg(F.count("*").alias("pairs"))
-    sized = cut_lineage(pairs.join(sizes, "piece"))
-    kinds = {c: sized.schema[c].dataType.simpleString() for c in ("c_first", "s_first", "pass")}
-    schema = ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", c_from bigint, s_from bigint, take bigint"
-    small = sized.filter(F.col("pairs") <= PIECE_PAIRS).groupBy("piece").applyInArrow(_take, schema)
-    large = sized.filter(F.col("pairs") > PIECE_PAIRS).drop("piece", "pairs")
-    return small if large.isEmpty() else small.unionByName(_pairing(large))
+_TAKEN = "c_first {c_first}, s_first {s_first}, pass {pass}, c_from bigint, s_from bigint, take bigint"
+
+
+def _assigned(pairs: DataFrame, groups: DataFrame, there: DataFrame, days: int, share: float) -> DataFrame:
+    """Pairs taken, piece by piece in one pass; a piece with more than :data:`PIECE_PAIRS` pairs is solved in rounds of plans instead, to the same end.
+
+    Pieces are independent, so many small ones are solved together; when all pairs are no more than one task solves, they need not be told apart.
+    """
+    pairs = cut_lineage(pairs)
+    schema = _TAKEN.format(**{c: pairs.schema[c].dataType.simpleString() for c in ("c_first", "s_first", "pass")})
+    if pairs.count() <= PIECE_PAIRS:
+        return pairs.groupBy(F.lit(0).alias("lot")).applyInArrow(_take, schema)
+    where = _pieces(groups.select("account", "date", "cents").unionByName(there.select("account", "date", "cents")).distinct(), days, share)
+    placed = groups.join(where, ["account", "date", "cents"]).select(F.col("first").alias("c_first"), "piece")
+    pairs = pairs.join(placed, "c_first")
+    sized = cut_lineage(pairs.join(pairs.groupBy("piece").agg(F.count("*").alias("pairs")), "piece"))
+    small, large = sized.filter(F.col("pairs") <= PIECE_PAIRS), sized.filter(F.col("pairs") > PIECE_PAIRS).drop("piece", "pairs")
+    total = sized.agg(F.count_if(F.col("pairs") <= PIECE_PAIRS).alias("small"), F.count_if(F.col("pairs") > PIECE_PAIRS).alias("large")).first()
+    lots = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total.small // PIECE_PAIRS + 1)
+    taken = small.groupBy(F.pmod(F.xxhash64("piece"), F.lit(lots)).alias("lot")).applyInArrow(_take, schema)
+    return taken.unionByName(_pairing(large)) if total.large else taken
 
 
 def classify(candidates: DataFrame, stored: DataFrame, days: int = 3, share: float = 0.005, settlement_window: int = 14) -> DataFrame:
@@ -172,10 +183,7 @@ def classify(candidates: DataFrame, stored: DataFrame, days: int = 3, share: flo
         return rows.select(F.col("first").alias("c_first"), F.col("s_id").alias("s_first"), F.lit(number).alias("pass"), distance.alias("distance"), "n")
 
     sizes = there.select(F.col("first").alias("s_first"), F.col("n").alias("m"))
-    where = _pieces(groups.select("account", "date", "cents").unionByName(there.select("account", "date", "cents")).distinct(), days, share)
-    placed = groups.join(where, ["account", "date", "cents"]).select(F.col("first").alias("c_first"), "piece")
-    pairs = tagged(same, 3).unionByName(tagged(near, 4)).join(sizes, "s_first").join(placed, "c_first")
-    taken = cut_lineage(_assigned(pairs))
+    taken = cut_lineage(_assigned(tagged(same, 3).unionByName(tagged(near, 4)).join(sizes, "s_first"), groups, there, days, share))
 
     def slots(rows: DataFrame, side: str, *columns: Column) -> DataFrame:
         slot = F.col("k") - F.col(f"{side}_from")

@@ -84,7 +84,8 @@ def test_ten_thousand_entries_of_one_entity(spark, shared):
         assert match._met(txns, match._sound(table)).count() == len(want)
 
 
-def test_the_alternative_with_fewest_transactions_is_taken(spark):
+def test_the_alternative_with_fewest_transactions_is_taken(spark, monkeypatch):
+    monkeypatch.setattr(match, "FEW", 0)
     txns = spark.createDataFrame([(i, "Kiosk", dt.date(2024, 1, 1), -i, str(i % 50)) for i in range(500)], "id long, merchant string, date date, cents long, account string")
     entries = [match.Entry("a", tree("AND", EXACT, {"type": "account", "value": "7"})), match.Entry("b", tree("AND", EXACT, {"type": "amount_range", "min_cents": -12, "max_cents": -10}, {"type": "account", "value": "7"})), match.Entry("c", tree("AND", EXACT, {"type": "account", "value": "none"}))]
     met = match._met(txns, match._sound(match.entry_table(spark, entries)))
@@ -92,7 +93,9 @@ def test_the_alternative_with_fewest_transactions_is_taken(spark):
     assert {r.entry for r in match.first_pass(txns, entries).collect()} == {"a"}
 
 
-def test_partners_of_an_interval_need_not_meet_the_amount(spark):
+@pytest.mark.parametrize("few", [0, match.FEW])
+def test_partners_of_an_interval_need_not_meet_the_amount(spark, monkeypatch, few):
+    monkeypatch.setattr(match, "FEW", few)
     entry = match.Entry("a", tree("AND", {"type": "recurrence_anchor", "recurrence_anchor": "interval:30"}, AMOUNT))
     txns = spark.createDataFrame([(1, "x", dt.date(2024, 1, 1), -200), (2, "y", dt.date(2024, 1, 31), -9000), (3, "z", dt.date(2024, 5, 1), -200)], "id long, merchant string, date date, cents long")
     assert [r.id for r in match.first_pass(txns, [entry]).collect()] == [1]

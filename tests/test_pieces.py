@@ -37,7 +37,7 @@ def chains(rng):
     return mine, theirs
 
 
-@pytest.mark.parametrize("limit", [dedup.PIECE_PAIRS, 6])
+@pytest.mark.parametrize("limit", [dedup.PIECE_PAIRS, 60, 6])
 def test_pairs_are_those_taken_one_by_one(spark, monkeypatch, limit):
     monkeypatch.setattr(dedup, "PIECE_PAIRS", limit)
     mine, theirs = chains(random.Random(11))
