@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Blocks to a doubling of the value, as a power of two.
 BITS = 3
+#: The block of a day before the first value; no value lies in it.
+NO_BLOCK = -(1 << 31)
 #: Cells of a table of running counts that are held at a time.
 CELLS = 1 << 20
 
@@ -63,34 +65,40 @@ def _column(table: pa.Table, name: str) -> np.ndarray:
 
 
 def _asks(counts: pa.Table) -> pa.Table:
-    """Both middles of each day of a key: the block that holds each, and its place in there; with the day's running maximum."""
+    """Both middles of each day of a key: the block that holds each, and its place in there; with the day's running maximum. No block before the first value."""
     day, n = _column(counts, "day"), _column(counts, "n")
+    none = np.iinfo(np.int64).min
     days, at = np.unique(day, return_inverse=True)
     upto = np.cumsum(np.bincount(at, weights=n)).astype(np.int64)
-    most = np.full(len(days), np.iinfo(np.int64).min)
-    np.maximum.at(most, at, _column(counts, "most"))
+    most = np.full(len(days), none)
+    np.maximum.at(most, at, counts["most"].combine_chunks().fill_null(none).to_numpy())
     most = np.maximum.accumulate(most)
     ask_day, k = np.concatenate([days, days]), np.concatenate([(upto + 1) // 2, upto // 2 + 1])
     block, below = kth_upto(day, _column(counts, "block"), n, ask_day, k)
-    key = pa.array([counts["key"][0].as_py()] * len(k), counts.schema.field("key").type)
-    return pa.table({"key": key, "day": pa.array(ask_day), "block": pa.array(block, pa.int32()), "k": pa.array(k - below), "most": pa.array(np.concatenate([most, most]))})
+    key, empty = pa.array([counts["key"][0].as_py()] * len(k), counts.schema.field("key").type), np.concatenate([upto, upto]) == 0
+    return pa.table({"key": key, "day": pa.array(ask_day), "block": pa.array(np.where(empty, NO_BLOCK, block), pa.int32()), "k": pa.array(k - below), "most": pa.array(np.concatenate([most, most]), mask=empty)})
 
 
 def _answers(rows: pa.Table, asks: pa.Table) -> pa.Table:
-    value, _ = kth_upto(_column(rows, "day"), _column(rows, "value"), _column(rows, "n"), _column(asks, "day"), _column(asks, "k"))
-    return pa.table({"key": asks["key"], "day": asks["day"], "value": pa.array(value, pa.int64()), "most": asks["most"]})
+    if rows.num_rows:
+        value = pa.array(kth_upto(_column(rows, "day"), _column(rows, "value"), _column(rows, "n"), _column(asks, "day"), _column(asks, "k"))[0], pa.int64())
+    else:
+        value = pa.nulls(asks.num_rows, pa.int64())
+    return pa.table({"key": asks["key"], "day": asks["day"], "value": value, "most": asks["most"]})
 
 
 def expanding_medians(counts: DataFrame, key: str, day: str, value: str, n: str) -> DataFrame:
     """``(key, day, median, max)`` of all values up to each day of a key that has one; the mean of two middles is cut to a whole number.
 
     ``counts`` has a row per (key, day, value) that says how often it is there; days are whole
-    numbers. Its plan is read twice, as one exchange that Spark uses again.
+    numbers; a null key is a key, and a day with null values alone has what was there before. Its plan is read twice, as one exchange that Spark uses again.
     """
-    rows = counts.filter(F.col(key).isNotNull() & F.col(value).isNotNull()).select(F.col(key).alias("key"), F.col(day).cast("int").alias("day"), F.col(value).cast("bigint").alias("value"), F.col(n).cast("bigint").alias("n"))
+    given = F.col(value).isNotNull()
+    amount = F.when(given, F.col(value)).cast("bigint")
+    rows = counts.select(F.col(key).alias("key"), F.col(day).cast("int").alias("day"), amount.alias("most"), F.coalesce(amount, F.lit(0)).alias("value"), F.when(given, F.col(n)).otherwise(0).cast("bigint").alias("n"))
     rows = rows.withColumn("block", block_of(F.col("value")))
     kind = rows.schema["key"].dataType.simpleString()
-    by_block = rows.groupBy("key", "day", "block").agg(F.sum("n").alias("n"), F.max("value").alias("most"))
+    by_block = rows.groupBy("key", "day", "block").agg(F.sum("n").alias("n"), F.max("most").alias("most"))
     asks = by_block.groupBy("key").applyInArrow(_asks, f"key {kind}, day int, block int, k bigint, most bigint")
     met = rows.groupBy("key", "block").cogroup(asks.groupBy("key", "block"))
     found = met.applyInArrow(_answers, f"key {kind}, day int, value bigint, most bigint")

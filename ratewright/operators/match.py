@@ -24,8 +24,6 @@ from ratewright.operators import entry_index as index
 BATCH = 50
 #: Entries that may be broadcast, a few hundred bytes each; beyond it they meet their entity's transactions in a shuffle.
 BROADCAST_ENTRIES = 1 << 16
-#: Entries of an entity, at most, for which all transactions are tried instead of looked up; the matches are the same.
-FEW = 16
 #: The entity of entries that are every entity's; none has this name.
 EVERY = "\x00"
 
@@ -119,18 +117,17 @@ def _met(rows: DataFrame, sound: DataFrame) -> DataFrame:
     """
     shared, keyed = F.col("__entity") == EVERY, F.col("access").isNotNull()
     count = lambda test, name: F.count_if(test).alias(name)
-    of_each = sound.groupBy("__entity").agg(F.count("*").alias("entries"), F.sum("__bytes").alias("bytes"), count(F.exists("access", lambda k: k["branch"] > 0) | (F.size("access") > F.array_max(F.transform("access", lambda k: k["alt"])) + 1), "several"), count(~shared & keyed, "own_keyed"), count(~shared & ~keyed, "own_plain"), count(shared & keyed, "shared_keyed"), count(shared & ~keyed, "shared_plain"))
-    has = of_each.agg(F.coalesce(F.max("entries"), F.lit(0)).alias("entries"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in of_each.columns if c not in ("__entity", "entries"))).first()
-    few = has.entries <= FEW  # trying them all then costs less than lookups
+    sums = sound.agg(F.coalesce(F.sum("__bytes"), F.lit(0)).alias("bytes"), count(F.exists("access", lambda k: k["branch"] > 0) | (F.size("access") > F.array_max(F.transform("access", lambda k: k["alt"])) + 1), "several"), count(~shared & keyed, "own_keyed"), count(~shared & ~keyed, "own_plain"), count(shared & keyed, "shared_keyed"), count(shared & ~keyed, "shared_plain"))
+    has = sums.first()
     entity = F.col("entity").cast("string") if "entity" in rows.columns else F.lit("")
     columns = [c for c in rows.columns if c not in sound.columns]
     out = []
     for name, mine, key in (("own", ~shared, entity), ("shared", shared, F.lit(EVERY))):
         here = rows.withColumn("__key", key).select(*columns, F.col("__key").alias("__entity"))
-        if has[f"{name}_keyed"] and not few:
+        if has[f"{name}_keyed"]:
             out.append(index.candidates(here, sound.filter(mine & keyed), has.several > 0))
-        if has[f"{name}_plain"] or few and has[f"{name}_keyed"]:
-            out.append(index.with_all(here, sound.filter(mine if few else mine & ~keyed), has.bytes).select(*columns, "__entity", "entry"))
+        if has[f"{name}_plain"]:
+            out.append(index.with_all(here, sound.filter(mine & ~keyed), has.bytes).select(*columns, "__entity", "entry"))
     own = sound.drop("__bytes", "access")
     if not out:
         return rows.select(*columns).join(own, F.lit(False))

@@ -77,8 +77,8 @@ def usual_of(counts: DataFrame) -> DataFrame:
 
 
 def usual_amounts(txns: DataFrame) -> DataFrame:
-    """``(entry, date, median, max)`` of the absolute amounts up to each day with transactions; those without an amount count nowhere."""
-    return usual_of(txns.filter("cents is not null").groupBy("entry", "date", F.abs("cents").alias("cents")).agg(F.count("*").alias("n")))
+    """``(entry, date, median, max)`` of the absolute amounts up to each day with transactions, null before the first amount; those without an amount count nowhere."""
+    return usual_of(txns.groupBy("entry", "date", F.abs("cents").alias("cents")).agg(F.count("*").alias("n")))
 
 
 def rates_of(counts: DataFrame, entries: DataFrame, window: int, override: str | None = None, begin: str | None = None) -> DataFrame:
