@@ -227,7 +227,7 @@ def test_clusters_and_anchors(spark):
     flat = [(m, x, -1499) for m, (days, _) in cases.items() for x in days]
     got = {r.merchant: r.anchor for r in cluster.anchors(txns(spark, flat), "merchant").collect()}
     # the last days of months that differ in length are -1, but for a February they are 28, too far from it
-    assert got == {m: a for m, (_, a) in cases.items()}  # the 28th is counted from the start, so ends of months are no one day
+    assert got == {m: a for m, (_, a) in cases.items()}
     scores = {r.merchant: r for r in cluster.score(txns(spark, flat), "merchant").collect()}
     assert scores["one"].entry_type == "variable" and scores["one"].fitness == pytest.approx(0.8) and scores["mid"].entry_type == "standing"
 
