@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import math
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -21,37 +22,41 @@ PIECE_PAIRS = 100_000
 EQUAL = ["account", "merchant", "date", "cents"]
 
 
-def _level(size: Column, share: float) -> Column:
-    """Bits of a few times the tolerance of an amount of some size; they grow with the size."""
-    tolerance = F.floor(size * share).cast("bigint")
-    return F.when(tolerance > 0, F.length(F.bin(tolerance)) + 2).otherwise(2)
+def _days(date: Column, days: int) -> Column:
+    """Number of the stretch of days that a date lies in; it is twice as long as a band."""
+    return F.floor(F.unix_date(date) / (2 * (2 * days + 1)))
 
 
-def _block(cents: Column, level: Column) -> Column:
-    return F.call_function("shiftright", cents, level)
+def _amounts(cents: Column, share: float) -> Column:
+    """Number of the stretch of amounts that one lies in, never less for a larger amount.
+
+    Stretches grow with the amount: the ends of each are as far apart as those of two bands in a row.
+    """
+    band = max(share, 1e-4)  # wider stretches lose nothing
+    width = 2 * (math.log1p(band) - math.log1p(-band))
+    return F.when(cents == 0, F.lit(0).cast("bigint")).otherwise(F.signum(cents).cast("bigint") * (1 + F.floor(F.ln(F.abs(cents)) / width)))
 
 
 def _band_join(candidates: DataFrame, stored: DataFrame, keys: list[str], days: int, share: float) -> DataFrame:
     """Pairs with equal keys whose dates are within ``days`` and amounts within a share.
 
-    A stored row lies in one block of amounts, some times as wide as its own tolerance. A candidate goes
-    to every day of its band and every block that its amounts can lie in, so the join is one
-    of equal (keys, date, block): its cost follows the matches, not the history of an account
-    nor the rows of a busy day.
+    A stored row lies in one stretch of days and one of amounts. Both are twice as long as a band, so a
+    candidate goes to one or two of each, however wide the band is, and the join is one of equal
+    (keys, days, amounts): its cost follows the matches, not the history of an account
+    nor the rows of a busy day. The join sorts, as the statistics of a plan do not count the copies.
     """
-    around = F.sequence(F.date_sub("date", days), F.date_add("date", days))
     cents, spread = F.col("cents").cast("bigint"), candidates
     there = stored.select(*keys, F.col("date").alias("s_date"), F.col("id").alias("s_id"), F.col("cents").alias("s_cents"), F.col("merchant").alias("s_merchant"), F.col("settlement_status").alias("s_status"))
-    on = [*keys, "s_date"]
-    if share < 1:  # else a band may reach down to nothing, and every block with it
+    there = there.withColumn("__days", _days(F.col("s_date"), days))
+    on = [*keys, "__days"]
+    if share < 1:  # else a band may reach down to nothing, and every stretch with it
         tolerance = F.floor(F.abs(cents) * share).cast("bigint")
-        spread = spread.withColumn("__t", tolerance).withColumn("__level", F.explode(F.sequence(_level(F.abs(cents) - tolerance, share), _level(F.abs(cents) + tolerance, share))))
-        spread = spread.withColumn("__block", F.explode(F.sequence(_block(cents - F.col("__t"), F.col("__level")), _block(cents + F.col("__t"), F.col("__level"))))).drop("__t")
-        own = _level(F.abs(F.col("s_cents").cast("bigint")), share)
-        there = there.withColumn("__level", own).withColumn("__block", _block(F.col("s_cents").cast("bigint"), own))
-        on += ["__level", "__block"]
-    spread = spread.withColumn("s_date", F.explode(around))
-    return spread.join(there, on).drop("__level", "__block").filter(within_tolerance(F.col("cents"), F.col("s_cents"), share))
+        spread = spread.withColumn("__amounts", F.explode(F.sequence(_amounts(cents - tolerance, share), _amounts(cents + tolerance, share))))
+        there = there.withColumn("__amounts", _amounts(F.col("s_cents").cast("bigint"), share))
+        on.append("__amounts")
+    spread = spread.withColumn("__days", F.explode(F.sequence(_days(F.date_sub("date", days), days), _days(F.date_add("date", days), days))))
+    met = spread.join(there.hint("merge"), on).drop("__days", "__amounts")
+    return met.filter((F.abs(F.date_diff("date", "s_date")) <= days) & within_tolerance(F.col("cents"), F.col("s_cents"), share))
 
 
 def _may_be_similar(a: Column, b: Column) -> Column:
