@@ -125,7 +125,8 @@ _SECOND = [
 
 
 _SECOND_SQL = """, held as (select t.id, t.cents, list(f.entry) as e from t left join first_ f on f.id = t.id group by t.id, t.cents),
-    base as (select id, coalesce(list_contains(e, 'buy'), false) as buy, coalesce(list_contains(e, 'pay'), false) as pay, cents < 0 as spends from held)
+    base as (select id, coalesce(list_contains(e, 'buy'), false) as buy, coalesce(list_contains(e, 'pay'), false) as pay, coalesce(list_contains(e, 'early'), false) as early,
+      (cents < 0 or buy or early) and not (cents > 0 or pay) as spends from held)
     select id, entry, fit from first_
     union all select id, 'outgo', 1.0::double from base where spends
     union all select id, 'again', 1.0::double from base where buy
