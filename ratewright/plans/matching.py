@@ -61,7 +61,7 @@ def _struct(entry, label, direction, kind, period, source, overall, merchant, ra
 @query(
     "P16_P23_entry_leaves",
     Q.T + """, g as (select id, cents, id % 3 as g from txn)
-    select id, case when g = 1 then 1.0::double end as rent, case g when 0 then case when cents < 0 then 1.0::double end when 1 then case when cents < 0 then 1.0::double end else null end as spend, case g when 0 then 1.0::double when 1 then case when cents > 0 then 1.0::double end else 1.0 end as mixed,
+    select id, case when g = 1 then 1.0::double end as rent, case g when 2 then null when 1 then case when cents <= 0 then 1.0::double end else case when cents < 0 then 1.0::double end end as spend, case g when 0 then 1.0::double when 1 then case when cents > 0 then 1.0::double end else 1.0 end as mixed,
       case when g > 0 then 1.0::double end as standing, case when g = 1 then 1.0::double end as monthly, case when g = 2 then 1.0::double end as engine, case when g = 1 then 1.0::double end as fit, case when g = 1 then 1.0::double end as rate, case when g = 1 then 1.0::double end as first from g""",
 )
 def _p16(spark, sf):

@@ -6,7 +6,7 @@ import pytest
 from ratewright import plans, registry  # noqa: F401
 
 
-@pytest.mark.parametrize("name", ["M04_second_pass"])
+@pytest.mark.parametrize("name", ["M04_second_pass", "P16_P23_entry_leaves"])
 def test_rows_of_no_amount_match_the_sql(spark, tmp_path, name):
     con = duckdb.connect()
     kinds = "['click', 'signup', 'purchase', 'view'][i % 4 + 1]"
