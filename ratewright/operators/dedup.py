@@ -178,17 +178,17 @@ def classify(candidates: DataFrame, stored: DataFrame, days: int = 3, share: flo
     mine = _equals(inside.select(*EQUAL, "row"), "row")
     theirs = _equals(stored.join(exact.select(F.col("s_id").alias("id")), "id", "left_anti").select(*EQUAL, "id", "settlement_status"), "id")
     groups, there = mine.filter("k = 0"), theirs.filter("k = 0")
-    same = _band_join(groups, there, ["account", "merchant"], days, share)
-    near = _band_join(groups, there, ["account"], days, share).filter(F.col("merchant") != F.col("s_merchant"))
-    near = near.withColumn("a", F.lower("merchant")).withColumn("b", F.lower("s_merchant"))
-    near = near.filter(_may_be_similar(F.col("a"), F.col("b"))).filter(lcs_ratio(F.col("a"), F.col("b")) >= SIMILAR).drop("a", "b")
+    # one join for both passes: equal names need no comparison, and a null instead of them none in Python
+    equal = F.col("merchant") == F.col("s_merchant")
+    near = _band_join(groups, there, ["account"], days, share).withColumn("equal", equal)
+    near = near.withColumn("a", F.when(~F.col("equal"), F.lower("merchant"))).withColumn("b", F.when(~F.col("equal"), F.lower("s_merchant")))
+    near = near.filter(F.col("equal") | _may_be_similar(F.col("a"), F.col("b"))).filter(F.col("equal") | (lcs_ratio(F.col("a"), F.col("b")) >= SIMILAR)).drop("a", "b")
 
-    def tagged(rows: DataFrame, number: int) -> DataFrame:
-        distance = F.abs(F.date_diff("date", "s_date")) * F.lit(1 << 40) + F.abs(F.col("cents") - F.col("s_cents"))
-        return rows.select(F.col("first").alias("c_first"), F.col("s_id").alias("s_first"), F.lit(number).alias("pass"), distance.alias("distance"), "n")
+    distance = F.abs(F.date_diff("date", "s_date")) * F.lit(1 << 40) + F.abs(F.col("cents") - F.col("s_cents"))
+    tagged = near.select(F.col("first").alias("c_first"), F.col("s_id").alias("s_first"), F.when(F.col("equal"), 3).otherwise(4).alias("pass"), distance.alias("distance"), "n")
 
     sizes = there.select(F.col("first").alias("s_first"), F.col("n").alias("m"))
-    taken = cut_lineage(_assigned(tagged(same, 3).unionByName(tagged(near, 4)).join(sizes, "s_first"), groups, there, days, share))
+    taken = cut_lineage(_assigned(tagged.join(sizes, "s_first"), groups, there, days, share))
 
     def slots(rows: DataFrame, side: str, *columns: Column) -> DataFrame:
         slot = F.col("k") - F.col(f"{side}_from")
