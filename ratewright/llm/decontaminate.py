@@ -35,8 +35,14 @@ BROADCAST_IDS = 1 << 20
 
 
 def _words(column: pa.Array) -> Iterator[tuple[K.Slice, K.Words]]:
-    for s in K.slices(pc.utf8_lower(column)):
-        yield s, K.words(s, K.NOT_ALNUM)
+    """Slices of lower-cased texts with their words; only a slice of the texts is held lower-cased."""
+    for part in K.slices(column):
+        text = pa.Array.from_buffers(pa.large_string(), part.n, [None, pa.py_buffer(part.offsets), pa.py_buffer(part.data)])
+        at = 0
+        for s in K.slices(pc.utf8_lower(text)):  # more than one where texts grow by it
+            s.first = part.first + at
+            at += s.n
+            yield s, K.words(s, K.NOT_ALNUM)
 
 
 def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
