@@ -91,8 +91,6 @@ EXAMPLES = {
 }
 #: Flags of a candidate, in the order of their bits.
 FLAGS = ("context", "strong", "grouped", "spaced_before", "spaced_after", "prefix", "usual_length", "single_separator")
-#: Texts whose base matches the trees are fitted on, about; the only bound, and on the fit alone.
-SAMPLE_TEXTS = 20_000
 #: Boosting rounds, learning rate, and pseudo-candidates (wrong ones) that each flag combination is shrunk with, in a thousand.
 ROUNDS, RATE, SHRINK = 60, 0.3, 4.0
 #: One candidate in so many is held out for calibration; least precision there, and least probability, of what is taken.
@@ -355,11 +353,9 @@ def examples(spark: SparkSession) -> DataFrame:
     return out
 
 
-def fit(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_TEXTS) -> dict[str, BoostedTrees]:
-    """Trees per kind from the base matches of about ``sample`` texts, chosen by hash, and from the examples; both weigh the same."""
-    n = max(1, -(-documents.count() // sample))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = documents.filter(F.pmod(F.xxhash64(id_col, text_col), F.lit(n)) == 0).select(text.alias("text"))
+def fit(documents: DataFrame, text_col: str = "text") -> dict[str, BoostedTrees]:
+    """Trees per kind, their calibration and threshold, from the base matches of all texts, and from the examples; both weigh the same."""
+    rows = documents.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     base = F.concat(*(candidates(kind, BASE[kind], BASE_GATES[kind], F.col("text")) for kind in BASE_KINDS))
     seen = rows.select(F.explode(base).alias("c")).select("c.kind", "c.flags", "c.passed", "c.held_out").withColumn("source", F.lit("texts"))
     seen = seen.unionByName(examples(documents.sparkSession).withColumn("source", F.lit("examples")))
@@ -398,7 +394,7 @@ def detect(documents: DataFrame, models: dict[str, BoostedTrees] | None = None,
     overlap each other or reach beyond a base span. Repeated rows are searched each; an
     empty table gives no rows; other columns are ignored.
     """
-    models = fit(documents, id_col, text_col) if models is None else models
+    models = fit(documents, text_col) if models is None else models
     rows = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select("doc_id", "text", _base("text").alias("base"))
     return rows.select("doc_id", "base", _all_spans(models, "text", "base").alias("spans"))
@@ -452,7 +448,7 @@ def redact(documents: DataFrame, models: dict[str, BoostedTrees] | None = None,
 
     Null texts and texts without spans stay as they are; an empty table stays empty.
     """
-    models = fit(documents, id_col, text_col) if models is None else models
+    models = fit(documents, text_col) if models is None else models
     row = F.struct(*(F.col(f"`{c}`") for c in documents.columns))
     rows = documents.select(row.alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select("row", "text", _base("text").alias("base"))
