@@ -96,18 +96,10 @@ class WordTokenizer:
             yield b"".join(self._part(words[at : at + self.part]) for at in range(0, len(words), self.part))
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
-
-
-def tokenizer(path: str) -> WordTokenizer:
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
-
-
 def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, part, at = tokenizer(path), TaskContext.get().partitionId(), 0
+        # one a task: in a reused worker it and its words would take memory through all later stages
+        t, part, at = WordTokenizer(path), TaskContext.get().partitionId(), 0
         end = np.array([end_id], t.kind).tobytes()
         width = np.dtype(t.kind).itemsize
         for batch in batches:

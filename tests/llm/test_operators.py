@@ -1,6 +1,7 @@
 """Each operator against a brute-force version on small texts, with the odd cases in them."""
 
 import binascii
+import gc
 import hashlib
 import re
 import struct
@@ -844,6 +845,22 @@ def test_packing_query_digest(spark):
     assert sorted(filled) == list(range(last + 1)) and all(n == 2048 or k == last for k, n in filled.items())
 
 
+def test_a_packing_task_leaves_no_tokenizer_behind(monkeypatch):
+    class Context:
+        get = classmethod(lambda cls: cls)
+        partitionId = classmethod(lambda cls: 0)
+
+    def alive():
+        gc.collect()
+        return sum(isinstance(o, packing.WordTokenizer) for o in gc.get_objects())
+
+    monkeypatch.setattr(packing, "TaskContext", Context)
+    before = alive()
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["some words", None])], names=["doc_id", "text"])
+    out = list(packing._encode(public_tokenizers.path("word_bpe_49k.json"), 1)(iter([batch])))
+    assert sum(b.num_rows for b in out) == 2 and alive() == before
+
+
 def test_words_of_any_characters_encode_as_the_tokenizer_does():
     path = public_tokenizers.path("word_bpe_49k.json")
     own = packing.WordTokenizer(path, memo=2000)
