@@ -771,6 +771,33 @@ def test_pair_loss_by_finite_differences():
         assert grad[k] == pytest.approx((pairwise_quality.pair_loss(w + step, diff, 0.01)[0] - pairwise_quality.pair_loss(w - step, diff, 0.01)[0]) / 2e-6, abs=1e-6)
 
 
+def test_all_pairs_count_as_if_formed():
+    rng = np.random.default_rng(24)
+    x, y = rng.random((60, 3)), np.arange(60) % 3 % 2
+    model = pairwise_quality.Ranking.fit(x, y, 0.5)
+    b = model.bins(x)
+    diff = (b[y == 1][:, None] - b[y == 0][None]).reshape(-1, b.shape[1])
+    model.weights = rng.normal(size=b.shape[1])
+    loss, grad, weight, cross = pairwise_quality.all_pairs(model.weights, model.sums(x, y), 0.01)
+    want, slope = pairwise_quality.pair_loss(model.weights, diff, 0.01)
+    assert loss == pytest.approx(want, abs=1e-3) and np.allclose(grad, slope, atol=1e-3)
+    p = 1 / (1 + np.exp(-(diff @ model.weights)))
+    assert np.allclose(model.squares(x, y, weight) - cross, diff.T @ (diff * (p * (1 - p))[:, None]) / len(diff), atol=1e-3)
+
+
+def test_ranking_learns_from_every_labelled_text(spark):
+    """More texts of a class than were ever sampled; what is counted and summed holds them all."""
+    n = 4100
+    texts = [f"calm words {i} of text." if i % 2 else f"BUY {i} !!!" for i in range(2 * n)]
+    known = labels(spark, [(i, i % 2, 0) for i in range(2 * n)])
+    seen = []
+    learnt = pairwise_quality.learnt
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(pairwise_quality, "learnt", lambda size, counts, sums, *rest: learnt(size, counts, lambda m: seen.append(sums(m)) or seen[-1], *rest))
+        pairwise_quality.quality_scores(table(spark, texts), known)
+    assert seen and all(s[:, :, 0].sum(axis=1).tolist() == [n, n] for s in seen)
+
+
 def test_threshold_is_the_quantile_of_bad_texts():
     rng = np.random.default_rng(23)
     y = np.array([0] * 300 + [1] * 300)
